@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_duplicates, substrings, toxicity
+from . import byte_bpe, chat, decontaminate, fingerprints, near_duplicates, substrings, token_counts, toxicity, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -49,8 +49,26 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_url_filter(spark, sf_dir):
+    return url_filter.verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op8_chat_format(spark, sf_dir):
+    """Every turn with its repaired role and its share of the rendered conversation."""
+    return chat.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark, sf_dir):
+    """Tokens of every document, counted in flat token files written from the whole table."""
+    return token_counts.document_token_counts(_table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def queries():
-    own = (op1_substring_dedup, op3_byte_bpe, op4_near_duplicates, op5_toxicity, op6_decontamination)
+    own = (op1_substring_dedup, op3_byte_bpe, op4_near_duplicates, op5_toxicity, op6_decontamination, op7_url_filter, op8_chat_format, op9_fingerprints, op10_token_counts)
     return {f.__name__: f for f in own}
 
 
