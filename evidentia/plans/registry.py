@@ -1,11 +1,453 @@
-"""The engine's queries by name, each with its SQL oracle."""
+"""The engine's queries by name, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import identity, jsonx
+from ..operators import evaluation, freshness, graph, judging, observability, planning, queue, revisions, semantic
+from ..streaming import changes
+from . import fixtures as X
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {X.SQL.strip()} {sql}"
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+
+_flag = F.get_json_object("body", "$.decision") == "flag"
+
+
+def _current(s, d, fresh=False):
+    return semantic.current_rows(X.customer_inputs(s, d), X.customer_state(s, d), fresh)
+
+
+def _inflight(s, d):
+    return X.customer_inputs(s, d).where("cast(subject_id as bigint) % 5 = 0")
+
+
+def _states(s, d):
+    return semantic.states(X.customer_inputs(s, d), _current(s, d), _inflight(s, d), _flag)
+
+
+@query("SELECT k AS c_custkey FROM current_rows WHERE is_fresh AND decision = 'flag'")
+def semantic_match_filter(s, d):
+    return semantic.semantic_filter(X.table(s, d, "customer").select("c_custkey"), "c_custkey", _current(s, d), _flag)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT k FROM current_rows WHERE is_fresh AND decision = 'flag')")
+def semantic_non_match(s, d):
+    return semantic.semantic_exclude(X.table(s, d, "customer").select("c_custkey"), "c_custkey", _current(s, d), _flag)
+
+
+@query("SELECT subject_id, content_hash, contract_hash, source_hash FROM inputs")
+def identity_hash(s, d):
+    return X.customer_inputs(s, d).drop("content")
+
+
+@query("SELECT p_partkey, sha256(p_name) AS name_hash FROM part")
+def text_hash(s, d):
+    return X.table(s, d, "part").select("p_partkey", identity.text_hash(F.col("p_name")).alias("name_hash"))
+
+
+@query("""SELECT p_brand, sha256('[' || string_agg('"' || p_name || '"', ',' ORDER BY p_partkey) || ']') AS manifest FROM part GROUP BY p_brand""")
+def manifest_hash(s, d):
+    return X.table(s, d, "part").groupBy("p_brand").agg(identity.manifest_hash(identity.json_string(F.col("p_name")), "p_partkey").alias("manifest"))
+
+
+@query("SELECT subject_id, decision, is_fresh, stale_reason, freshness_basis FROM current_rows")
+def semantic_current_rows_all(s, d):
+    return _current(s, d).select("subject_id", F.get_json_object("body", "$.decision").alias("decision"), "is_fresh", "stale_reason", "freshness_basis")
+
+
+@query("SELECT subject_id, decision, freshness_basis FROM current_rows WHERE is_fresh")
+def semantic_current_rows(s, d):
+    return _current(s, d, True).select("subject_id", F.get_json_object("body", "$.decision").alias("decision"), "freshness_basis")
+
+
+@query("SELECT subject_id, state, CASE WHEN state = 'stale' THEN why END AS stale_reason FROM states")
+def semantic_states(s, d):
+    return _states(s, d)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (state = 'fresh_match') AS fresh_match, count(*) FILTER (state = 'fresh_non_match') AS fresh_non_match, count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'in_flight') AS inflight FROM states")
+def predicate_counts(s, d):
+    return semantic.predicate_counts(_states(s, d))
+
+
+@query("SELECT why AS stale_reason, count(*) AS n FROM states WHERE state = 'stale' GROUP BY why")
+def stale_reason_histogram(s, d):
+    return _states(s, d).where("state = 'stale'").groupBy("stale_reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT j.subject_id, j.stale_reason IS NOT NULL AND coalesce(c.freshness_basis, '') <> 'revalidated_after_benign_update' AS stale, CASE WHEN coalesce(c.freshness_basis, '') <> 'revalidated_after_benign_update' THEN j.stale_reason END AS stale_reason FROM judgments j LEFT JOIN current_rows c USING (subject_id)")
+def semantic_revalidate(s, d):
+    return semantic.revalidated(X.customer_state(s, d), _current(s, d)).select("subject_id", "stale", "stale_reason")
+
+
+@query("SELECT i.subject_id FROM inputs i WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.subject_id = i.subject_id AND j.content_hash = i.content_hash AND j.contract_hash = i.contract_hash AND j.stale_reason IS NULL)")
+def refresh_inputs(s, d):
+    return semantic.refresh_inputs(X.customer_inputs(s, d), X.customer_state(s, d)).select("subject_id")
+
+
+@query("SELECT subject_id, left_id, right_id, CASE WHEN conflicting > 0 THEN 'different_entity' WHEN shared > 0 THEN 'same_entity' ELSE 'unclear' END AS match FROM pairs")
+def pair_candidates(s, d):
+    return X.pairs(s, d).select("subject_id", "left_id", "right_id", judging.match_rule(F.col("conflicting"), F.col("shared"))["match"].alias("match"))
+
+
+@query("""SELECT coalesce(c.subject_id, t.subject_id) AS subject_id, CASE WHEN t.h IS NULL THEN 'added' WHEN c.h IS NULL THEN 'removed' WHEN c.h <> t.h THEN 'changed' WHEN t.r IS NOT NULL THEN 'restored' ELSE 'unchanged' END AS transition
+FROM (SELECT subject_id, (shared * 2 + conflicting)::varchar AS h FROM pairs WHERE left_id % 9 <> 0) c FULL JOIN (SELECT subject_id, (shared * 2 + CASE WHEN left_id % 7 = 0 THEN 1 - conflicting ELSE conflicting END)::varchar AS h, CASE WHEN left_id % 5 = 0 THEN 'candidate_removed' END AS r FROM pairs WHERE left_id % 8 <> 0) t ON c.subject_id = t.subject_id""")
+def pair_reconcile(s, d):
+    p = X.pairs(s, d)
+    hash_ = lambda c: (F.col("shared") * 2 + c).cast("string").alias("content_hash")
+    now = p.where("left_id % 9 <> 0").select("subject_id", hash_(F.col("conflicting")))
+    was = p.where("left_id % 8 <> 0").select("subject_id", hash_(F.when(F.col("left_id") % 7 == 0, 1 - F.col("conflicting")).otherwise(F.col("conflicting"))), F.when(F.col("left_id") % 5 == 0, "candidate_removed").alias("stale_reason"))
+    return semantic.reconcile(now, was)
+
+
+@query("""SELECT subject_id, CASE WHEN stale_reason = 'contract_changed' THEN stale_reason WHEN own THEN 'source_delete' WHEN dep THEN 'content_revalidation_pending' ELSE stale_reason END AS stale_reason FROM (
+SELECT j.subject_id, j.stale_reason, j.id % 23 = 0 AS own, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = j.id AND o.o_orderkey % 41 = 0) AS dep FROM judgments j)""")
+def dependency_mark_stale(s, d):
+    state = X.customer_state(s, d)
+    orders = X.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("dependent"), F.lit("orders").alias("table"), F.col("o_orderkey").cast("string").alias("subject_id"), F.lit("order_id").alias("field"))
+    own = state.select(F.col("subject_id").alias("dependent"), F.lit("customer").alias("table"), "subject_id", F.lit("subject_id").alias("field"))
+    change = state.where("id % 23 = 0").select(F.lit("customer").alias("table"), "subject_id", F.lit("source_delete").alias("reason"))
+    change = change.unionByName(orders.where("cast(subject_id as bigint) % 41 = 0").select("table", "subject_id", F.lit("source_update").alias("reason")))
+    # An order's id may be a customer's too, so that ids are named with their tables.
+    marked = _marked(state, change, orders.unionByName(own))
+    return marked.select("subject_id", "stale_reason")
+
+
+def _marked(state, change, dependencies):
+    name = lambda t, c: F.concat(t, F.lit("/"), c)
+    s = state.withColumn("subject_id", name(F.lit("customer"), F.col("subject_id")))
+    c = change.withColumn("subject_id", name(F.col("table"), F.col("subject_id")))
+    deps = dependencies.withColumn("subject_id", name(F.col("table"), F.col("subject_id"))).withColumn("dependent", name(F.lit("customer"), F.col("dependent")))
+    return semantic.mark_stale(s, c, deps).withColumn("subject_id", F.substring("subject_id", 10, 30))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'disabled' WHEN age >= 94608000 THEN 'time_expired' WHEN age >= 63072000 THEN 'refresh_due' ELSE 'fresh' END AS state FROM (SELECT o_orderkey, epoch(TIMESTAMP '2001-12-31 00:00:00' - o_orderdate)::bigint AS age FROM orders)")
+def time_freshness(s, d):
+    age = F.when(F.col("o_orderkey") % 4 != 0, 94608000)
+    return X.table(s, d, "orders").select("o_orderkey", freshness.age_state(F.col("o_orderdate"), F.lit("2001-12-31 00:00:00").cast("timestamp"), age, F.lit(31536000)).alias("state"))
+
+
+@query("""SELECT 'r' || (k % 5)::varchar AS grp, count(*) AS total, sum((state LIKE 'fresh%')::int)::bigint AS fresh, sum((state = 'stale')::int)::bigint AS stale, sum((state = 'missing')::int)::bigint AS missing, sum((state = 'in_flight')::int)::bigint AS inflight,
+sum((state IN ('stale','missing'))::int)::bigint AS refresh, CASE WHEN sum((state IN ('stale','missing'))::int) > 0 THEN 'bounded_infer_now' WHEN sum((state = 'in_flight')::int) > 0 THEN 'wait_for_refresh' ELSE 'lookup' END AS path, round(sum((state LIKE 'fresh%')::int)::double / count(*), 4) AS freshness FROM states GROUP BY k % 5""")
+def plan_from_counts(s, d):
+    n = lambda c: F.count_if(c)
+    st = F.col("state")
+    counts = _states(s, d).groupBy(F.concat(F.lit("r"), (F.col("subject_id").cast("bigint") % 5).cast("string")).alias("grp")).agg(F.count("*").alias("total"), n(st.startswith("fresh")).alias("fresh"), n(st == "stale").alias("stale"), n(st == "missing").alias("missing"), n(st == "in_flight").alias("inflight"))
+    return planning.plan(counts).select("grp", "total", "fresh", "stale", "missing", "inflight", "refresh", "path", "freshness")
+
+
+def _attempts(s, d):
+    r = X.receipts(s, d).where("attempt <= 2")
+    conf = F.when(F.col("validation") == "failed", "low").when(F.col("generate_ms") < 400, None).otherwise("high")
+    answer = F.when(F.col("generate_ms") % 1100 == 0, "unclear").otherwise(F.col("l_linestatus"))
+    return r.select("job_id", "attempt", answer.alias("answer"), judging.acceptance(conf, answer).alias("reason"))
+
+
+_ATTEMPTS = "(SELECT job_id, attempt, CASE WHEN generate_ms % 1100 = 0 THEN 'unclear' ELSE l_linestatus END AS answer, CASE WHEN validation = 'failed' THEN 'confidence_below_policy' WHEN generate_ms < 400 THEN 'missing_confidence_field' WHEN generate_ms % 1100 = 0 THEN 'abstained_output' ELSE 'accepted_by_policy' END AS reason FROM receipts WHERE attempt <= 2)"
+
+
+@query(f"SELECT reason, count(*) AS n FROM {_ATTEMPTS} GROUP BY reason")
+def selection_acceptance(s, d):
+    return _attempts(s, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT job_id, answer, reason, 'cheap' AS role FROM {_ATTEMPTS} WHERE attempt = 1 AND reason = 'accepted_by_policy' UNION ALL SELECT job_id, answer, reason, 'strong' FROM {_ATTEMPTS} WHERE attempt = 2 AND job_id NOT IN (SELECT job_id FROM {_ATTEMPTS} WHERE attempt = 1 AND reason = 'accepted_by_policy')")
+def cheap_strong_cascade(s, d):
+    a = _attempts(s, d).withColumnRenamed("job_id", "subject_id")
+    out = judging.cascade(a.where("attempt = 1").drop("attempt"), a.where("attempt = 2").drop("attempt"))
+    return out.withColumnRenamed("subject_id", "job_id").select("job_id", "answer", "reason", "role")
+
+
+@query("SELECT j.id, task, status, coalesce(r.attempt, 0) AS attempts, CASE WHEN r.attempt = 1 THEN 'cheap' WHEN r.attempt > 1 THEN 'strong' END AS last_role, validation AS last_validation, generate_ms AS last_ms FROM jobs j LEFT JOIN (SELECT * FROM receipts QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY attempt DESC) = 1) r ON j.id = r.job_id")
+def runs_latest_receipt(s, d):
+    return queue.run_status(X.jobs(s, d), X.receipts(s, d))
+
+
+_QUEUE = "(SELECT task, count(*) AS jobs, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancel_requested') AS cancel_requested, min(CASE WHEN status = 'queued' THEN id END) AS oldest_queued FROM jobs GROUP BY task)"
+
+
+@query(f"SELECT * FROM {_QUEUE}")
+def queue_status(s, d):
+    return queue.queue_status(X.jobs(s, d))
+
+
+@query(f"SELECT task, queued + running AS active, greatest(5000 - queued - running, 0) AS free, round((queued + running)::double / sum(queued + running) OVER (), 6) AS share FROM {_QUEUE}")
+def task_queue_capacity(s, d):
+    return queue.capacity(queue.queue_status(X.jobs(s, d)), 5000)
+
+
+@query("SELECT task, count(*) FILTER (status = 'queued') AS new_jobs, count(*) FILTER (status = 'running') AS active_jobs, CASE WHEN count(*) FILTER (status = 'queued') > 1500 THEN 'row_cap' WHEN count(*) FILTER (status = 'queued') + count(*) FILTER (status = 'running') > 1600 THEN 'queue_depth_cap' WHEN max(id % 97) > 90 THEN 'input_byte_cap' ELSE 'admitted' END AS decision FROM jobs GROUP BY task")
+def admission_decision(s, d):
+    t = X.jobs(s, d).groupBy("task").agg(F.count_if(F.col("status") == "queued").alias("new_jobs"), F.count_if(F.col("status") == "running").alias("active_jobs"), F.max(F.col("id") % 97).alias("largest_input"))
+    return queue.admission(t, 1500, 1600, 90).drop("largest_input")
+
+
+@query("SELECT id, task, rn AS task_rank FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY retries, created_at, id) AS rn FROM jobs WHERE status = 'queued') ORDER BY rn, task, id LIMIT 64")
+def claim_round_robin(s, d):
+    return queue.claim(X.jobs(s, d), 64)
+
+
+@query("SELECT id, task, CASE WHEN retries < 2 THEN 'queued' ELSE 'failed' END AS next_status FROM jobs WHERE status = 'running' AND epoch(created_at)::bigint + 86400 < epoch(TIMESTAMP '1998-01-01 00:00:00')::bigint")
+def lease_sweep(s, d):
+    j = X.jobs(s, d).withColumnRenamed("created_at", "started_at").withColumnRenamed("retries", "attempts")
+    return queue.sweep(j, 86400, F.lit("1998-01-01 00:00:00").cast("timestamp"), 2)
+
+
+@query("SELECT l_orderkey::varchar AS subject_id, CASE WHEN count(DISTINCT l_partkey) > 1 THEN 'conflict' ELSE 'duplicate' END AS violation, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING count(*) > 1")
+def input_relation_violations(s, d):
+    i = X.table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("subject_id"), F.col("l_partkey").cast("string").alias("input"))
+    return queue.input_violations(i)
+
+
+_MANIFEST = "(SELECT subject_id, row_number() OVER (ORDER BY subject_id) AS ordinal FROM (SELECT DISTINCT p_partkey::varchar AS subject_id FROM part))"
+
+
+@query(f"SELECT subject_id, ordinal, ((ordinal + 99) // 100)::bigint AS page FROM {_MANIFEST}")
+def backfill_manifest(s, d):
+    return queue.backfill_manifest(X.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("subject_id")), 100)
+
+
+@query(f"SELECT ((ordinal + 99) // 100)::bigint AS page, count(*) AS subjects, count(*) FILTER (subject_id::bigint % 3 = 0) AS complete, min(CASE WHEN subject_id::bigint % 3 <> 0 THEN ordinal END) AS next_ordinal FROM {_MANIFEST} GROUP BY page")
+def backfill_status(s, d):
+    m = backfill_manifest(s, d)
+    return queue.backfill_status(m, m.where("cast(subject_id as bigint) % 3 = 0"))
+
+
+@query("SELECT variant, kind AS slice_kind, val AS slice_value, count(*) AS support, round(avg(coalesce((observed = expected)::int, 0)), 12) AS quality, round(avg(CASE WHEN observed IS NOT NULL THEN 1 - (observed = expected)::int END), 12) AS false_trust, round(avg(CASE WHEN observed IS NOT NULL THEN (observed = '0')::int END), 12) AS abstention, round(avg(escalated::int), 12) AS escalation, round(avg(latency_ms), 6) AS latency_ms, count(*) >= 30 AS supported FROM (SELECT *, 'overall' AS kind, 'all' AS val FROM cases UNION ALL SELECT *, 'lang', lang FROM cases UNION ALL SELECT *, 'source', source FROM cases) GROUP BY variant, kind, val")
+def eval_slices(s, d):
+    return evaluation.slices(X.cases(s, d), ["lang", "source"], 30)
+
+
+_CAND = "(SELECT l_linestatus AS source, l_orderkey AS query, l_partkey AS item, row_number() OVER (PARTITION BY l_linestatus, l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rank FROM (SELECT DISTINCT l_linestatus, l_orderkey, l_partkey, min(l_extendedprice) AS l_extendedprice, min(l_suppkey) AS l_suppkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL))"
+_COVERAGE = f"(SELECT p.source, count(*) AS positives, sum(coalesce((rank <= 2)::int, 0))::bigint AS in_bounded, round(sum(coalesce((rank <= 2)::int, 0))::double / count(*), 12) AS coverage, round(avg(CASE WHEN rank IS NULL THEN 1.0::double WHEN n <= 1 THEN 0.0::double ELSE (rank - 1)::double / (n - 1) END), 12) AS mean_rank FROM (SELECT DISTINCT l_linestatus AS source, l_orderkey AS query, CASE WHEN l_orderkey % 9 = 0 THEN -1 ELSE l_partkey END AS item FROM lineitem WHERE l_partkey % 3 = 0) p LEFT JOIN {_CAND} c ON p.source = c.source AND p.query = c.query AND p.item = c.item LEFT JOIN (SELECT source, query, max(rank) AS n FROM {_CAND} GROUP BY ALL) z ON p.source = z.source AND p.query = z.query GROUP BY p.source)"
+
+
+def _coverage(s, d):
+    from pyspark.sql import Window
+
+    line = X.table(s, d, "lineitem").select(F.col("l_linestatus").alias("source"), F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("item"), "l_extendedprice", "l_suppkey", "l_linenumber")
+    one = line.groupBy("source", "query", "item").agg(F.min("l_extendedprice").alias("x"), F.min("l_suppkey").alias("y"), F.min("l_linenumber").alias("z"))
+    cand = one.withColumn("rank", F.row_number().over(Window.partitionBy("source", "query").orderBy("x", "item", "y", "z"))).select("source", "query", "item", "rank")
+    pos = line.where("item % 3 = 0").select("source", "query", F.when(F.col("query") % 9 == 0, F.lit(-1)).otherwise(F.col("item")).alias("item")).distinct()
+    return evaluation.coverage(cand, pos, 2)
+
+
+@query(f"SELECT * FROM {_COVERAGE}")
+def candidate_coverage(s, d):
+    return _coverage(s, d)
+
+
+@query(f"SELECT count(*) AS sources, round(max(mean_rank) - min(mean_rank), 12) AS ordering_bias, min(coverage) AS least_coverage FROM {_COVERAGE}")
+def ordering_bias(s, d):
+    return evaluation.ordering_bias(_coverage(s, d))
+
+
+@query(f"SELECT 0 AS nth, 'coverage_below_minimum' AS failure FROM {_COVERAGE} HAVING min(coverage) < 0.95")
+def gate_failures(s, d):
+    return evaluation.gate_failures(_coverage(s, d), 0.95, 1.0)
+
+
+_ER = "(SELECT CASE WHEN left_id % 3 = 0 THEN 'same_entity' ELSE 'different_entity' END AS expected, CASE WHEN left_id % 13 = 0 THEN NULL WHEN conflicting > 0 THEN 'different_entity' WHEN shared > 0 THEN 'same_entity' ELSE 'unclear' END AS observed, left_id % 8 <> 0 AS seen, right_id % 6 = 0 AS escalated FROM pairs)"
+
+
+@query(f"SELECT metric, numerator, denominator, round(numerator::double / nullif(denominator, 0), 12) AS rate FROM (SELECT 'candidate_recall' AS metric, count(*) FILTER (expected = 'same_entity' AND seen) AS numerator, count(*) FILTER (expected = 'same_entity') AS denominator FROM {_ER} UNION ALL SELECT 'pair_classification', count(*) FILTER (observed = expected), count(observed) FROM {_ER} UNION ALL SELECT 'abstention', count(*) FILTER (observed = 'unclear'), count(observed) FROM {_ER} UNION ALL SELECT 'escalation', count(*) FILTER (escalated), count(*) FROM {_ER} UNION ALL SELECT 'false_merge', count(*) FILTER (expected <> 'same_entity' AND observed = 'same_entity'), count(*) FILTER (expected <> 'same_entity') FROM {_ER})")
+def er_quality(s, d):
+    p = X.pairs(s, d)
+    observed = F.when(F.col("left_id") % 13 == 0, None).otherwise(judging.match_rule(F.col("conflicting"), F.col("shared"))["match"])
+    return evaluation.entity_resolution(p.select(F.when(F.col("left_id") % 3 == 0, "same_entity").otherwise("different_entity").alias("expected"), observed.alias("observed"), (F.col("left_id") % 8 != 0).alias("in_candidates"), (F.col("right_id") % 6 == 0).alias("escalated")))
+
+
+@query("SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS distance, count(*) AS buckets FROM (SELECT source, count(*)::double / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY source) a FULL JOIN (SELECT source, count(*)::double / sum(count(*)) OVER () AS q FROM documents WHERE doc_id % 2 = 1 GROUP BY source) b ON a.source = b.source")
+def tvd_drift(s, d):
+    docs = X.table(s, d, "documents").select("doc_id", "source")
+    return evaluation.drift(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "source")
+
+
+@query("SELECT round(count(*) FILTER (variant = 'candidate' AND observed = '1')::double / count(*) FILTER (variant = 'candidate' AND observed IS NOT NULL) - count(*) FILTER (variant = 'baseline' AND observed = '1')::double / count(*) FILTER (variant = 'baseline' AND observed IS NOT NULL), 9) AS delta FROM cases")
+def rate_drift(s, d):
+    share = lambda v: F.count_if((F.col("variant") == v) & (F.col("observed") == "1")) / F.count_if((F.col("variant") == v) & F.col("observed").isNotNull())
+    return X.cases(s, d).agg(F.round(share("candidate") - share("baseline"), 9).alias("delta"))
+
+
+@query("SELECT count(*) AS reviewed, count(*) FILTER (o IN (1, 2)) AS overturned, round(count(*) FILTER (o IN (1, 2))::double / count(*), 12) AS overturn_rate FROM (SELECT conv_id, max(turn) % 3 AS o FROM conversations GROUP BY conv_id)")
+def reviewer_overturn(s, d):
+    r = X.table(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("seq"), F.element_at(F.array(F.lit("accept"), F.lit("reject"), F.lit("correct")), (F.col("turn") % 3 + 1).cast("int")).alias("outcome"))
+    return evaluation.overturn(r)
+
+
+@query("SELECT lang, count(*) AS cases, count(*) FILTER (doc_id % 3 <> 1) AS accepted, round((sum(doc_id % 50)::double / 3600 * 30 + sum(latency_ms)::double / 3600000 * 2) / count(*) FILTER (doc_id % 3 <> 1), 9) AS cost_per_accepted, round(sum(doc_id % 50)::double / 3600 * 30 + sum(latency_ms)::double / 3600000 * 2, 9) AS cost FROM cases WHERE variant = 'baseline' GROUP BY lang")
+def review_economics(s, d):
+    c = X.cases(s, d).where("variant = 'baseline'").select("lang", (F.col("doc_id") % 50).alias("reviewer_s"), F.col("latency_ms").alias("generate_ms"), F.when(F.col("doc_id") % 3 == 1, "reject").otherwise("accept").alias("outcome"))
+    return evaluation.economics(c, "lang", 30.0, 2.0)
+
+
+_LABELS = "(SELECT o_orderkey AS label_id, o_custkey AS subject_id, (o_orderkey % 2)::varchar AS source_hash, o_orderstatus AS answer, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 1 END AS supersedes FROM orders)"
+
+
+@query(f"SELECT l.label_id, CASE WHEN s.supersedes IS NOT NULL THEN 'superseded' WHEN a.n > 1 THEN 'contradictory' ELSE 'none' END AS exclusion FROM {_LABELS} l LEFT JOIN (SELECT DISTINCT supersedes FROM {_LABELS} WHERE supersedes IS NOT NULL) s ON l.label_id = s.supersedes LEFT JOIN (SELECT subject_id, source_hash, count(DISTINCT answer) AS n FROM {_LABELS} x WHERE label_id NOT IN (SELECT supersedes FROM {_LABELS} WHERE supersedes IS NOT NULL) GROUP BY ALL) a ON l.subject_id = a.subject_id AND l.source_hash = a.source_hash")
+def label_quality(s, d):
+    k = F.col("o_orderkey")
+    rows = X.table(s, d, "orders").select(k.alias("label_id"), F.col("o_custkey").alias("subject_id"), (k % 2).cast("string").alias("source_hash"), F.col("o_orderstatus").alias("answer"), F.when(k % 5 == 0, k - 1).alias("supersedes"))
+    return evaluation.label_quality(rows)
+
+
+@query("SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint < 429496729")
+def review_sampling(s, d):
+    return evaluation.sampled(X.table(s, d, "documents").select("doc_id"), F.col("doc_id").cast("string"), 0.1)
+
+
+@query("SELECT count(*) AS cases, 0::bigint AS unpaired, count(*) FILTER (b.observed = c.observed) AS agree, count(*) FILTER (b.observed = b.expected AND c.observed <> c.expected) AS lost, count(*) FILTER (b.observed <> b.expected AND c.observed = c.expected) AS won, count(*) >= 30 AND count(*) FILTER (b.observed <> b.expected AND c.observed = c.expected) >= count(*) FILTER (b.observed = b.expected AND c.observed <> c.expected) AS promote FROM cases b JOIN cases c USING (doc_id) WHERE b.variant = 'baseline' AND c.variant = 'candidate' AND b.observed IS NOT NULL")
+def shadow_comparison(s, d):
+    c = X.cases(s, d).where("observed is not null").select("variant", F.col("doc_id").alias("case_id"), F.col("observed").alias("answer"), (F.col("observed") == F.col("expected")).alias("correct"))
+    return evaluation.shadow(c.where("variant = 'baseline'"), c.where("variant = 'candidate'"), 30)
+
+
+@query("SELECT variant AS model, count(*) AS cases, round(avg(coalesce((observed = expected)::int, 0)), 9) AS correct, round(avg((observed IS NOT NULL)::int), 9) AS answered, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms, round(avg(coalesce((observed = expected)::int, 0)) * 0.8 + avg((observed IS NOT NULL)::int) * 0.2, 6) AS quality FROM cases GROUP BY variant")
+def bench_scorecard(s, d):
+    c = X.cases(s, d).select(F.col("variant").alias("model"), F.coalesce((F.col("observed") == F.col("expected")).cast("int"), F.lit(0)).alias("correct"), F.col("observed").isNotNull().cast("int").alias("answered"), "latency_ms")
+    return evaluation.scorecard(c, {"correct": 0.8, "answered": 0.2}).select("model", "cases", "correct", "answered", "p50_ms", "p95_ms", F.round("quality", 6).alias("quality"))
+
+
+@query(", reach AS (SELECT left_id AS a, right_id AS b FROM must UNION SELECT r.a, m.right_id FROM reach r JOIN must m ON r.b = m.left_id) SELECT c.left_id, c.right_id, CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.a = c.left_id AND r.b = c.right_id) THEN 'conflict' ELSE 'consistent' END AS status FROM cannot c")
+def graph_conflict(s, d):
+    return graph.conflicts(X.must_links(s, d), X.cannot_links(s, d))
+
+
+@query("SELECT subject_id AS pair_id, CASE WHEN left_id % 10 = 0 THEN 'task_inactive' WHEN left_id % 3 = 0 AND right_id % 3 = 0 THEN 'reopened_source_and_contract' WHEN left_id % 3 = 0 THEN 'reopened_source' WHEN right_id % 3 = 0 THEN 'reopened_contract' ELSE 'active' END AS state FROM pairs")
+def pair_constraint_status(s, d):
+    p = X.pairs(s, d)
+    facts = p.select(F.col("subject_id").alias("pair_id"), F.lit("s1").alias("source_hash"), F.lit("c1").alias("contract_hash"))
+    now = p.where("left_id % 10 <> 0").select(F.col("subject_id").alias("pair_id"), F.when(F.col("left_id") % 3 == 0, "s2").otherwise("s1").alias("source_hash"), F.when(F.col("right_id") % 3 == 0, "c2").otherwise("c1").alias("contract_hash"))
+    return graph.constraint_status(facts, now)
+
+
+@query("SELECT w AS window, event_type AS kind, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events, (VALUES ('1h', 3600), ('24h', 86400), ('7d', 604800)) v(w, s) WHERE epoch(TIMESTAMP '2024-01-31 00:00:00')::bigint - floor(epoch(ts))::bigint BETWEEN 0 AND s - 1 GROUP BY w, event_type")
+def observability_windows(s, d):
+    e = X.table(s, d, "events").select("ts", F.col("event_type").alias("kind"), "value")
+    return observability.look_back(e, F.lit(X.AS_OF).cast("timestamp"), {"1h": 3600, "24h": 86400, "7d": 604800}, "value")
+
+
+@query("SELECT phase, count(*) AS n, quantile_disc(run_ms, 0.95) AS p95, quantile_disc(run_ms, 0.99) AS p99, count(*) >= 100 AND quantile_disc(run_ms, 0.95) <= 3000 AS met FROM (SELECT task AS phase, run_ms FROM jobs UNION ALL SELECT 'all', run_ms FROM jobs) GROUP BY phase")
+def cancellation_slo(s, d):
+    return observability.slo(X.jobs(s, d).select(F.col("task").alias("phase"), F.col("run_ms").alias("ms")), 3000)
+
+
+@query("SELECT task, count(*) AS jobs, sum(queue_ms)::bigint AS queue_ms, sum(run_ms)::bigint AS run_ms, sum(total_ms)::bigint AS total_ms, sum(total_ms - queue_ms - run_ms)::bigint AS delta_ms FROM jobs GROUP BY task")
+def stage_timing(s, d):
+    return observability.stage_timing(X.jobs(s, d))
+
+
+@query("SELECT l_returnflag AS model, sum(n)::bigint AS requests, sum(n - 1)::bigint AS hits, round(sum(n - 1)::double / sum(n), 9) AS hit_rate FROM (SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_returnflag")
+def cache_status(s, d):
+    return observability.cache_status(X.table(s, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_partkey").alias("key")))
+
+
+@query("SELECT code, count(*) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'attempt_timeout' WHEN event_id % 5 = 0 THEN 'schema_rejected' WHEN event_type = 'error' THEN 'runtime_error' ELSE 'unclassified' END AS code FROM events) GROUP BY code")
+def failure_taxonomy(s, d):
+    none = F.lit(None).cast("string")
+    i = F.col("event_id")
+    code = observability.failure_code(F.when(i % 7 == 0, "timeout"), F.when(i % 5 == 0, "schema"), none, F.col("event_type"))
+    return X.table(s, d, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::int AS step, unnest(embedding)::double AS logit FROM embeddings")
+def trace_explode(s, d):
+    return observability.trace_steps(X.table(s, d, "embeddings"), "vec_id", "embedding").withColumn("logit", F.col("logit").cast("double"))
+
+
+@query("SELECT vec_id, nth::int AS nth, step, logit FROM (SELECT vec_id, step, logit, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, step) AS nth FROM (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::int AS step, unnest(embedding)::double AS logit FROM embeddings)) WHERE nth <= 5")
+def trace_alternatives(s, d):
+    return observability.top_alternatives(X.table(s, d, "embeddings"), "vec_id", "embedding", 5).withColumn("logit", F.col("logit").cast("double"))
+
+
+@query("SELECT vec_id, len(embedding)::int AS steps, list_max(embedding)::double AS most, list_min(embedding)::double AS least FROM embeddings")
+def trace_summary(s, d):
+    t = observability.trace_summary(X.table(s, d, "embeddings"), "vec_id", "embedding")
+    return t.withColumn("most", F.col("most").cast("double")).withColumn("least", F.col("least").cast("double"))
+
+
+@query("SELECT p_partkey::varchar AS name, CASE WHEN p_partkey % 8 = 0 THEN 'added' WHEN p_partkey % 9 = 0 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 72 <> 0 AND (p_partkey % 8 = 0 OR p_partkey % 9 = 0 OR p_partkey % 7 = 0)")
+def revision_diff(s, d):
+    p = X.table(s, d, "part")
+    name, h = F.col("p_partkey").cast("string").alias("name"), F.sha2("p_type", 256)
+    return revisions.revision_diff(p.where("p_partkey % 8 <> 0").select(name, h.alias("hash")), p.where("p_partkey % 9 <> 0").select(name, F.when(F.col("p_partkey") % 7 == 0, F.lit("new")).otherwise(h).alias("hash")))
+
+
+@query("SELECT 'bounded_price' AS invariant, count(*) FILTER ((l_extendedprice <= 100000) IS NOT TRUE) AS violations FROM lineitem")
+def invariants(s, d):
+    return revisions.invariant(X.table(s, d, "lineitem"), "bounded_price", "l_extendedprice <= 100000")
+
+
+@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::bigint > 50 THEN '$.k:range' ELSE '' END AS violations FROM events")
+def schema_validation(s, d):
+    schema = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 50}}}
+    return X.table(s, d, "events").select("event_id", F.array_join(jsonx.schema_violations(F.col("props"), schema), ",").alias("violations"))
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+def json_containment(s, d):
+    return X.table(s, d, "events").where(jsonx.json_contains(F.col("props"), '{"k": 7}')).select("event_id")
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events")
+def canonical_json(s, d):
+    return X.table(s, d, "events").select("event_id", jsonx.canonical_text(F.col("props")).alias("canonical"))
+
+
+@query("SELECT sha256('[[\"$\",\"object\"],[\"$.k\",\"number\"]]') AS shape, count(*) AS n FROM events")
+def input_shape_distribution(s, d):
+    return X.table(s, d, "events").groupBy(jsonx.shape_signature(F.col("props")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, '{\"evidence_counts\":{\"lang\":' || (length(trim(lang)) > 0)::int::varchar || ',\"size\":1},\"lang\":\"' || lang || '\",\"size\":' || n_chars::varchar || '}' AS shaped FROM documents")
+def shaped_evidence_counts(s, d):
+    doc = identity.json_object(lang=identity.json_string(F.col("lang")), size=F.col("n_chars").cast("string"), secret=F.lit("1"))
+    return X.table(s, d, "documents").select("doc_id", jsonx.shaped_input(doc, ("secret",), ("lang", "size")).alias("shaped"))
+
+
+@query("SELECT date_trunc('hour', ts)::varchar AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(s, d):
+    e = X.table(s, d, "events").select("ts", F.col("event_type").alias("kind"))
+    return changes.tumbling(e, "1 hour").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""SELECT 'events' AS "table", user_id::varchar AS subject_id, max_by(CASE event_type WHEN 'error' THEN 'source_delete' ELSE 'source_update' END, (ts, event_id)) AS reason, count(*) AS generation FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id""")
+def cdc_coalesced(s, d):
+    e = X.table(s, d, "events").where("event_type in ('signup', 'purchase', 'error')")
+    rows = e.select(F.lit("events").alias("table"), F.col("user_id").cast("string").alias("subject_id"), F.when(F.col("event_type") == "error", "source_delete").otherwise("source_update").alias("reason"), "ts", F.col("event_id").alias("seq"))
+    return changes.coalesced(rows)
+
+
+@query("SELECT user_id::varchar AS subject_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::int AS generation, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS superseded FROM events")
+def change_generations(s, d):
+    e = X.table(s, d, "events").select(F.lit("events").alias("table"), F.col("user_id").cast("string").alias("subject_id"), "ts", F.col("event_id").alias("seq"))
+    return changes.generations(e).select("subject_id", "seq", "generation", "superseded")
+
+
+@query("SELECT subject_id, o.o_orderkey AS job_id, i.k % 2 = 0 AS even FROM inputs i JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o ON o.o_custkey = i.k")
+def materialize_records(s, d):
+    i = X.customer_inputs(s, d)
+    j = X.jobs(s, d).withColumn("subject_id", F.col("subject").cast("string")).join(i.select("subject_id", "content_hash"), "subject_id")
+    done = j.select("id", "subject_id", "content_hash", F.when(F.col("status").isin("complete", "failed"), "complete").otherwise("queued").alias("status"), (F.col("subject") % 2 == 0).alias("body"), F.col("created_at").alias("finished_at"))
+    return semantic.materialize(i, done).select("subject_id", "job_id", F.col("body").alias("even"))
