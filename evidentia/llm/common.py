@@ -17,7 +17,7 @@ WHITE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once inside a Python worker; one text is never split.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)
