@@ -133,6 +133,8 @@ class Matcher:
 
     def hits(self, texts: list[str]) -> list[tuple[int, int, int, int, bool]]:
         """(text, character, term, how, quoted) of every word that is hit; the characters are those of the lower-cased text."""
+        if not self.terms:
+            return []
         texts = [t.lower() for t in texts]
         joined = "\n".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -168,6 +170,12 @@ class Matcher:
         return out
 
 
+def kinds(hits: list[tuple]) -> list[tuple[int, tuple[int, int, bool]]]:
+    """(text, (term, how, quoted)) of each distinct kind of hit; a stem's hits are told apart by their number, once, twice (+ 10) or more often (+ 20): what begins like a term now and then also begins an innocent word."""
+    number = Counter((d, term, how, quoted) for d, _, term, how, quoted in hits)
+    return [(d, (term, how + 10 * min(n - 1, 2) if how == STEM else how, quoted)) for (d, term, how, quoted), n in sorted(number.items())]
+
+
 @dataclass
 class Model:
     """Lexicon, weights and prior log-odds; its size is bounded by the sample it is fitted on."""
@@ -185,8 +193,8 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """The probability of each text's label: log-odds of the prior and of its distinct kinds of hits, added up."""
         total = np.full(len(texts), self.bias)
-        for d, term, how, quoted in {(d, term, how, quoted) for d, _, term, how, quoted in self.matcher().hits(texts)}:
-            total[d] += self.weight.get((term, how, quoted), 0.0)
+        for d, kind in kinds(self.matcher().hits(texts)):
+            total[d] += self.weight.get(kind, 0.0)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
     def __getstate__(self):
@@ -221,7 +229,7 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
     negative = len(chosen) - positive
     if not positive or not negative:
         return model
-    least = 2 if positive < 100 else 3 if positive < 400 else 6
+    least = 4 if positive < 60 else 8 if positive < 1000 else 12
     seen = (Counter(), Counter())
     below: dict[tuple[str, bool], set[str]] = defaultdict(set)
     where: dict[tuple[str, bool], list[int]] = defaultdict(list)
@@ -230,7 +238,7 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
         features |= {(w[:n], True) for w in sets[k] for n in range(4, min(len(w), 8))}
         seen[toxic[k]].update(features)
     odds = lambda f: math.log((seen[1][f] + 0.5) / (positive + 1) / ((seen[0][f] + 0.5) / (negative + 1)))
-    good = {f for f, n in seen[1].items() if n >= least and odds(f) > 3 and seen[0][f] <= 0.02 * n}
+    good = {f for f, n in seen[1].items() if n >= least and odds(f) > 2 and 2 * seen[0][f] <= n}
     for k in chosen:
         if toxic[k]:
             for w in sets[k]:
@@ -240,34 +248,34 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
                     if (w[:n], True) in good:
                         below[w[:n], True].add(w)
                         where[w[:n], True].append(k)
-    # A greedy cover: the term that explains most of the toxic texts left; among equals a whole word, then the longest.
+    # A greedy cover: the term that explains most of the toxic texts left, less the clean ones that it hits; among equals a whole word, then the longest.
     left = {k for k in chosen if toxic[k]}
-    candidates = {f: set(ks) for f, ks in where.items() if not f[1] or len(below[f]) >= 3}
+    candidates = {f: own for f, ks in where.items() if len(own := set(ks)) >= least and (not f[1] or len(below[f]) >= 3)}
     terms: list[tuple[str, bool]] = []
     while candidates:
-        best = max(candidates, key=lambda f: (len(candidates[f]), not f[1], len(f[0]), f[0]))
-        if len(candidates[best]) < least:
+        best = max(candidates, key=lambda f: (len(candidates[f]) - seen[0][f], not f[1], len(f[0]), f[0]))
+        if len(candidates[best]) - seen[0][best] < max(2, least // 3):
             break
         terms.append(best)
         left -= candidates.pop(best)
-        candidates = {f: ks for f, own in candidates.items() if len(ks := own & left) >= least}
+        candidates = {f: ks for f, own in candidates.items() if len(ks := own & left) >= max(2, least // 3)}
     # Then what is as telling but seldom stands alone: not the stem of a term or a word that a stem covers.
     for f in sorted(good, key=lambda f: (-len(set(where[f])), f[1], -len(f[0]), f[0])):
-        if len(set(where[f])) < 3 * least:
+        if len(set(where[f])) < 2 * least:
             break
-        if f not in terms and (not f[1] or len(below[f]) >= 3) and not any(stem and f[0].startswith(t) or f[1] and t.startswith(f[0]) for t, stem in terms):
+        if f not in terms and seen[0][f] <= 0.02 * seen[1][f] and (not f[1] or len(below[f]) >= 3) and not any(stem and f[0].startswith(t) or f[1] and t.startswith(f[0]) for t, stem in terms):
             terms.append(f)
     model.words = [t for t, stem in terms if not stem]
     model.stems = [t for t, stem in terms if stem]
-    count: dict[tuple[int, int, bool], list[set[int]]] = defaultdict(lambda: [set(), set()])
+    count: dict[tuple[int, int, bool], list[int]] = defaultdict(lambda: [0, 0])
     for i in range(0, len(chosen), 500):
         part = chosen[i : i + 500]
-        for d, _, term, how, quoted in model.matcher().hits([texts[k] for k in part]):
-            count[term, how, quoted][toxic[part[d]]].add(part[d])
+        for d, kind in kinds(model.matcher().hits([texts[k] for k in part])):
+            count[kind][toxic[part[d]]] += 1
     for term in range(len(terms)):
-        for how in (EXACT, STEM, FUZZY):
+        for how in (EXACT, STEM, STEM + 10, STEM + 20, FUZZY):
             for quoted in (False, True):
-                clean, bad = (len(x) for x in count.get((term, how, quoted), ((), ())))
+                clean, bad = count.get((term, how, quoted), (0, 0))
                 if how == FUZZY and not bad:
                     w = 0.0 if clean or quoted else _UNSEEN_FUZZY
                 elif not bad and not clean:
