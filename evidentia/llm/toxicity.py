@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import columns
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most, of either class, chosen by a hash of the id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 WINDOW = 48
 _WORD = re.compile(r"[^\W\d_]+")
 _REPORT = re.compile(r"[\"“”«»„‘’]|\b(?:quote[ds]?|said|says|called|wrote|word|term|so-called|cited?|dijo|palabra|dit|mot|sagte|wort)\b")
@@ -219,11 +219,10 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
     """
     rate = min(max(rate, 0.001), 0.999)
     model = Model(bias=math.log(rate / (1 - rate)))
-    sets = [set(_WORD.findall(t.lower())) for t in texts]
-    families = [(_family(s), y) for s, y in zip(sets, toxic)]
+    words_of = lambda t: set(_WORD.findall(t.lower()))
     first: dict[tuple[int, int], int] = {}
-    for k, f in enumerate(families):
-        first.setdefault(f, k)
+    for k, t in enumerate(texts):
+        first.setdefault((_family(words_of(t)), toxic[k]), k)
     chosen = sorted(first.values())
     positive = sum(toxic[k] for k in chosen)
     negative = len(chosen) - positive
@@ -233,12 +232,16 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
     seen = (Counter(), Counter())
     below: dict[tuple[str, bool], set[str]] = defaultdict(set)
     where: dict[tuple[str, bool], list[int]] = defaultdict(list)
+    sets = {k: words_of(texts[k]) for k in chosen if toxic[k]}
+    features = lambda words: {(w, False) for w in words if len(w) > 2} | {(w[:n], True) for w in words for n in range(4, min(len(w), 8))}
+    for own in sets.values():
+        seen[1].update(features(own))
+    frequent = {f for f, n in seen[1].items() if n >= least}
     for k in chosen:
-        features = {(w, False) for w in sets[k] if len(w) > 2}
-        features |= {(w[:n], True) for w in sets[k] for n in range(4, min(len(w), 8))}
-        seen[toxic[k]].update(features)
+        if not toxic[k]:  # only what toxic texts hold often enough is counted, so that memory follows the sample's toxic part
+            seen[0].update(features(words_of(texts[k])) & frequent)
     odds = lambda f: math.log((seen[1][f] + 0.5) / (positive + 1) / ((seen[0][f] + 0.5) / (negative + 1)))
-    good = {f for f, n in seen[1].items() if n >= least and odds(f) > 2 and 2 * seen[0][f] <= n}
+    good = {f for f in frequent if odds(f) > 2 and 2 * seen[0][f] <= seen[1][f]}
     for k in chosen:
         if toxic[k]:
             for w in sets[k]:
@@ -298,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     pick = lambda y, n: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))  # 12,000 pairs of numbers: small enough to broadcast
+    ids = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))  # 6,000 pairs of numbers: small enough to broadcast
     text = columns(docs, "doc_id", "text").where("text is not null and doc_id is not null")
     sample = text.join(F.broadcast(ids), "doc_id").toArrow() if total else None
     if sample is None or not sample.num_rows:
