@@ -181,7 +181,8 @@ def test_toxicity_matcher_against_edit_distance():
 
 
 def test_toxicity_odd_rows_and_quotes(spark):
-    model = toxicity.fit([f"x{i}a y{i}b z{i}c u{i}d moron v{i}e w{i}f" for i in range(30)] + [f"x{i}g y{i}h clean z{i}i" for i in range(300)], [1] * 30 + [0] * 300, 0.1)
+    own = lambda k, n: " ".join("".join(chr(97 + int(c)) for c in str(1000 * k + 7 * m)) for m in range(n))
+    model = toxicity.fit([own(k, 5) + " moron " + own(500 + k, 5) for k in range(1, 31)] + [own(2000 + k, 9) for k in range(300)], [1] * 30 + [0] * 300, 0.1)
     assert [s >= 0.7 for s in model.scores(["that moron", "", "he said \"moron\" was the word", "moronn"])] == [True, False, False, True]
     assert toxicity.score(odd(spark), model).count() == 14 and toxicity.score(empty(spark), model).count() == 0
     assert toxicity.without_toxic(odd(spark), model).columns == odd(spark).columns
