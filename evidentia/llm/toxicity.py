@@ -25,7 +25,10 @@ from .common import columns
 #: Labelled rows that the lexicon and its weights are fitted on, at most, of either class, chosen by a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 WINDOW = 48
+#: Jaccard similarity of the sets of words from which on labelled texts are near copies.
+NEAR_COPY = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"\w+")
 _REPORT = re.compile(r"[\"“”«»„‘’]|\b(?:quote[ds]?|said|says|called|wrote|word|term|so-called|cited?|dijo|palabra|dit|mot|sagte|wort)\b")
 EXACT, STEM, FUZZY = 0, 1, 2
 _UNSEEN_FUZZY = 3.4
@@ -201,9 +204,41 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_matcher"}
 
 
-def _family(words: set[str]) -> int:
-    """Near copies mostly have one family, so that a passage copied often gives evidence once."""
-    return min((hash_(w) for w in words), default=0)
+def distinct(texts: list[str], least: float = NEAR_COPY) -> list[int]:
+    """The places of the texts that are no near copies of one before, so that a passage copied often gives evidence once.
+
+    A near copy's set of words has a Jaccard similarity of `least` or more with that of a text that stays. Exact: two such
+    sets share a word among the rarest of either, as many as the smallest overlap leaves room for, and all that do are compared.
+    """
+    sets = [np.unique(np.fromiter(map(hash_, set(_TOKEN.findall(t.lower()))), np.uint64)) for t in texts]
+    if not sets:
+        return []
+    size = np.array([len(s) for s in sets])
+    known, place, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sets = np.split(place.astype(np.int32), np.cumsum(size)[:-1])
+    holders: dict[int, list[int]] = defaultdict(list)
+    own_words = np.zeros(len(known), bool)
+    chosen, blank = [], False
+    for k, own in enumerate(sets):
+        n = len(own)
+        if not n:
+            if not blank:
+                chosen.append(k)
+            blank = True
+            continue
+        rarest = own[np.lexsort((own, number[own]))][: n - math.ceil(least * n - 1e-9) + 1].tolist()
+        near = np.unique(np.fromiter((x for w in rarest for x in holders.get(w, ())), np.int64))
+        near = near[(size[near] >= least * n - 1e-9) & (size[near] * least <= n + 1e-9)]
+        if len(near):
+            own_words[own] = True
+            both = np.add.reduceat(own_words[np.concatenate([sets[x] for x in near])].astype(np.int64), np.cumsum(size[near]) - size[near])
+            own_words[own] = False
+            if (both >= least * (n + size[near] - both) - 1e-9).any():
+                continue
+        chosen.append(k)
+        for w in rarest:
+            holders[w].append(k)
+    return chosen
 
 
 def hash_(word: str) -> int:
@@ -220,10 +255,8 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
     rate = min(max(rate, 0.001), 0.999)
     model = Model(bias=math.log(rate / (1 - rate)))
     words_of = lambda t: set(_WORD.findall(t.lower()))
-    first: dict[tuple[int, int], int] = {}
-    for k, t in enumerate(texts):
-        first.setdefault((_family(words_of(t)), toxic[k]), k)
-    chosen = sorted(first.values())
+    places = [[k for k, y in enumerate(toxic) if y == label] for label in (0, 1)]
+    chosen = sorted(own[k] for own in places for k in distinct([texts[k] for k in own]))
     positive = sum(toxic[k] for k in chosen)
     negative = len(chosen) - positive
     if not positive or not negative:

@@ -156,6 +156,20 @@ def test_toxicity_held_out(spark):
     assert docs.count() > len(got)
 
 
+def test_toxicity_only_near_copies_collapse():
+    rng = random.Random(7)
+    texts = [f"the {' '.join(f'w{rng.randrange(60)}' for _ in range(rng.randint(0, 12)))}" for _ in range(300)] + ["", "", "!"]
+    texts += [t + " tail" for t in texts[:40]]
+    sets, want = [set(t.split()) - {"!"} for t in texts], []
+    for k, own in enumerate(sets):
+        if not any(own == sets[x] or 10 * len(own & sets[x]) >= 6 * len(own | sets[x]) for x in want):
+            want.append(k)
+    assert toxicity.distinct(texts) == want and len(want) > 100
+    # Texts that share their short words, and little else, are evidence of their own.
+    model = toxicity.fit([f"x{i}a y{i}b z{i}c u{i}d moron v{i}e w{i}f" for i in range(30)] + [f"x{i}g y{i}h clean z{i}i" for i in range(300)], [1] * 30 + [0] * 300, 0.1)
+    assert "moron" in model.words and model.scores(["that moron"])[0] >= 0.7
+
+
 def test_toxicity_matcher_against_edit_distance():
     m = toxicity.Matcher(["pathetic", "moron"], ["vequ"])
     rng = random.Random(5)
