@@ -13,6 +13,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import columns
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most, of either class, chosen by a hash of the id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 WINDOW = 48
 #: Jaccard similarity of the sets of words from which on labelled texts are near copies.
 NEAR_COPY = 0.6
@@ -204,7 +205,7 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_matcher"}
 
 
-def distinct(texts: list[str], least: float = NEAR_COPY) -> list[int]:
+def distinct(texts: Iterable[str], least: float = NEAR_COPY) -> list[int]:
     """The places of the texts that are no near copies of one before, so that a passage copied often gives evidence once.
 
     A near copy's set of words has a Jaccard similarity of `least` or more with that of a text that stays. Exact: two such
@@ -247,7 +248,20 @@ def hash_(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
+class Decoded:
+    """The texts of an Arrow array, each decoded when it is asked for, so that the sample is held once and as UTF-8."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __len__(self):
+        return len(self.column)
+
+    def __getitem__(self, k: int) -> str:
+        return self.column[k].as_py()
+
+
+def fit(texts: Sequence[str], toxic: list[int], rate: float) -> Model:
     """Learn lexicon and weights from labelled texts; rate is the share of toxic ones among all labelled rows.
 
     Without toxic or clean texts there is no lexicon and every score is the prior.
@@ -256,7 +270,7 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
     model = Model(bias=math.log(rate / (1 - rate)))
     words_of = lambda t: set(_WORD.findall(t.lower()))
     places = [[k for k, y in enumerate(toxic) if y == label] for label in (0, 1)]
-    chosen = sorted(own[k] for own in places for k in distinct([texts[k] for k in own]))
+    chosen = sorted(own[k] for own in places for k in distinct(texts[k] for k in own))
     positive = sum(toxic[k] for k in chosen)
     negative = len(chosen) - positive
     if not positive or not negative:
@@ -265,25 +279,35 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model:
     seen = (Counter(), Counter())
     below: dict[tuple[str, bool], set[str]] = defaultdict(set)
     where: dict[tuple[str, bool], list[int]] = defaultdict(list)
-    sets = {k: words_of(texts[k]) for k in chosen if toxic[k]}
-    features = lambda words: {(w, False) for w in words if len(w) > 2} | {(w[:n], True) for w in words for n in range(4, min(len(w), 8))}
-    for own in sets.values():
-        seen[1].update(features(own))
+    stems_of = lambda words: {w[:n] for w in words for n in range(4, min(len(w), 8))}
+    positives = [k for k in chosen if toxic[k]]
+    number = Counter(w for k in positives for w in words_of(texts[k]))
+    most = Counter()  # of a stem's toxic texts: the sum over its words
+    for w, n in number.items():
+        for stem in stems_of([w]):
+            most[stem] += n
+    often = {stem for stem, n in most.items() if n >= least}
+    del most
+    for k in positives:
+        seen[1].update((stem, True) for stem in stems_of(words_of(texts[k])) & often)
+    seen[1].update({(w, False): n for w, n in number.items() if len(w) > 2 and n >= least})
+    del number
     frequent = {f for f, n in seen[1].items() if n >= least}
+    whole, begun = ({t for t, stem in frequent if stem == kind} for kind in (False, True))
     for k in chosen:
-        if not toxic[k]:  # only what toxic texts hold often enough is counted, so that memory follows the sample's toxic part
-            seen[0].update(features(words_of(texts[k])) & frequent)
+        if not toxic[k]:  # only what toxic texts hold often enough is counted, so that memory follows the lexicon's candidates
+            words = words_of(texts[k])
+            seen[0].update([*((w, False) for w in words & whole), *((stem, True) for stem in stems_of(words) & begun)])
     odds = lambda f: math.log((seen[1][f] + 0.5) / (positive + 1) / ((seen[0][f] + 0.5) / (negative + 1)))
     good = {f for f in frequent if odds(f) > 2 and 2 * seen[0][f] <= seen[1][f]}
-    for k in chosen:
-        if toxic[k]:
-            for w in sets[k]:
-                if (w, False) in good:
-                    where[w, False].append(k)
-                for n in range(4, min(len(w), 8)):
-                    if (w[:n], True) in good:
-                        below[w[:n], True].add(w)
-                        where[w[:n], True].append(k)
+    for k in positives:
+        for w in words_of(texts[k]):
+            if (w, False) in good:
+                where[w, False].append(k)
+            for n in range(4, min(len(w), 8)):
+                if (w[:n], True) in good:
+                    below[w[:n], True].add(w)
+                    where[w[:n], True].append(k)
     # A greedy cover: the term that explains most of the toxic texts left, less the clean ones that it hits; among equals a whole word, then the longest.
     left = {k for k in chosen if toxic[k]}
     candidates = {f: own for f, ks in where.items() if len(own := set(ks)) >= least and (not f[1] or len(below[f]) >= 3)}
@@ -334,14 +358,14 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     pick = lambda y, n: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))  # 6,000 pairs of numbers: small enough to broadcast
+    ids = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))  # 12,000 pairs of numbers: small enough to broadcast
     text = columns(docs, "doc_id", "text").where("text is not null and doc_id is not null")
     sample = text.join(F.broadcast(ids), "doc_id").toArrow() if total else None
     if sample is None or not sample.num_rows:
         return Model(bias=-2.0)
-    order = np.lexsort((np.array([hash_(t) for t in sample["text"].to_pylist()], np.uint64), np.array(sample["doc_id"].to_pylist())))
+    order = np.lexsort((np.fromiter((hash_(t.as_py()) for t in sample["text"]), np.uint64), np.array(sample["doc_id"].to_pylist())))
     sample = sample.take(pa.array(order))
-    return fit(sample["text"].to_pylist(), [int(y) for y in sample["toxic"].to_pylist()], counts.get(1, 0) / max(total, 1))
+    return fit(Decoded(sample["text"].combine_chunks()), [int(y) for y in sample["toxic"].to_pylist()], counts.get(1, 0) / max(total, 1))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -170,6 +170,14 @@ def test_toxicity_only_near_copies_collapse():
     assert "moron" in model.words and model.scores(["that moron"])[0] >= 0.7
 
 
+def test_toxicity_learns_rare_terms_of_large_tables(spark):
+    rng = random.Random(11)
+    own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(8))
+    rows = [(i, f"{own()} {'vermin' if i % 230 == 0 else 'moron'}", 1) for i in range(3800)] + [(i, own(), 0) for i in range(3800, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {"moron", "vermin"} <= set(toxicity.train(docs, docs, F.lit(True)).words)
+
+
 def test_toxicity_matcher_against_edit_distance():
     m = toxicity.Matcher(["pathetic", "moron"], ["vequ"])
     rng = random.Random(5)
