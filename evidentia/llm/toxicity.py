@@ -3,7 +3,7 @@
 A lexicon of words and of word beginnings (stems) is learnt from labelled documents. Its tries are intersected with
 Levenshtein automata of each term's error budget, and the product is made deterministic once, so that all words of a batch
 step through one transition table together. A hit counts with the weight learnt for its term, how it was hit (exactly,
-misspelt, by its stem) and its context: within a window around the hit, quotation marks, words of reporting or
+misspelt, by its stem, by its misspelt stem) and its context: within a window around the hit, quotation marks, words of reporting or
 of mention mark a quotation, whose weight is learnt apart from that of abuse.
 """
 
@@ -31,10 +31,11 @@ NEAR_COPY = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\w+")
 _REPORT = re.compile(r"[\"“”«»„‘’]|\b(?:quote[ds]?|said|says|called|wrote|word|term|so-called|cited?|dijo|palabra|dit|mot|sagte|wort)\b")
-EXACT, STEM, FUZZY = 0, 1, 2
+EXACT, STEM, FUZZY, FUZZY_STEM = 0, 1, 2, 3
 _UNSEEN_FUZZY = 3.4
 
 _kind = np.zeros(0x110000, np.uint8)
+_blank = np.zeros(0x110000, bool)
 
 
 def _letters() -> np.ndarray:
@@ -44,6 +45,13 @@ def _letters() -> np.ndarray:
     return _kind
 
 
+def _blanks() -> np.ndarray:
+    """True for code points that part words: separators and control characters."""
+    if not _blank[32]:
+        _blank[[c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc")]] = True
+    return _blank
+
+
 def errors_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -61,8 +69,9 @@ class Matcher:
             own = [(t, k) for k, t in enumerate(words) if errors_allowed(t) == budget]
             if own:
                 tries.append((*self._trie(own), budget, False))
-        if stems:
-            tries.append((*self._trie([(t, self.n_words + k) for k, t in enumerate(stems)]), 0, True))
+            own = [(t, self.n_words + k) for k, t in enumerate(stems) if errors_allowed(t) == budget]
+            if own:
+                tries.append((*self._trie(own), budget, True))
         self._tries = tries
         begin = self._close({(i, 0, 0) for i in range(len(tries))})
         states, todo = {frozenset(): 0, begin: 1}, [begin]
@@ -105,9 +114,17 @@ class Matcher:
             if e >= best.get((i, node), 9):
                 continue
             best[i, node] = e
-            if i >= 0 and e < self._tries[i][2]:
-                todo += [(i, child, e + 1) for child in self._tries[i][0][node].values()]
-        return frozenset((i, node, e) for (i, node), e in best.items())
+            if i < 0:
+                continue
+            children, ends, budget, stem = self._tries[i]
+            if stem and ends[node] >= 0:
+                todo.append((-1, ends[node], e))
+            if e < budget:
+                todo += [(i, child, e + 1) for child in children[node].values()]
+        # A stem that is hit stays so: what can't become a better hit goes, so that states stay few.
+        stems = [(2 * e + 1, node) for (i, node), e in best.items() if i < 0]
+        found = min(stems) if stems else (99, 0)
+        return frozenset((i, node, e) for (i, node), e in best.items() if ((2 * e + 1, node) == found if i < 0 else 2 * e + self._tries[i][3] <= found[0]))
 
     def _step(self, state: frozenset, c: str | None) -> frozenset:
         out = set()
@@ -115,12 +132,9 @@ class Matcher:
             if i < 0:
                 out.add((i, node, e))
                 continue
-            children, ends, budget, stem = self._tries[i]
+            children, _, budget, _ = self._tries[i]
             if c in children[node]:
-                child = children[node][c]
-                out.add((i, child, e))
-                if stem and ends[child] >= 0:
-                    out.add((-1, ends[child], 0))
+                out.add((i, children[node][c], e))
             if e < budget:
                 out.add((i, node, e + 1))
                 out.update((i, child, e + 1) for child in children[node].values())
@@ -130,11 +144,26 @@ class Matcher:
         found = []
         for i, node, e in state:
             if i < 0:
-                found.append((1, STEM, node))
+                found.append((2 * e + 1, FUZZY_STEM if e else STEM, node))
             elif self._tries[i][1][node] >= 0 and not self._tries[i][3]:
-                found.append((0 if e == 0 else 1 + e, FUZZY if e else EXACT, self._tries[i][1][node]))
+                found.append((2 * e, FUZZY if e else EXACT, self._tries[i][1][node]))
         return (min(found)[2], min(found)[1]) if found else (-1, 0)
 
+    def _run(self, own: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words that are hit, and their last states."""
+        state, at, live = np.ones(len(begin), np.int32), begin.copy(), np.arange(len(begin))
+        hit_word, hit_state = [live[:0]], [state[:0]]
+        while len(live):
+            state = self.table[state, own[at]]
+            at += 1
+            over = at == end[live]
+            accepted = over & (self.term[state] >= 0)
+            hit_word.append(live[accepted])
+            hit_state.append(state[accepted])
+            go = ~over & (state > 0)
+            state, at, live = state[go], at[go], live[go]
+        return np.concatenate(hit_word), np.concatenate(hit_state)
+
     def hits(self, texts: list[str]) -> list[tuple[int, int, int, int, bool]]:
         """(text, character, term, how, quoted) of every word that is hit; the characters are those of the lower-cased text."""
         if not self.terms:
@@ -149,20 +178,27 @@ class Matcher:
         word = own > 0
         begin = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
         end = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1 if len(word) else begin
-        state, at, live = np.ones(len(begin), np.int32), begin.copy(), np.arange(len(begin))
-        hit_word, hit_state = [], []
-        while len(live):
-            state = self.table[state, own[at]]
-            at += 1
-            over = at == end[live]
-            accepted = over & (self.term[state] >= 0)
-            hit_word.append(live[accepted])
-            hit_state.append(state[accepted])
-            go = ~over & (state > 0)
-            state, at, live = state[go], at[go], live[go]
-        if not hit_word:
+        words, states = self._run(own, begin, end)
+        # Up to three runs of letters with at most two other characters in all between them, none of them blank, are one word too: what stands inside costs an error.
+        hit = np.zeros(len(begin) + 2, bool)
+        hit[words] = True
+        blank = np.concatenate([[0], np.cumsum(_blanks()[codes])])
+        gap = np.full(len(begin) + 2, 9)
+        if len(begin) > 1:
+            gap[: len(begin) - 1] = np.where(blank[begin[1:]] == blank[end[:-1]], begin[1:] - end[:-1], 9)
+        inside = np.where(own == 0, 1, own)
+        for more in (1, 2):
+            first = np.flatnonzero((sum(gap[k : k + len(begin)] for k in range(more)) <= 2) & ~np.any([hit[k : k + len(begin)] for k in range(more + 1)], axis=0)) if len(begin) else begin
+            found, after = self._run(inside, begin[first], end[first + more])
+            taken = set()
+            for x, s in sorted(zip(first[found].tolist(), after.tolist())):
+                if not taken & set(range(x, x + more + 1)):
+                    taken |= set(range(x, x + more + 1))
+                    end[x] = end[x + more]
+                    hit[x : x + more + 1] = True
+                    words, states = np.append(words, x), np.append(states, s)
+        if not len(words):
             return []
-        words, states = np.concatenate(hit_word), np.concatenate(hit_state)
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         out = []
         for w, s in sorted(zip(words.tolist(), states.tolist())):
@@ -333,16 +369,16 @@ def fit(texts: Sequence[str], toxic: list[int], rate: float) -> Model:
         for d, kind in kinds(model.matcher().hits([texts[k] for k in part])):
             count[kind][toxic[part[d]]] += 1
     for term in range(len(terms)):
-        for how in (EXACT, STEM, STEM + 10, STEM + 20, FUZZY):
+        for how in (EXACT, STEM, STEM + 10, STEM + 20, FUZZY, FUZZY_STEM):
             for quoted in (False, True):
                 clean, bad = count.get((term, how, quoted), (0, 0))
-                if how == FUZZY and not bad:
-                    w = 0.0 if clean or quoted else _UNSEEN_FUZZY
+                if how in (FUZZY, FUZZY_STEM) and not bad:
+                    w = 0.0 if clean or quoted else _UNSEEN_FUZZY if how == FUZZY else min(_UNSEEN_FUZZY, max(0.0, model.weight[term, STEM, False]))
                 elif not bad and not clean:
                     w = 0.35 * model.weight.get((term, how, False), 0.0)  # a quotation never seen: a third of the weight of abuse
                 else:
                     w = math.log((bad + 0.5) / (positive + 1) / ((clean + 0.5) / (negative + 1)))
-                    if how == FUZZY and clean >= bad:
+                    if how in (FUZZY, FUZZY_STEM) and clean >= bad:
                         w = 0.0
                 model.weight[term, how, quoted] = w
     return model

@@ -202,6 +202,33 @@ def test_toxicity_matcher_against_edit_distance():
         assert bool(got) == bool(want) and set(got) <= set(want), w
 
 
+def test_toxicity_misspelt_stems_and_symbols_in_words():
+    def prefix_distance(a, b):
+        """The least edit distance of a and a beginning of b."""
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(b):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    m, rng = toxicity.Matcher(["pathetic"], ["morond", "vequ"]), random.Random(8)
+    for _ in range(600):
+        w = list(rng.choice(["morondly", "vequabc", "morondisch", "hello"]))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "o"])
+        w = "".join(w)
+        want = [k for k, t in ((1, "morond"), (2, "vequ")) if prefix_distance(t, w) <= toxicity.errors_allowed(t)]
+        got = [h[2] for h in m.hits([w])]
+        assert bool(got) == bool(want) and set(got) <= set(want), w
+    m = toxicity.Matcher(["idiot", "moron", "disgusting"], [])
+    at = lambda t: [(h[1], m.terms[h[2]]) for h in m.hits([t])]
+    assert at("an id1ot, m*ron") == [(3, "idiot"), (10, "moron")] and at("d!sgust*ng my-mor0n") == [(0, "disgusting"), (14, "moron")]
+    assert at("moron-like,idiot") == [(0, "moron"), (11, "idiot")] and at("id ot m\nron id\u00a0ot m0r0n") == []
+
+
 def test_toxicity_odd_rows_and_quotes(spark):
     own = lambda k, n: " ".join("".join(chr(97 + int(c)) for c in str(1000 * k + 7 * m)) for m in range(n))
     model = toxicity.fit([own(k, 5) + " moron " + own(500 + k, 5) for k in range(1, 31)] + [own(2000 + k, 9) for k in range(300)], [1] * 30 + [0] * 300, 0.1)
