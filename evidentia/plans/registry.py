@@ -31,7 +31,9 @@ def oracle_sql() -> dict:
     return dict(ORACLES)
 
 
-_flag = F.get_json_object("body", "$.decision") == "flag"
+def _flag():
+    """Columns need a session: none is made before a query runs."""
+    return F.get_json_object("body", "$.decision") == "flag"
 
 
 def _current(s, d, fresh=False):
@@ -43,17 +45,17 @@ def _inflight(s, d):
 
 
 def _states(s, d):
-    return semantic.states(X.customer_inputs(s, d), _current(s, d), _inflight(s, d), _flag)
+    return semantic.states(X.customer_inputs(s, d), _current(s, d), _inflight(s, d), _flag())
 
 
 @query("SELECT k AS c_custkey FROM current_rows WHERE is_fresh AND decision = 'flag'")
 def semantic_match_filter(s, d):
-    return semantic.semantic_filter(X.table(s, d, "customer").select("c_custkey"), "c_custkey", _current(s, d), _flag)
+    return semantic.semantic_filter(X.table(s, d, "customer").select("c_custkey"), "c_custkey", _current(s, d), _flag())
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT k FROM current_rows WHERE is_fresh AND decision = 'flag')")
 def semantic_non_match(s, d):
-    return semantic.semantic_exclude(X.table(s, d, "customer").select("c_custkey"), "c_custkey", _current(s, d), _flag)
+    return semantic.semantic_exclude(X.table(s, d, "customer").select("c_custkey"), "c_custkey", _current(s, d), _flag())
 
 
 @query("SELECT subject_id, content_hash, contract_hash, source_hash FROM inputs")

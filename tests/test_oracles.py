@@ -1,3 +1,7 @@
+import pathlib
+import subprocess
+import sys
+
 import pytest
 
 from evidentia.plans import registry
@@ -17,6 +21,12 @@ def test_rows_equal_sql(spark, con, name):
     assert ours == theirs
 
 
+def test_entry_is_importable_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql(); from pyspark.sql import SparkSession; assert SparkSession.getActiveSession() is None"
+    done = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     import __spark_entry__
 
