@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import blocks, columns
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most, of either class, chosen by a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -404,6 +404,13 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     return fit(Decoded(sample["text"].combine_chunks()), [int(y) for y in sample["toxic"].to_pylist()], counts.get(1, 0) / max(total, 1))
 
 
+def _parts(batch: pa.RecordBatch, place: int):
+    """Yield (rows, texts) of stretches of a batch with about BLOCK_BYTES bytes of text: no more is held as strings at once."""
+    for i, j, _, _ in blocks(batch.column(place)):
+        rows = batch.slice(i, j - i)
+        yield rows, [t or "" for t in rows.column(place).to_pylist()]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs: one narrow pass.
 
@@ -412,37 +419,24 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 2 << 20):
-                    size += len(texts[j])
-                    j += 1
-                found = model.scores(texts[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
-                i = j
+            for rows, texts in _parts(batch, 1):
+                found = model.scores(texts)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {key}, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with their own columns, whose score is below the threshold; no shuffle."""
+    """The rows of docs, with their own columns, whose score is below the threshold; no shuffle.
+
+    Rows are scored and handed on in stretches of BLOCK_BYTES, so that a task's memory doesn't follow the size of its batches.
+    """
+    place = docs.schema.names.index("text")
 
     def run(batches):
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            keep_rows, i = [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 2 << 20):
-                    size += len(texts[j])
-                    j += 1
-                keep_rows.append(model.scores(texts[i:j]) < threshold)
-                i = j
-            if keep_rows:
-                yield batch.filter(pa.array(np.concatenate(keep_rows)))
+            for rows, texts in _parts(batch, place):
+                yield rows.filter(pa.array(model.scores(texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
