@@ -25,12 +25,17 @@ from .common import blocks, columns
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most, of either class, chosen by a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Toxic texts of the sample, no near copies, that a term of the lexicon is found in, at least.
+LEAST_TEXTS = 8
+#: Characters of text to each of two or more words that begin with a stem, at most, where they are dense.
+DENSE = 1000
 WINDOW = 48
 #: Jaccard similarity of the sets of words from which on labelled texts are near copies.
 NEAR_COPY = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\w+")
-_REPORT = re.compile(r"[\"“”«»„‘’]|\b(?:quote[ds]?|said|says|called|wrote|word|term|so-called|cited?|dijo|palabra|dit|mot|sagte|wort)\b")
+#: Quotation marks and words of reporting or mention; an apostrophe between letters is no mark.
+_REPORT = re.compile(r"[\"“”«»„]|(?<![^\W\d_])[‘’]|[‘’](?![^\W\d_])|\b(?:quote[ds]?|said|says|called|wrote|word|term|so-called|cited?|dijo|palabra|dit|mot|sagte|wort)\b")
 EXACT, STEM, FUZZY, FUZZY_STEM = 0, 1, 2, 3
 _UNSEEN_FUZZY = 3.4
 
@@ -210,10 +215,15 @@ class Matcher:
         return out
 
 
-def kinds(hits: list[tuple]) -> list[tuple[int, tuple[int, int, bool]]]:
-    """(text, (term, how, quoted)) of each distinct kind of hit; a stem's hits are told apart by their number, once, twice (+ 10) or more often (+ 20): what begins like a term now and then also begins an innocent word."""
+def dense(n: int, size: int) -> bool:
+    """Whether n words of a text of so many characters that begin with a stem mark it: what begins like a term also begins an innocent word now and then, and in long texts several."""
+    return n > 1 and n * DENSE >= size
+
+
+def kinds(hits: list[tuple], sizes: Sequence[int]) -> list[tuple[int, tuple[int, int, bool]]]:
+    """(text, (term, how, quoted)) of each distinct kind of hit in texts of so many characters; a stem's hits are told apart: a single one, several thinly spread (+ 10) and dense ones (+ 20)."""
     number = Counter((d, term, how, quoted) for d, _, term, how, quoted in hits)
-    return [(d, (term, how + 10 * min(n - 1, 2) if how == STEM else how, quoted)) for (d, term, how, quoted), n in sorted(number.items())]
+    return [(d, (term, how + (20 if dense(n, sizes[d]) else 10 if n > 1 else 0) if how == STEM else how, quoted)) for (d, term, how, quoted), n in sorted(number.items())]
 
 
 @dataclass
@@ -233,7 +243,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """The probability of each text's label: log-odds of the prior and of its distinct kinds of hits, added up."""
         total = np.full(len(texts), self.bias)
-        for d, kind in kinds(self.matcher().hits(texts)):
+        for d, kind in kinds(self.matcher().hits(texts), [len(t) for t in texts]):
             total[d] += self.weight.get(kind, 0.0)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
@@ -304,18 +314,28 @@ def fit(texts: Sequence[str], toxic: list[int], rate: float) -> Model:
     """
     rate = min(max(rate, 0.001), 0.999)
     model = Model(bias=math.log(rate / (1 - rate)))
-    words_of = lambda t: set(_WORD.findall(t.lower()))
+    counted = lambda t: Counter(_WORD.findall(t.lower()))
+    words_of = lambda t: counted(t).keys()
     places = [[k for k, y in enumerate(toxic) if y == label] for label in (0, 1)]
     chosen = sorted(own[k] for own in places for k in distinct(texts[k] for k in own))
     positive = sum(toxic[k] for k in chosen)
     negative = len(chosen) - positive
     if not positive or not negative:
         return model
-    least = 4 if positive < 60 else 8 if positive < 1000 else 12
+    least = LEAST_TEXTS
     seen = (Counter(), Counter())
     below: dict[tuple[str, bool], set[str]] = defaultdict(set)
     where: dict[tuple[str, bool], list[int]] = defaultdict(list)
     stems_of = lambda words: {w[:n] for w in words for n in range(4, min(len(w), 8))}
+
+    def repeated(words: Counter, among: set[str], size: int) -> set[str]:
+        """Stems that densely many words of a text of so many characters begin with."""
+        n = Counter()
+        for w, k in words.items():
+            for stem in stems_of([w]) & among:
+                n[stem] += k
+        return {stem for stem, k in n.items() if dense(k, size)}
+
     positives = [k for k in chosen if toxic[k]]
     number = Counter(w for k in positives for w in words_of(texts[k]))
     most = Counter()  # of a stem's toxic texts: the sum over its words
@@ -325,25 +345,28 @@ def fit(texts: Sequence[str], toxic: list[int], rate: float) -> Model:
     often = {stem for stem, n in most.items() if n >= least}
     del most
     for k in positives:
-        seen[1].update((stem, True) for stem in stems_of(words_of(texts[k])) & often)
+        seen[1].update((stem, True) for stem in repeated(counted(texts[k]), often, len(texts[k])))
     seen[1].update({(w, False): n for w, n in number.items() if len(w) > 2 and n >= least})
     del number
     frequent = {f for f, n in seen[1].items() if n >= least}
     whole, begun = ({t for t, stem in frequent if stem == kind} for kind in (False, True))
     for k in chosen:
         if not toxic[k]:  # only what toxic texts hold often enough is counted, so that memory follows the lexicon's candidates
-            words = words_of(texts[k])
-            seen[0].update([*((w, False) for w in words & whole), *((stem, True) for stem in stems_of(words) & begun)])
+            words = counted(texts[k])
+            seen[0].update([*((w, False) for w in words.keys() & whole), *((stem, True) for stem in repeated(words, begun, len(texts[k])))])
     odds = lambda f: math.log((seen[1][f] + 0.5) / (positive + 1) / ((seen[0][f] + 0.5) / (negative + 1)))
     good = {f for f in frequent if odds(f) > 2 and 2 * seen[0][f] <= seen[1][f]}
+    good_stems = {t for t, stem in good if stem}
     for k in positives:
-        for w in words_of(texts[k]):
+        words = counted(texts[k])
+        own = repeated(words, good_stems, len(texts[k]))
+        for stem in own:
+            where[stem, True].append(k)
+        for w in words:
             if (w, False) in good:
                 where[w, False].append(k)
-            for n in range(4, min(len(w), 8)):
-                if (w[:n], True) in good:
-                    below[w[:n], True].add(w)
-                    where[w[:n], True].append(k)
+            for stem in stems_of([w]) & own:
+                below[stem, True].add(w)
     # A greedy cover: the term that explains most of the toxic texts left, less the clean ones that it hits; among equals a whole word, then the longest.
     left = {k for k in chosen if toxic[k]}
     candidates = {f: own for f, ks in where.items() if len(own := set(ks)) >= least and (not f[1] or len(below[f]) >= 3)}
@@ -366,7 +389,8 @@ def fit(texts: Sequence[str], toxic: list[int], rate: float) -> Model:
     count: dict[tuple[int, int, bool], list[int]] = defaultdict(lambda: [0, 0])
     for i in range(0, len(chosen), 500):
         part = chosen[i : i + 500]
-        for d, kind in kinds(model.matcher().hits([texts[k] for k in part])):
+        own = [texts[k] for k in part]
+        for d, kind in kinds(model.matcher().hits(own), [len(t) for t in own]):
             count[kind][toxic[part[d]]] += 1
     for term in range(len(terms)):
         for how in (EXACT, STEM, STEM + 10, STEM + 20, FUZZY, FUZZY_STEM):
@@ -388,9 +412,11 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     """Fit on rows of labels (doc_id, toxic) for which the column usable, over doc_id, is true.
 
     At most SAMPLE_TOXIC and SAMPLE_CLEAN rows are gathered, those of least hash; the classes' rates come from all usable
-    rows. Labels that are null, repeated or without a document are passed over.
+    rows. Labels that are null or without a document are passed over, as are those of an id whose labels contradict each
+    other; an id labelled alike several times counts once.
     """
-    rows = columns(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & usable).dropDuplicates(["doc_id"])
+    rows = columns(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & usable)
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     pick = lambda y, n: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)

@@ -148,12 +148,29 @@ def test_byte_bpe_of_a_vocabulary_whose_parts_come_late():
 
 
 def test_toxicity_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    got = [(labels[r["doc_id"]], r["predicted"]) for r in queries.op5_toxicity(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
-    hit = sum(a and b for a, b in got)
-    assert hit / max(1, sum(b for _, b in got)) > 0.9 and hit / sum(a for a, _ in got) > 0.75
-    assert docs.count() > len(got)
+    sf = "/root/testdata/sf0.1"
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.op5_toxicity(spark, sf).collect()
+    assert len(rows) == len(docs)
+    got = [(labels[r["doc_id"]], r["predicted"], docs[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    hit = sum(a and b for a, b, _ in got)
+    assert hit / sum(b for _, b, _ in got) > 0.95 and hit / sum(a for a, _, _ in got) > 0.9
+    for lang in ("en", "de", "fr", "es"):  # labels of texts without any telling word included
+        assert sum(a and b for a, b, x in got if x == lang) / sum(a for a, _, x in got if x == lang) > 0.9, lang
+
+
+def test_toxicity_labels_that_contradict_each_other(spark):
+    docs = spark.createDataFrame([(i, f"w{i} {'moron' if i < 40 else 'fine'}") for i in range(200)], "doc_id long, text string")
+    labels = [(i, int(i < 40)) for i in range(200)] + [(i, 1) for i in range(100, 150)] + [(0, 1), (None, 1), (7, None)]
+    want = toxicity.train(docs, spark.createDataFrame([r for r in labels if r[0] is not None and not 100 <= r[0] < 150], "doc_id long, toxic int"), F.lit(True))
+    got = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert got.words == want.words == ["moron"] and got.bias == want.bias and got.weight == want.weight
+
+
+def test_toxicity_apostrophes_are_no_quotation_marks():
+    m = toxicity.Matcher(["moron"], [])
+    assert [h[4] for h in m.hits(["don’t be a moron, it’s l’idée", "‘a moron’ said he", "a “moron” was the word"])] == [False, True, True]
 
 
 def test_toxicity_only_near_copies_collapse():
