@@ -273,6 +273,72 @@ def test_passages(spark):
     assert cleaned[0] == raw[0] and cleaned[1] == raw[1] and all(passage not in cleaned[i] for i in range(4, 40, 4))
 
 
+def brute_shared(texts, size):
+    """For each text, which bytes lie in a stretch of `size` bytes that another text holds too."""
+    holders = {}
+    for k, raw in enumerate(texts):
+        for i in range(len(raw) - size + 1):
+            own = holders.setdefault(raw[i : i + size], k)
+            if own != k:
+                holders[raw[i : i + size]] = -1
+    out = []
+    for raw in texts:
+        mask, last = np.zeros(len(raw), bool), -1
+        for i in range(len(raw) - size + 1):
+            if holders[raw[i : i + size]] == -1:
+                mask[max(i, last) : i + size] = True
+                last = i + size
+        out.append(mask)
+    return out
+
+
+def test_op1_recall_and_precision_against_brute_force(spark):
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in documents(spark).collect()]
+    ids, texts = [i for i, _ in rows], [t for _, t in rows]
+    covered = {i: np.zeros(len(t), bool) for i, t in rows}
+    for r in queries.op1_substring_dedup(spark, SF).collect():
+        assert not covered[r["doc_id"]][r["at"] : r["at"] + r["size"]].any()
+        covered[r["doc_id"]][r["at"] : r["at"] + r["size"]] = True
+    for size, least, bytes_least in ((100, 0.9, 0.9), (200, 0.98, 0.9), (300, 1.0, 0.9)):
+        want = brute_shared(texts, size)
+        found = total = 0
+        for i, mask in zip(ids, want):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+            for a, b in zip(edge[::2], edge[1::2]):
+                total += 1
+                found += covered[i][a:b].mean() >= 0.5
+        assert found / total >= least, (size, found, total)
+        assert sum((covered[i] & m).sum() for i, m in zip(ids, want)) / sum(m.sum() for m in want) >= bytes_least
+    loose = brute_shared(texts, 50)
+    assert sum((covered[i] & ~m).sum() for i, m in zip(ids, loose)) <= 0.001 * sum(c.sum() for c in covered.values())
+
+
+def test_passages_in_text_without_spaces_and_of_repeated_words(spark):
+    rng = random.Random(4)
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    code = lambda n: "".join(rng.choice("abcdefghij0123456789+/") for _ in range(n))
+    shared, packed = cjk(400), code(1500)
+    rows = [(1, cjk(900) + shared + cjk(300)), (2, cjk(77) + shared + cjk(2000)), (3, cjk(500)), (4, code(333) + packed), (5, packed + code(80)), (6, code(3000)), (7, cjk(10) + shared[:200] + "新" + shared[200:])]
+    rows += [(8, "alpha beta gamma " + "the " * 3000), (9, "alpha beta gamma " + "the " * 2500 + "end")]
+    got = {}
+    for r in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["at"], r["size"]))
+        raw = dict(rows)[r["doc_id"]].encode()
+        raw[r["at"] : r["at"] + r["size"]].decode()
+    assert set(got) == {1, 2, 4, 5, 7, 8, 9}
+    for i, size in ((1, 1200), (2, 1200), (4, 1500), (5, 1500), (7, 1200), (9, 10000)):
+        assert sum(n for _, n in got[i]) > 0.8 * size, i
+
+
+def test_repeats_are_cut_in_their_own_text_alone(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passage, other = text(70), "é" + text(170)
+    rows = [(1, text(40) + " " + passage), (2, passage + " " + text(40)), (2, other), (2, other)]
+    kept = sorted(r["text"] for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept.count(other) == 2 and rows[0][1] in kept and rows[1][1] not in kept and len(kept) == 4
+
+
 def test_passages_odd_rows(spark):
     assert {r["doc_id"] for r in substrings.passages(odd(spark)).collect()} == {1, 2, 3}
     kept = substrings.without_repeats(odd(spark))
