@@ -127,7 +127,7 @@ def shadow(baseline: DataFrame, candidate: DataFrame, minimum: int) -> DataFrame
 
 def scorecard(results: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted quality by model of results (model, …parts between 0 and 1), resource fit and verdict."""
-    means = results.groupBy("model").agg(F.count("*").alias("cases"), *(F.round(F.avg(p), 9).alias(p) for p in weights), F.expr("percentile_disc(0.5) within group (order by latency_ms)").alias("p50_ms"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95_ms"))
+    means = results.groupBy("model").agg(F.count("*").alias("cases"), *(F.round(F.avg(p), 9).alias(p) for p in weights), F.expr("percentile_disc(0.5) within group (order by latency_ms)").cast("bigint").alias("p50_ms"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").cast("bigint").alias("p95_ms"))
     total = sum(weights.values())
     quality = reduce(lambda a, b: a + b, (F.col(p) * (w / total) for p, w in weights.items()))
     fit = F.when(F.col("p95_ms") <= 1000, 1.0).when(F.col("p95_ms") <= 3000, 0.5).otherwise(0.0)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 FAILURES = {"timeout": "attempt_timeout", "schema": "schema_rejected", "memory": "out_of_memory", "cancel": "canceled", "error": "runtime_error"}
 
 
-def percentile(q: float, c: str) -> Column:
-    return F.expr(f"percentile_disc({q}) within group (order by {c})")
+def percentile(q: float, c: str, kind: str = "double") -> Column:
+    """A value of the column; kind: its type, which the aggregate turns to double."""
+    return F.expr(f"percentile_disc({q}) within group (order by {c})").cast(kind)
 
 
 def look_back(events: DataFrame, as_of: Column, windows: dict[str, int], value: str) -> DataFrame:
@@ -23,7 +24,7 @@ def look_back(events: DataFrame, as_of: Column, windows: dict[str, int], value:
 def slo(samples: DataFrame, target_ms: int, minimum: int = 100) -> DataFrame:
     """p95 and p99 of samples (phase, ms) by phase and over all; met only with enough samples."""
     spread = samples.withColumn("phase", F.explode(F.array(F.col("phase"), F.lit("all"))))
-    d = spread.groupBy("phase").agg(F.count("*").alias("n"), percentile(0.95, "ms").alias("p95"), percentile(0.99, "ms").alias("p99"))
+    d = spread.groupBy("phase").agg(F.count("*").alias("n"), percentile(0.95, "ms", "bigint").alias("p95"), percentile(0.99, "ms", "bigint").alias("p99"))
     return d.withColumn("met", (F.col("n") >= minimum) & (F.col("p95") <= target_ms))
 
 

@@ -23,7 +23,7 @@ def claim(jobs: DataFrame, limit: int) -> DataFrame:
     """The next jobs to run, in turn by task, each task's oldest first; jobs: (id, task, status, created_at, retries)."""
     ready = jobs.where("status = 'queued'")
     own = Window.partitionBy("task").orderBy("retries", "created_at", "id")
-    ranked = ready.withColumn("task_rank", F.row_number().over(own)).where(F.col("task_rank") <= limit)
+    ranked = ready.withColumn("task_rank", F.row_number().over(own).cast("bigint")).where(F.col("task_rank") <= limit)
     # At most limit rows of each task are left, so that the merge sorts few.
     return ranked.orderBy("task_rank", "task", "id").limit(limit).select("id", "task", "task_rank")
 
@@ -49,7 +49,7 @@ def sweep(jobs: DataFrame, lease_s: int, as_of: Column, max_attempts: int = 3) -
 def run_status(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     """Jobs with their latest receipt; receipts: (job_id, attempt, role, generate_ms, validation)."""
     latest = receipts.groupBy("job_id").agg(F.max_by(F.struct("attempt", "role", "generate_ms", "validation"), "attempt").alias("r"))
-    return jobs.join(latest, jobs["id"] == latest["job_id"], "left").select("id", "task", "status", F.coalesce("r.attempt", F.lit(0)).alias("attempts"), F.col("r.role").alias("last_role"), F.col("r.validation").alias("last_validation"), F.col("r.generate_ms").alias("last_ms"))
+    return jobs.join(latest, jobs["id"] == latest["job_id"], "left").select("id", "task", "status", F.coalesce("r.attempt", F.lit(0)).cast("bigint").alias("attempts"), F.col("r.role").alias("last_role"), F.col("r.validation").alias("last_validation"), F.col("r.generate_ms").alias("last_ms"))
 
 
 def backfill_manifest(subjects: DataFrame, page: int) -> DataFrame:

@@ -35,8 +35,14 @@ def rows_of(columns, rows):
     return [columns[k] for k in order], sorted((tuple(plain(r[k]) for k in order) for r in rows), key=repr)
 
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp", "DATE": "date"}
+
+
 def both(spark, con, query, sql, sf_dir):
+    """(columns, types, rows) of the query and of its SQL."""
     df = query(spark, sf_dir)
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
-    return ours, rows_of([c[0] for c in cur.description], cur.fetchall())
+    kinds = {c[0]: KINDS.get(str(c[1]), str(c[1])) for c in cur.description}
+    theirs = rows_of(list(kinds), cur.fetchall())
+    return (ours[0], dict(df.dtypes), ours[1]), (theirs[0], kinds, theirs[1])

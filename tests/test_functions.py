@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evidentia.functions import jsonx
+from evidentia.functions import identity, jsonx
 from evidentia.operators import freshness, graph, planning, queue
 from evidentia.sources.inputs import bounded
 from evidentia.streaming import changes
@@ -81,3 +81,18 @@ def test_stream_drops_late_rows_and_counts(spark, tmp_path):
 def test_claim_takes_turns(spark):
     jobs = spark.createDataFrame([(i, "ab"[i > 7], "queued", i, 0) for i in range(10)], "id long, task string, status string, created_at long, retries int")
     assert [r["id"] for r in queue.claim(jobs, 4).collect()] == [0, 8, 1, 9]
+
+
+def test_containment_of_scalars_in_arrays():
+    holds = lambda a, b: jsonx.contains(jsonx.loads(a), jsonx.loads(b))
+    assert holds("[1,2]", "1") and holds("[1,2]", "[2]") and not holds('{"a":[1,2]}', '{"a":1}') and holds('{"a":[1,2]}', '{"a":[1]}')
+    assert not holds("[[1,2]]", "1") and not holds("[[1,2]]", "[1]") and holds("[[1,2]]", "[[1]]") and holds('[{"a":1,"b":2}]', '[{"a":1}]') and not holds("1", "[1]") and not holds("true", "1")
+
+
+def test_columns_and_functions_write_the_same_canonical_text(spark):
+    values = ["plain", 'quote " and \\ slash', "tab\tnew\nline\r\b\f", "\x00\x1f", "é 日本 \u2028", "", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r["i"]: r["t"] for r in rows.select("i", identity.json_object(b=identity.json_string(F.col("v")), a=F.lit("1"), c=F.lit(None)).alias("t")).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == jsonx.canonical({"a": Decimal(1), "b": v, "c": None})
+        assert jsonx.canonical(jsonx.loads(got[i])) == got[i]
