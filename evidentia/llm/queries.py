@@ -21,7 +21,7 @@ def op1_substring_dedup(spark, sf_dir):
 
 
 def op2_language_model(spark, sf_dir):
-    found = language_model.scores(_table(spark, sf_dir, "documents"), _remainder(7) != 2)
+    found = language_model.scores(_table(spark, sf_dir, "documents"), _remainder(7) != 2, stable=True)
     held_out = F.coalesce(_remainder(7) == 2, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
