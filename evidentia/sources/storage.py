@@ -5,16 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to a table below the session's spark.checkpoint.dir, and read from there: its lineage is cut, and no executor's loss touches it."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_root(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, else its checkpoint folder. Where neither is set, a local session gets a temporary folder; on a cluster, whose executors share no such folder, that is an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="kept-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a table in shared storage, and read from there: its lineage is cut, and no executor's loss touches it."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
