@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns
+from .common import columns, tidy
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Texts of these characters alone may be split by the standard library's quicker engine, with the classes spelt out.
@@ -243,4 +243,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = _KNOWN_PATTERN,
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return columns(docs, "doc_id", "text").mapInArrow(run, schema)
+    return columns(docs, "doc_id", "text").mapInArrow(tidy(run), schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
 import numpy as np
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_root
+
 #: Bytes that end a word: space and tab to carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
@@ -95,18 +97,28 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name in the storage that all executors share: the session's spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    """A new folder name in the storage that all executors share, the session's spark.checkpoint.dir."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def tidy(run):
+    """run, for mapInArrow, giving the memory that it no longer uses back to the system when it ends: an idle Python worker would keep it."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:

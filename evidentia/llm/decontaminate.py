@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, tidy
 
 ERRORS, SHORT = 5, 20
 #: Characters of items that one automaton holds; longer lists of items are matched block by block.
@@ -122,7 +122,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> Data
     source, out = columns(docs, "doc_id", "text").where("length(text) > 0"), None
     for b in range(n):
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).sort("item_id", "text").collect()]
-        part = source.mapInArrow(_finding(own, errors), f"doc_id {key}, item_id {item}, distance int")
+        part = source.mapInArrow(tidy(_finding(own, errors)), f"doc_id {key}, item_id {item}, distance int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -159,5 +159,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS)
             for batch in batches:
                 yield batch.filter(pa.array([not finder.find(t) for t in batch.column(place).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, keep, mix
+from .common import columns, keep, mix, tidy
 from .graphs import components
 
 SAMPLES, PERIOD, BLOCK_CHARS = 64, 4096, 2 << 20
@@ -235,7 +235,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     key_type, key = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
     return with_next(docs).select("part", "tail", "doc_id", "text").mapInArrow(
-        run, f"doc_id {key}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        tidy(run), f"doc_id {key}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, columns, keep, mix, span_hashes, tokens
+from .common import LOWER, blocks, columns, keep, mix, span_hashes, tidy, tokens
 from .graphs import components
 
 PERMUTATIONS, BANDS = 64, 32
@@ -97,17 +97,17 @@ def _verify(similarity: int):
         leader, begun, own = None, False, []  # several sets where rows share the leader's id
         for batch in batches:
             leaders, ids, role = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sets = [s for _, part in shingle_sets(batch.column(4)) for s in part]
             a, b = [], []
-            for k, s in enumerate(sets):
-                if role[k] == 0:
-                    own = [*own, s] if leader == leaders[k] and begun else [s]
-                    leader, begun = leaders[k], True
-                    continue
-                begun = False
-                if any(100 * (n := len(np.intersect1d(x, s, assume_unique=True))) >= similarity * (len(x) + len(s) - n) and n for x in own):
-                    a.append(ids[k])
-                    b.append(leader)
+            for first, sets in shingle_sets(batch.column(4)):  # the sets of a block at a time
+                for k, s in enumerate(sets, first):
+                    if role[k] == 0:
+                        own = [*own, s] if leader == leaders[k] and begun else [s]
+                        leader, begun = leaders[k], True
+                        continue
+                    begun = False
+                    if any(100 * (n := len(np.intersect1d(x, s, assume_unique=True))) >= similarity * (len(x) + len(s) - n) and n for x in own):
+                        a.append(ids[k])
+                        b.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
     return run
@@ -121,7 +121,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame
     heads = split.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id")).join(texts, "id")
     rows = heads.select("leader", "part", "id", F.lit(0).alias("role"), "text").unionByName(members)
     n = max(12, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", "role").mapInArrow(_verify(similarity), "src bigint, dst bigint")
+    return rows.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", "role").mapInArrow(tidy(_verify(similarity)), "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
@@ -133,9 +133,10 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     can't be named: it is linked with nothing, its component_id is null and it is kept. Other columns are ignored.
     """
     docs = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    signed = keep(docs.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"), "signatures")
-    classes = signed.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    spread = classes.select("id", F.explode("bands").alias("bucket")).distinct()
+    signed = keep(docs.mapInArrow(tidy(_sign), "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"), "signatures")
+    classes = signed.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    # An id that several texts share has several sets: its size is a range.
+    spread = classes.select("id", F.explode("bands").alias("bucket"), "size").groupBy("id", "bucket").agg(F.min("size").alias("small"), F.max("size").alias("large"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = keep(spread.join(shared, "bucket"), "buckets")
     wanted = members.select("id").distinct()
@@ -153,15 +154,17 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
         if labelled.isEmpty():
             break
         order = Window.partitionBy("bucket").orderBy("id")
-        chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"))
-        pairs = labelled.join(chosen, "bucket").where("label <> leader_label and id > leader").select("id", "leader").distinct()
+        chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), F.col("small").alias("leader_small"), F.col("large").alias("leader_large"))
+        # Sets whose sizes are too far apart can't be similar enough: no text is fetched for them.
+        near = (100 * F.col("large") >= similarity * F.col("leader_small")) & (100 * F.col("leader_large") >= similarity * F.col("small"))
+        pairs = labelled.join(chosen, "bucket").where((F.col("label") != F.col("leader_label")) & (F.col("id") > F.col("leader")) & near).select("id", "leader").distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["id", "leader"], "left_anti")
         pairs = keep(pairs, "pairs")
         found = keep(_confirmed(pairs, texts, similarity), "links")
         edges = found if edges is None else edges.unionByName(found)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        members = keep(labelled.select("bucket", "id").join(chosen.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
+        members = keep(labelled.select("bucket", "id", "small", "large").join(chosen.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
         leaders = min(64, 8 * leaders)
     rows = signed.select("doc_id", "n_shingles", "set_id")
     named = classes.select("set_id", F.col("id").alias("first_id"))
@@ -184,8 +187,12 @@ def _class_links(signed: DataFrame) -> DataFrame | None:
 def one_of_each(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each group of near duplicates does, with docs' own columns.
 
-    Rows equal in doc_id and text count as one. Rows whose doc_id is null all stay.
+    Rows equal in doc_id and text count as one. Rows whose doc_id is null all stay. An empty table gives no rows.
     """
-    found = near_duplicates(docs, similarity).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, similarity).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
+    named = docs.join(keep(found, "found"), F.col("doc_id").cast("bigint") == F.col("__kept_id"))
+    once, several = named.where("__rows = 1"), named.where("__rows > 1")
+    # Only ids that several rows share are sorted out by text, of which a digest of 128 bits is the key.
+    own = [docs[c] for c in docs.columns]
+    several = several.withColumn("__text", F.coalesce(F.md5("text"), F.lit(""))).dropDuplicates(["__kept_id", "__text"])
+    return once.select(*own).unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))

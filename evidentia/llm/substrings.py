@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, blocks, columns
+from .common import WHITE, blocks, columns, tidy
 
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 GEAR[0] = 0
@@ -135,7 +135,7 @@ def chunks(docs: DataFrame, place: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
 
     source = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("name"), "text").where("doc_id is not null and length(text) > 0")
-    return source.mapInArrow(run, "doc_id bigint, digest bigint" + ", text_nth bigint, at_size bigint" * place)
+    return source.mapInArrow(tidy(run), "doc_id bigint, digest bigint" + ", text_nth bigint, at_size bigint" * place)
 
 
 def passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -203,4 +203,4 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
             arrays[c] = pa.array([o if s is None else s for o, s in zip(arrays[c].to_pylist(), size)], arrays[c].type)
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1]).filter(pa.array(stay))
 
-    return joined.select(*(docs[c] for c in docs.columns), "__cuts").mapInArrow(run, docs.schema)
+    return joined.select(*(docs[c] for c in docs.columns), "__cuts").mapInArrow(tidy(run), docs.schema)

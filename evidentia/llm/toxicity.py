@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns
+from .common import blocks, columns, tidy
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most, of either class, chosen by a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -450,7 +450,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {key}, score double, predicted int")
+    return columns(docs, "doc_id", "text").mapInArrow(tidy(run), f"doc_id {key}, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -465,4 +465,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
             for rows, texts in _parts(batch, place):
                 yield rows.filter(pa.array(model.scores(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
