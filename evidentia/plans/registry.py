@@ -7,21 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import identity, jsonx
 from ..operators import evaluation, freshness, graph, judging, observability, planning, queue, revisions, semantic
 from ..streaming import changes
-from . import fixtures as X
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {X.SQL.strip()} {sql}"
-        return f
-
-    return add
-
+from . import families, fixtures as X, lifecycle  # noqa: F401  both add their queries
+from .catalog import ORACLES, QUERIES, query
 
 def queries() -> dict:
     return dict(QUERIES)
