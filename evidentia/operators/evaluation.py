@@ -42,11 +42,60 @@ def ordering_bias(coverage_: DataFrame) -> DataFrame:
     return coverage_.agg(F.count("*").alias("sources"), F.round(F.max("mean_rank") - F.min("mean_rank"), 12).alias("ordering_bias"), F.min("coverage").alias("least_coverage"))
 
 
-def gate_failures(coverage_: DataFrame, least: float, bias: float) -> DataFrame:
-    """The gates, in order, that a coverage report fails."""
-    one = ordering_bias(coverage_)
-    tests = F.array(F.when(F.col("sources") == 0, "no_sources"), F.when(F.col("least_coverage") < least, "coverage_below_minimum"), F.when(F.col("ordering_bias") > bias, "ordering_bias_above_maximum"))
-    return one.select(F.posexplode(F.array_compact(tests)).alias("nth", "failure"))
+def coverage_report(candidates: DataFrame, positives: DataFrame, cap: int) -> DataFrame:
+    """One row of what the gates look at: positives, how many are candidates and how many within the cap, by-source extremes, bias, and whether ranks are 1 to n without gaps or ties."""
+    per = coverage(candidates, positives, cap)
+    shape = candidates.groupBy("source", "query").agg((F.countDistinct("rank") == F.count("*")).alias("apart"), (F.min("rank") == 1).alias("first"), (F.max("rank") == F.count("*")).alias("whole"))
+    ranks = shape.agg(F.coalesce(F.bool_and(F.col("apart") & F.col("first") & F.col("whole")), F.lit(False)).alias("contiguous"))
+    found = positives.join(candidates.select("source", "query", "item").distinct(), ["source", "query", "item"], "left_semi").agg(F.count("*").alias("in_candidates"))
+    total = per.agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"), F.coalesce(F.sum("in_bounded"), F.lit(0)).alias("in_bounded"), F.min("positives").alias("least_support"), F.min("coverage").alias("least_coverage"), F.round(F.max("mean_rank") - F.min("mean_rank"), 12).alias("ordering_bias"))
+    d = total.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(found))  # one row each
+    return d.withColumn("coverage", rate(F.col("in_bounded"), F.col("positives"))).withColumn("cap_excluded", F.col("in_candidates") - F.col("in_bounded")).withColumn("missed", F.col("positives") - F.col("in_candidates"))
+
+
+def gate_failures(report: DataFrame, rule: dict[str, float]) -> DataFrame:
+    """(nth, failure) of the seven gates, in order, that a coverage report fails."""
+    c = F.col
+    tests = [
+        ("candidate_sql_not_bounded_prefix", ~c("contiguous")), ("positive_support_below_minimum", c("positives") < rule["support"]), ("source_support_below_minimum", c("least_support") < rule["source_support"]),
+        ("overall_coverage_below_minimum", F.coalesce("coverage", F.lit(0.0)) < rule["coverage"]), ("source_coverage_below_minimum", c("least_coverage") < rule["source_coverage"]),
+        ("cap_excluded_positive_pairs_exceeded", c("cap_excluded") > rule["cap_excluded"]), ("ordering_bias_exceeded", c("ordering_bias") > rule["bias"]),
+    ]
+    rows = F.array(*(F.struct(F.lit(k).alias("nth"), F.lit(name).alias("failure"), F.coalesce(test, F.lit(False)).alias("failed")) for k, (name, test) in enumerate(tests, 1)))
+    return report.select(F.inline(F.filter(rows, lambda r: r["failed"]))).select("nth", "failure")
+
+
+def qualification(runs: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """(variant, runs, failed, qualified) of runs (variant, run, slice, …measures): every run must reach each threshold, overall and in every slice."""
+    below = [F.coalesce(F.col(m) < least, F.lit(True)) for m, least in thresholds.items()]
+    failed = reduce(lambda a, b: a | b, below)
+    d = runs.groupBy("variant").agg(F.countDistinct("run").alias("runs"), F.count_if(failed).alias("failed"), F.bool_and(~failed).alias("qualified"))
+    return d
+
+
+#: Share of each part in a model's quality, of each part in its diagnostic quality, and of each fit in its resource fit.
+QUALITY = dict(contract=0.13, entity_resolution=0.19, abstention=0.10, dirty_data=0.10, triage=0.08, numeric_evidence=0.05, extraction=0.08, policy_check=0.07, user_suite=0.03, row_watch=0.07, typed_action=0.04, materialization=0.04, confidence=0.02)
+FITS = dict(artifact_gb=(0.4, 2.0), resident_gb=(0.3, 2.5), p95_ms=(0.2, 20000.0), active_params_b=(0.1, 3.0))
+#: Verdicts from the best down: least values, and most values, of the measures that each asks for.
+_TRUSTED = ({"schema_valid": 0.95, "contract": 0.95, "confidence": 0.95, "entity_accuracy": 0.8, "triage": 0.8, "extraction": 0.8, "policy_check": 0.8, "materialization": 0.95}, {"false_merge": 0.0, "hallucinated": 0.01})
+VERDICTS = [
+    ("default_candidate", {**_TRUSTED[0], "quality": 0.9}, _TRUSTED[1]), ("eligible_candidate", *_TRUSTED),
+    ("triage_candidate", {"schema_valid": 0.5, "triage": 0.7, "confidence": 0.5}, {"false_merge": 0.0, "hallucinated": 0.01}),
+    ("row_watch_candidate", {"row_watch": 0.7, "materialization": 0.5}, {}), ("hard_case_candidate", {"entity_resolution": 0.5, "schema_valid": 0.5}, {"false_merge": 0.0}),
+    ("partial_candidate", {"schema_valid": 0.25}, {}), ("partial_candidate", {"materialization": 0.25}, {}), ("partial_candidate", {"row_watch": 0.25}, {}), ("diagnostic_only", {"diagnostic": 0.2}, {}),
+]
+
+
+def model_scores(models: DataFrame) -> DataFrame:
+    """models (model, …measures of QUALITY, FITS and VERDICTS, complete, crashes) with quality, resource_fit, overall and verdict."""
+    quality = reduce(lambda a, b: a + b, (F.col(k) * w for k, w in QUALITY.items()))
+    fit = reduce(lambda a, b: a + b, (F.when(F.col(k) > 0, F.least(F.lit(1.0), F.lit(most) / F.col(k))).otherwise(0.0) * w for k, (w, most) in FITS.items()))
+    d = models.withColumn("quality", F.round(quality, 9)).withColumn("resource_fit", F.round(fit, 9))
+    d = d.withColumn("overall", F.round(F.col("quality") * (0.75 + 0.25 * F.col("resource_fit")), 9))
+    verdict = F.when(~F.col("complete"), "not_supported").when(F.col("crashes") > 0, "unsafe_rejected")
+    for name, least, most in VERDICTS:
+        verdict = verdict.when(reduce(lambda a, b: a & b, [F.col(k) >= v for k, v in least.items()] + [F.col(k) <= v for k, v in most.items()]), name)
+    return d.withColumn("verdict", verdict.when(F.col("schema_valid") > 0, "contract_blocked").otherwise("unusable"))
 
 
 def entity_resolution(pairs: DataFrame) -> DataFrame:
@@ -126,10 +175,8 @@ def shadow(baseline: DataFrame, candidate: DataFrame, minimum: int) -> DataFrame
 
 
 def scorecard(results: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted quality by model of results (model, …parts between 0 and 1), resource fit and verdict."""
+    """Weighted quality by model of results (model, …parts between 0 and 1), with the median and the 95th percentile of latency_ms."""
     means = results.groupBy("model").agg(F.count("*").alias("cases"), *(F.round(F.avg(p), 9).alias(p) for p in weights), F.expr("percentile_disc(0.5) within group (order by latency_ms)").cast("bigint").alias("p50_ms"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").cast("bigint").alias("p95_ms"))
     total = sum(weights.values())
     quality = reduce(lambda a, b: a + b, (F.col(p) * (w / total) for p, w in weights.items()))
-    fit = F.when(F.col("p95_ms") <= 1000, 1.0).when(F.col("p95_ms") <= 3000, 0.5).otherwise(0.0)
-    d = means.withColumn("quality", F.round(quality, 9)).withColumn("resource_fit", fit).withColumn("overall", F.round(quality * (0.75 + 0.25 * fit), 9))
-    return d.withColumn("verdict", F.when(F.col("quality") >= 0.9, "default_candidate").when(F.col("quality") >= 0.6, "usable").otherwise("not_viable"))
+    return means.withColumn("quality", F.round(quality, 9))

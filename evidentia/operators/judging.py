@@ -44,3 +44,8 @@ def cascade(cheap: DataFrame, strong: DataFrame) -> DataFrame:
     good = cheap.where("reason = 'accepted_by_policy'").withColumn("role", F.lit("cheap"))
     rest = strong.join(good.select("subject_id"), "subject_id", "left_anti").withColumn("role", F.lit("strong"))
     return good.unionByName(rest)
+
+
+def direct_gate(confidence: Column, answer: Column, enforced: Column) -> Column:
+    """Why an answer asked for directly is or isn't trusted; unless enforced it is."""
+    return F.when(~enforced, "accepted_by_policy").otherwise(acceptance(confidence, answer))

@@ -31,3 +31,40 @@ def plan(counts: DataFrame, **options) -> DataFrame:
     d = d.withColumn("path", path).withColumn("lookup_ms", lookup)
     d = d.withColumn("queue_ms", F.round(F.col("lookup_ms") + F.col("refresh") * o["model_ms"], 2)).withColumn("infer_ms", F.round(F.col("infer_now") * o["model_ms"], 2))
     return d.withColumn("cost_ms", F.round(cost, 2)).withColumn("freshness", F.when(total == 0, 1.0).otherwise(F.round(fresh / total, 4)))
+
+
+def maintained(requests: DataFrame, statistics: DataFrame, as_of) -> DataFrame:
+    """Counts of requests (task, revision, fallback) from statistics kept with the state, never from the subjects: (task, total, fresh, stale, missing, expired, count_basis).
+
+    statistics: (task, revision, total, fresh, stale, missing, basis, valid_until), one small row a task and revision.
+    Without a row everything is missing (maintained_missing); an invalid row's parts count for nothing; past valid_until all
+    that was fresh is stale, as many as `expired`.
+    """
+    s = statistics.select("task", "revision", *(F.col(c).alias(f"s_{c}") for c in ("total", "fresh", "stale", "missing")), "basis", "valid_until")
+    d = requests.join(s, ["task", "revision"], "left")
+    fallback = F.greatest(F.coalesce("fallback", F.lit(0)), F.lit(0))
+    invalid, late = F.col("basis") == "maintained_invalid", F.col("valid_until") <= as_of
+    none = F.col("basis").isNull()
+    zero = F.lit(0).cast("bigint")
+    total = F.when(none, fallback).when(invalid, F.greatest("s_total", fallback)).otherwise(F.col("s_total"))
+    return d.select(
+        "task", total.alias("total"), F.when(none | invalid | late, zero).otherwise(F.col("s_fresh")).alias("fresh"),
+        F.when(none | invalid, zero).when(late, F.col("s_fresh") + F.col("s_stale")).otherwise(F.col("s_stale")).alias("stale"),
+        F.when(none | invalid, total).otherwise(F.col("s_missing")).alias("missing"), F.when(~none & ~invalid & late, F.col("s_fresh")).otherwise(zero).alias("expired"),
+        F.when(none, "maintained_missing").when(invalid, "maintained_invalid").when(late, "maintained_expired").otherwise(F.col("basis")).alias("count_basis"),
+    )
+
+
+def eta(samples: DataFrame, backlog, rate_floor_ms: float, newest: int = 101) -> DataFrame:
+    """Service time and time to catch up, by task, from the newest samples (task, priority, finished_at, id, ms) of each task's best priority class.
+
+    backlog: jobs waiting, by task, as a column. The time to catch up is backlog times the median, and never less than the rate floor and one median.
+    """
+    from pyspark.sql import Window
+
+    best = samples.groupBy("task").agg(F.min("priority").alias("priority"))
+    order = Window.partitionBy("task").orderBy(F.col("finished_at").desc(), F.col("id").desc())
+    kept = samples.join(best, ["task", "priority"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= newest)
+    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by ms)").cast("bigint")
+    d = kept.groupBy("task").agg(F.count("*").alias("samples"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"))
+    return d.withColumn("catch_up_ms", F.greatest(backlog * F.col("p50"), F.lit(rate_floor_ms).cast("bigint") + F.col("p50")))

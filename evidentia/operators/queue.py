@@ -19,13 +19,68 @@ def admission(tasks: DataFrame, row_cap: int, depth_cap: int, byte_cap: int) ->
     return tasks.withColumn("decision", why)
 
 
-def claim(jobs: DataFrame, limit: int) -> DataFrame:
-    """The next jobs to run, in turn by task, each task's oldest first; jobs: (id, task, status, created_at, retries)."""
-    ready = jobs.where("status = 'queued'")
-    own = Window.partitionBy("task").orderBy("retries", "created_at", "id")
-    ranked = ready.withColumn("task_rank", F.row_number().over(own).cast("bigint")).where(F.col("task_rank") <= limit)
-    # At most limit rows of each task are left, so that the merge sorts few.
-    return ranked.orderBy("task_rank", "task", "id").limit(limit).select("id", "task", "task_rank")
+def attempt_ms(asked: Column, policy: int) -> Column:
+    """Time that an attempt may take: what was asked for, else the policy, between 1 ms and the policy."""
+    return F.least(F.greatest(F.coalesce(asked, F.lit(policy)), F.lit(1)), F.lit(policy)).cast("bigint")
+
+
+def lease_ms(lease: Column, attempt: Column) -> Column:
+    """A lease outlives its attempt by half a minute."""
+    return F.greatest(lease, attempt + 30_000).cast("bigint")
+
+
+def claim(jobs: DataFrame, limit: int, as_of: Column, cursor: str = "", slots: int | None = None, lease: int = 60_000) -> DataFrame:
+    """(id, task, task_rank, job_rank, leased_until, fence): the next jobs to run, in turn by task.
+
+    jobs: (id, task, status, created_at, retries, leased_until). Queued jobs are ready, and running ones whose lease is over
+    or lacking; those come first within their task, then the oldest. Tasks beyond the cursor come before the others, then
+    by retries and name. At most `limit` jobs, and no more than the free slots. fence numbers the claims of a job: a worker
+    with an older number has lost its lease.
+    """
+    now = as_of.cast("timestamp").cast("long")
+    late = F.coalesce(F.col("leased_until").cast("timestamp").cast("long") < now, F.lit(True))
+    ready = jobs.withColumn("expired", F.col("status").isin("running", "cancel_requested") & late).where((F.col("status") == "queued") | F.col("expired"))
+    n = limit if slots is None else min(limit, slots)
+    own = Window.partitionBy("task").orderBy(F.col("expired").desc(), "created_at", "id")
+    ranked = ready.withColumn("job_rank", F.row_number().over(own)).where(F.col("job_rank") <= n)
+    tasks = ready.groupBy("task").agg(F.min("retries").alias("retry_rank"))
+    turn = Window.orderBy((F.col("task") <= cursor).cast("int"), "retry_rank", "task")  # one row a task
+    tasks = tasks.withColumn("task_rank", F.row_number().over(turn).cast("bigint")).select("task", "task_rank")
+    # At most n rows of each task are left, so that the merge sorts few.
+    chosen = ranked.join(F.broadcast(tasks), "task").orderBy("job_rank", "task_rank").limit(n)
+    return chosen.select("id", "task", "task_rank", F.col("job_rank").cast("bigint").alias("job_rank"), F.timestamp_millis((now + F.lit(lease // 1000)) * 1000).alias("leased_until"), (F.col("retries") + 1).alias("fence"))
+
+
+def submitted(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """The first of the requests (request_key, task, subject_id, seq) for each key that isn't known: asking again submits nothing."""
+    first = requests.groupBy("request_key").agg(F.min_by(F.struct("task", "subject_id", "seq"), "seq").alias("r"))
+    return first.join(known.select("request_key"), "request_key", "left_anti").select("request_key", "r.*")
+
+
+def subject_input(inputs: DataFrame, subject: str) -> DataFrame:
+    """One subject's input: the filter reaches the scan."""
+    return inputs.where(F.col("subject_id") == subject)
+
+
+def new_jobs(inputs: DataFrame, active: DataFrame) -> DataFrame:
+    """(subject_id, input) without the subjects that an active job (subject_id, input) of the same input works on; one whose active input differs is refused (conflict)."""
+    a = active.select("subject_id", F.col("input").alias("active_input"))
+    d = inputs.join(a, "subject_id", "left")
+    return d.where("active_input is null or active_input <> input").select("subject_id", "input", F.col("active_input").isNotNull().alias("conflict"))
+
+
+def retention(rows: DataFrame, at: str, as_of: Column, days: dict[str, int], kind: str) -> DataFrame:
+    """Rows with whether they have outlived their kind's retention; kinds without one are kept."""
+    age = F.coalesce(*(F.when(F.col(kind) == k, F.lit(n)) for k, n in days.items()), F.lit(None).cast("int"))
+    gone = F.col(at).cast("timestamp").cast("long") + age.cast("bigint") * 86400 < as_of.cast("timestamp").cast("long")
+    return rows.withColumn("expired", F.coalesce(gone, F.lit(False)))
+
+
+def slices(items: DataFrame, order: list[str], count: int, size: str, most: int) -> DataFrame:
+    """Items of maintenance with their slice: within each group of `task`, running sums of 1 and of a size, cut at a budget of items and of size."""
+    w = Window.partitionBy("task").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = items.withColumn("n", F.count("*").over(w)).withColumn("used", F.sum(size).over(w))
+    return d.withColumn("slice", F.greatest(F.ceil(F.col("n") / count), F.ceil(F.col("used") / most))).drop("n", "used")
 
 
 def queue_status(jobs: DataFrame) -> DataFrame:

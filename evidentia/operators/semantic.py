@@ -99,3 +99,40 @@ def materialize(inputs: DataFrame, jobs: DataFrame) -> DataFrame:
     order = Window.partitionBy("subject_id").orderBy(F.col("finished_at").desc(), F.col("id").desc())
     joined = inputs.join(done, ["subject_id", "content_hash"]).withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return joined.select("subject_id", "content_hash", F.col("id").alias("job_id"), "body")
+
+
+def unresolved(inputs: DataFrame, current: DataFrame, inflight: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` inputs, in bytewise order of subject, that have no fresh judgment and no work in flight: what may be judged at once."""
+    rest = inputs.join(current.where("is_fresh").select("subject_id"), "subject_id", "left_anti").join(inflight.select("subject_id").distinct(), "subject_id", "left_anti")
+    return rest.orderBy("subject_id").limit(limit)
+
+
+def semantic_filter_auto(rows: DataFrame, key: str, inputs: DataFrame, current: DataFrame, inflight: DataFrame, judged: Column, holds: Column, limit: int) -> DataFrame:
+    """semantic_filter, with up to `limit` subjects that lack a fresh judgment judged now; judged: whether such an input matches."""
+    now = unresolved(inputs, current, inflight, limit).where(judged).select("subject_id")
+    found = matching(current, holds).unionByName(now).withColumnRenamed("subject_id", "_subject")
+    return rows.join(found, rows[key].cast("string") == F.col("_subject"), "left_semi")
+
+
+def exact_counts(inputs: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: total, fresh, stale and missing subjects, and an object of the stale ones' reasons; rows and pairs alike."""
+    from ..functions.jsonx import object_of
+
+    flags = inputs.select("subject_id").join(current.select("subject_id", "is_fresh", "stale_reason"), "subject_id", "left")
+    counts = flags.agg(F.count("*").alias("total"), F.count_if(F.col("is_fresh")).alias("fresh"), F.count_if(~F.col("is_fresh")).alias("stale"), F.count_if(F.col("is_fresh").isNull()).alias("missing"))
+    reasons = flags.where("not is_fresh").groupBy(F.coalesce("stale_reason", F.lit("content_revalidation_pending")).alias("reason")).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(reasons.agg(object_of(F.col("reason"), F.col("n")).alias("stale_reasons"))))  # one row each
+
+
+def needs_work(transitions: DataFrame, current: DataFrame) -> DataFrame:
+    """(subject_id, transition) of the pairs that must be judged: added, changed or restored ones, and unchanged ones whose judgment isn't fresh."""
+    fresh = current.where("is_fresh").select("subject_id", F.lit(True).alias("fresh"))
+    joined = transitions.where("transition <> 'removed'").join(fresh, "subject_id", "left")
+    return joined.where("transition <> 'unchanged' or fresh is null").select("subject_id", "transition")
+
+
+def batches(subjects: DataFrame, size: int = 64) -> DataFrame:
+    """(subject_id, batch): batches of `size` subjects in bytewise order, numbered from 1 as backfill pages are."""
+    from .queue import backfill_manifest
+
+    return backfill_manifest(subjects, size).select("subject_id", F.col("page").alias("batch"))

@@ -1 +1,483 @@
 """Pairs, corrections, claims, reviews and reports: queries over derived state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import actions, corrections, evaluation, judging, observability, planning, queue, review, semantic
+from ..sources import exports
+from ..streaming import changes
+from . import fixtures as X
+from .catalog import query
+
+_T = "timestamp"
+_when = lambda text: F.lit(text).cast(_T)  # noqa: E731  a literal, made inside a query
+
+# Pairs ---------------------------------------------------------------------------------------------------------------------
+
+_PAIRS = """, pair_inputs AS (SELECT subject_id, left_id, right_id, 'c' || (shared * 2 + conflicting)::varchar AS content_hash FROM pairs),
+pair_state AS (SELECT subject_id, left_id, right_id, 'c' || (shared * 2 + CASE WHEN left_id % 7 = 0 THEN 1 - conflicting ELSE conflicting END)::varchar AS content_hash, left_id % 19 = 0 AS old, CASE WHEN right_id % 13 = 0 THEN 'source_update' WHEN right_id % 17 = 0 THEN 'manual' WHEN right_id % 29 = 0 THEN 'candidate_removed' END AS reason, CASE WHEN conflicting > 0 THEN 'different_entity' WHEN shared > 0 THEN 'same_entity' ELSE 'unclear' END AS match FROM pairs WHERE left_id % 8 <> 0),
+pair_current AS (SELECT i.subject_id, s.match, CASE WHEN i.content_hash = s.content_hash AND NOT old THEN CASE WHEN reason IS NULL THEN CASE WHEN i.right_id % 2 = 0 THEN 'mvcc_match' ELSE 'content_hash_match' END WHEN reason = 'source_update' THEN 'revalidated_after_benign_update' END END AS basis, CASE WHEN old THEN 'contract_changed' ELSE coalesce(reason, 'content_revalidation_pending') END AS why FROM pair_inputs i JOIN pair_state s USING (subject_id)),
+pair_rows AS (SELECT subject_id, match, basis IS NOT NULL AS is_fresh, CASE WHEN basis IS NULL THEN why END AS stale_reason, basis AS freshness_basis FROM pair_current)"""
+
+
+def _pair_inputs(s, d):
+    p = X.pairs(s, d)
+    return p.select("subject_id", "left_id", F.concat(F.lit("c"), (F.col("shared") * 2 + F.col("conflicting")).cast("string")).alias("content_hash"), F.lit("k2").alias("contract_hash"), F.lit("s1").alias("source_hash"))
+
+
+def _pair_state(s, d):
+    p = X.pairs(s, d).where("left_id % 8 <> 0")
+    r, left = F.col("right_id"), F.col("left_id")
+    was = F.when(left % 7 == 0, 1 - F.col("conflicting")).otherwise(F.col("conflicting"))
+    reason = F.when(r % 13 == 0, "source_update").when(r % 17 == 0, "manual").when(r % 29 == 0, "candidate_removed")
+    return p.select(left.alias("id"), "subject_id", judging.match_rule(F.col("conflicting"), F.col("shared"))["match"].alias("body"), F.concat(F.lit("c"), (F.col("shared") * 2 + was).cast("string")).alias("content_hash"), F.when(left % 19 == 0, "k1").otherwise("k2").alias("contract_hash"), F.when(r % 2 == 0, "s1").otherwise("s0").alias("source_hash"), reason.isNotNull().alias("stale"), reason.alias("stale_reason"), left.alias("updated_at"))
+
+
+def _pair_current(s, d):
+    return semantic.current_rows(_pair_inputs(s, d), _pair_state(s, d), False)
+
+
+@query(f"{_PAIRS} SELECT subject_id, match, is_fresh, stale_reason, freshness_basis FROM pair_rows")
+def pair_current_rows(s, d):
+    return _pair_current(s, d).withColumnRenamed("body", "match")
+
+
+@query(f"{_PAIRS} SELECT p.subject_id FROM pairs p WHERE p.subject_id IN (SELECT subject_id FROM pair_rows WHERE is_fresh AND match = 'same_entity')")
+def pair_matches(s, d):
+    return semantic.semantic_filter(X.pairs(s, d).select("subject_id"), "subject_id", _pair_current(s, d), F.col("body") == "same_entity")
+
+
+_COUNTS = """SELECT count(*) AS total, count(*) FILTER (is_fresh) AS fresh, count(*) FILTER (NOT is_fresh) AS stale, count(*) FILTER (is_fresh IS NULL) AS missing, (SELECT '{' || string_agg('"' || why || '":' || n, ',' ORDER BY why) || '}' FROM (SELECT stale_reason AS why, count(*) AS n FROM %s WHERE NOT is_fresh GROUP BY 1)) AS stale_reasons FROM %s LEFT JOIN %s USING (subject_id)"""
+
+
+@query(f"{_PAIRS} {_COUNTS % ('pair_rows', 'pair_inputs', 'pair_rows')}")
+def pair_exact_counts(s, d):
+    return semantic.exact_counts(_pair_inputs(s, d), _pair_current(s, d))
+
+
+@query(_COUNTS % ("current_rows", "inputs", "current_rows"))
+def row_exact_counts(s, d):
+    return semantic.exact_counts(X.customer_inputs(s, d), semantic.current_rows(X.customer_inputs(s, d), X.customer_state(s, d), False))
+
+
+@query(f"""{_PAIRS} SELECT subject_id, transition FROM (SELECT i.subject_id, r.is_fresh, CASE WHEN s.content_hash IS NULL THEN 'added' WHEN i.content_hash <> s.content_hash THEN 'changed' WHEN s.reason = 'candidate_removed' THEN 'restored' ELSE 'unchanged' END AS transition FROM pair_inputs i LEFT JOIN pair_state s USING (subject_id) LEFT JOIN pair_rows r USING (subject_id)) WHERE transition <> 'unchanged' OR NOT coalesce(is_fresh, false)""")
+def pair_refresh_inputs(s, d):
+    moved = semantic.reconcile(_pair_inputs(s, d), _pair_state(s, d))
+    return semantic.needs_work(moved, _pair_current(s, d))
+
+
+def _flag():
+    return F.get_json_object("body", "$.decision") == "flag"
+
+
+def _row_current(s, d):
+    return semantic.current_rows(X.customer_inputs(s, d), X.customer_state(s, d), False)
+
+
+def _inflight(s, d):
+    return X.customer_inputs(s, d).where("cast(subject_id as bigint) % 5 = 0")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT k FROM current_rows WHERE is_fresh AND decision = 'flag') OR c_custkey IN (SELECT k FROM (SELECT i.k, s.blockers FROM inputs i JOIN signals s ON s.c_custkey = i.k WHERE i.k % 5 <> 0 AND i.k NOT IN (SELECT k FROM current_rows WHERE is_fresh) ORDER BY i.subject_id LIMIT 20) WHERE blockers > 0)")
+def semantic_match_auto(s, d):
+    inputs = X.customer_inputs(s, d)
+    return semantic.semantic_filter_auto(X.table(s, d, "customer").select("c_custkey"), "c_custkey", inputs, _row_current(s, d), _inflight(s, d), F.get_json_object("content", "$.blockers").cast("int") > 0, _flag(), 20)
+
+
+@query("SELECT subject_id, ((row_number() OVER (ORDER BY subject_id) + 63) // 64)::bigint AS batch FROM inputs WHERE k NOT IN (SELECT k FROM current_rows WHERE is_fresh)")
+def refresh_batches(s, d):
+    """64 subjects a batch, in bytewise order."""
+    stale = X.customer_inputs(s, d).join(_row_current(s, d).where("is_fresh"), "subject_id", "left_anti")
+    return semantic.batches(stale)
+
+
+@query("SELECT subject_id, content FROM (SELECT subject_id, '{\"approvals\":' || approvals || ',\"blockers\":' || blockers || ',\"segment\":\"' || c_mktsegment || '\"}' AS content FROM inputs JOIN signals ON c_custkey = k) WHERE subject_id = '7'")
+def subject_input(s, d):
+    return queue.subject_input(X.customer_inputs(s, d), "7").select("subject_id", "content")
+
+
+# Judging -------------------------------------------------------------------------------------------------------------------
+
+@query("SELECT p_partkey::varchar AS subject_id, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS answer, p_size::bigint AS weight FROM part")
+def model_answers(s, d):
+    """A model asked in Arrow batches, equal inputs once."""
+    import pandas as pd
+
+    def model(batches):
+        for b in batches:
+            size = b["content_hash"].astype(int)
+            yield pd.DataFrame({"content_hash": b["content_hash"], "answer": size.gt(25).map({True: "large", False: "small"}), "weight": size})
+
+    rows = X.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("subject_id"), F.col("p_size").cast("string").alias("content_hash"))
+    return judging.judge(rows, model, "content_hash string, answer string, weight bigint").select("subject_id", "answer", "weight")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'accepted_by_policy' WHEN l_quantity < 10 THEN 'missing_confidence_field' WHEN l_quantity < 30 THEN 'confidence_below_policy' WHEN l_returnflag = 'N' THEN 'missing_decision_field' WHEN l_returnflag = 'R' THEN 'abstained_output' ELSE 'accepted_by_policy' END AS reason, CASE WHEN l_quantity < 10 THEN 10000 ELSE least(greatest((l_quantity * 1000)::bigint, 1), 10000) END AS attempt_ms, greatest(25000, CASE WHEN l_quantity < 10 THEN 10000 ELSE least(greatest((l_quantity * 1000)::bigint, 1), 10000) END + 30000) AS lease_ms FROM lineitem")
+def direct_gate(s, d):
+    """Whether an answer asked for directly is trusted, and how long its attempt and its lease may last."""
+    q = F.col("l_quantity")
+    conf = F.when(q < 10, None).when(q < 30, "medium").otherwise("high")
+    answer = F.when(F.col("l_returnflag") == "N", None).when(F.col("l_returnflag") == "R", "unclear").otherwise("same")
+    attempt = queue.attempt_ms(F.when(q >= 10, (q * 1000).cast("bigint")), 10_000)
+    return X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", judging.direct_gate(conf, answer, F.col("l_linenumber") % 2 == 1).alias("reason"), attempt.alias("attempt_ms"), queue.lease_ms(F.lit(25_000), attempt).alias("lease_ms"))
+
+
+# Corrections ---------------------------------------------------------------------------------------------------------------
+
+_CORRECTED = """, fixes AS (SELECT i.k AS correction_id, i.subject_id, 'pass' AS body, i.source_hash, CASE WHEN i.k % 10 = 0 THEN 'old' ELSE i.content_hash END AS content_hash, i.contract_hash, CASE WHEN i.k % 9 = 0 THEN 1 ELSE 3 END AS expires_at, NULL::bigint AS supersedes, 1 AS created_at FROM inputs i WHERE i.k % 3 = 0
+UNION ALL SELECT 1000000000 + i.k, i.subject_id, 'flag', i.source_hash, i.content_hash, i.contract_hash, 3, i.k, 2 FROM inputs i WHERE i.k % 12 = 0)"""
+
+
+def _fixes(s, d):
+    i = X.customer_inputs(s, d).withColumn("k", F.col("subject_id").cast("bigint"))
+    k = F.col("k")
+    none = F.lit(None).cast("bigint")
+    first = i.where("k % 3 = 0").select(k.alias("correction_id"), "subject_id", F.lit("pass").alias("body"), "source_hash", F.when(k % 10 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), "contract_hash", F.when(k % 9 == 0, 1).otherwise(3).alias("expires_at"), none.alias("supersedes"), F.lit(1).alias("created_at"))
+    return first.unionByName(i.where("k % 12 = 0").select((F.lit(1_000_000_000) + k).alias("correction_id"), "subject_id", F.lit("flag").alias("body"), "source_hash", "content_hash", "contract_hash", F.lit(3).alias("expires_at"), k.alias("supersedes"), F.lit(2).alias("created_at")))
+
+
+@query(f"{_CORRECTED} SELECT f.correction_id, f.subject_id, CASE WHEN f.correction_id IN (SELECT supersedes FROM fixes WHERE supersedes IS NOT NULL) THEN 'superseded' WHEN f.expires_at <= 2 THEN 'expired' WHEN f.content_hash <> i.content_hash THEN 'reopened_source' ELSE 'active' END AS status FROM fixes f JOIN inputs i USING (subject_id)")
+def correction_status(s, d):
+    return corrections.status(_fixes(s, d), X.customer_inputs(s, d), F.lit(2))
+
+
+@query(f"""{_CORRECTED}, live AS (SELECT * FROM fixes WHERE correction_id NOT IN (SELECT supersedes FROM fixes WHERE supersedes IS NOT NULL)),
+joined AS (SELECT j.subject_id, j.decision, j.stale_reason, l.body, l.correction_id, coalesce(l.expires_at > 2 AND l.source_hash = j.source_hash AND l.content_hash = j.content_hash AND l.contract_hash = j.contract_hash AND (j.stale_reason IS NULL OR j.stale_reason = 'source_update'), false) AS applies FROM (SELECT id % 4 = 0 AS same, judgments.* EXCLUDE (source_hash), CASE WHEN id % 4 = 0 THEN i.source_hash ELSE judgments.source_hash END AS source_hash FROM judgments JOIN inputs i USING (subject_id)) j LEFT JOIN live l USING (subject_id))
+SELECT subject_id, coalesce(body, decision) AS body, CASE WHEN correction_id IS NULL THEN stale_reason IS NOT NULL WHEN NOT applies THEN true ELSE stale_reason IS NOT NULL END AS stale, CASE WHEN correction_id IS NOT NULL AND applies AND stale_reason IS NULL THEN 'semantic_correction' WHEN correction_id IS NOT NULL AND NOT applies THEN coalesce(stale_reason, 'correction_reopened') ELSE stale_reason END AS stale_reason, correction_id FROM joined""")
+def effective_judgments(s, d):
+    now = X.customer_inputs(s, d).select("subject_id", F.col("source_hash").alias("now"))
+    state = X.customer_state(s, d).drop("body").withColumnRenamed("decision", "body").join(now, "subject_id")
+    state = state.withColumn("source_hash", F.when(F.col("id") % 4 == 0, F.col("now")).otherwise(F.col("source_hash")))
+    return corrections.effective(state, _fixes(s, d), F.lit(2))
+
+
+# Plans ---------------------------------------------------------------------------------------------------------------------
+
+_STATS = """, stats AS (SELECT 'r' || (k % 5)::varchar AS task, 'v1' AS revision, count(*) AS total, sum((state LIKE 'fresh%')::int)::bigint AS fresh, sum((state IN ('stale', 'in_flight'))::int)::bigint AS stale, sum((state = 'missing')::int)::bigint AS missing, CASE k % 5 WHEN 1 THEN 'maintained_invalid' WHEN 3 THEN 'maintained_upper_bound' ELSE 'maintained' END AS basis, CASE WHEN k % 5 = 2 THEN 1 ELSE 9 END AS valid_until FROM states WHERE k % 5 > 0 GROUP BY k % 5),
+kept AS (SELECT r.task, CASE WHEN basis IS NULL THEN 100 WHEN basis = 'maintained_invalid' THEN greatest(total, 100) ELSE total END AS total, CASE WHEN basis IS NULL OR basis = 'maintained_invalid' OR valid_until <= 5 THEN 0 ELSE fresh END AS fresh, CASE WHEN basis IS NULL OR basis = 'maintained_invalid' THEN 0 WHEN valid_until <= 5 THEN fresh + stale ELSE stale END AS stale, CASE WHEN basis IS NULL THEN 100 WHEN basis = 'maintained_invalid' THEN greatest(total, 100) ELSE missing END AS missing, CASE WHEN basis IS NOT NULL AND basis <> 'maintained_invalid' AND valid_until <= 5 THEN fresh ELSE 0 END AS expired, CASE WHEN basis IS NULL THEN 'maintained_missing' WHEN basis <> 'maintained_invalid' AND valid_until <= 5 THEN 'maintained_expired' ELSE basis END AS count_basis FROM (VALUES ('r0'), ('r1'), ('r2'), ('r3'), ('r4')) r(task) LEFT JOIN stats s ON s.task = r.task)"""
+
+
+def _kept_counts(s, d):
+    k = F.col("subject_id").cast("bigint") % 5
+    st = F.col("state")
+    states = semantic.states(X.customer_inputs(s, d), _row_current(s, d), _inflight(s, d), _flag()).where(k > 0)
+    stats = states.groupBy(k.alias("g")).agg(F.count("*").alias("total"), F.count_if(st.startswith("fresh")).alias("fresh"), F.count_if(st.isin("stale", "in_flight")).alias("stale"), F.count_if(st == "missing").alias("missing"))
+    stats = stats.select(F.concat(F.lit("r"), F.col("g").cast("string")).alias("task"), F.lit("v1").alias("revision"), "total", "fresh", "stale", "missing", F.when(F.col("g") == 1, "maintained_invalid").when(F.col("g") == 3, "maintained_upper_bound").otherwise("maintained").alias("basis"), F.when(F.col("g") == 2, 1).otherwise(9).alias("valid_until"))
+    asked = s.createDataFrame([(f"r{i}", "v1", 100) for i in range(5)], "task string, revision string, fallback long")
+    return planning.maintained(asked, stats, F.lit(5))
+
+
+@query(f"{_STATS} SELECT task, total::bigint AS total, fresh::bigint AS fresh, stale::bigint AS stale, missing::bigint AS missing, expired::bigint AS expired, count_basis FROM kept")
+def maintained_counts(s, d):
+    return _kept_counts(s, d)
+
+
+_COSTS = """, sized AS (SELECT grp, total, fresh, stale, missing, inflight, stale + missing AS refresh, least(stale + missing, %(rows)s) AS infer_now, inflight AS wait FROM counts),
+parts AS (SELECT *, least(refresh - infer_now, 64) AS queued, round(1 + 0.05::double * fresh, 2) AS lookup_ms FROM sized),
+priced AS (SELECT *, greatest(refresh + inflight - wait - infer_now - queued, 0) AS fail_closed, round(lookup_ms + refresh * 2500.0::double, 2) AS queue_ms, round(infer_now * 2500.0::double, 2) AS infer_ms, CASE WHEN total = 0 THEN 'lookup' WHEN infer_now > 0 THEN 'bounded_infer_now' WHEN wait > 0 THEN 'wait_for_refresh' WHEN refresh = 0 THEN 'lookup' WHEN queued > 0 AND refresh < total THEN 'queue_refresh' WHEN queued > 0 THEN 'full_refresh' ELSE 'lookup_fail_closed' END AS path FROM parts)
+SELECT grp, total, fresh, stale, missing, inflight, refresh, infer_now, wait, queued, fail_closed, path, lookup_ms, queue_ms, infer_ms, round(CASE path WHEN 'bounded_infer_now' THEN lookup_ms + infer_ms WHEN 'wait_for_refresh' THEN lookup_ms + 0.5::double * wait WHEN 'queue_refresh' THEN queue_ms WHEN 'full_refresh' THEN queue_ms ELSE lookup_ms END, 2) AS cost_ms, CASE WHEN total = 0 THEN 1.0::double ELSE round(fresh::double / total, 4) END AS freshness FROM priced"""
+
+
+def _costed(counts, **options):
+    found = planning.plan(counts, **options)
+    numbers = ("total", "fresh", "stale", "missing", "inflight", "refresh", "infer_now", "wait", "queued", "fail_closed")
+    return found.select("grp", *(F.col(c).cast("bigint").alias(c) for c in numbers), "path", "lookup_ms", "queue_ms", "infer_ms", "cost_ms", "freshness")
+
+
+def _bigints(sql):
+    head, tail = sql.rsplit("SELECT grp, ", 1)
+    numbers = "total, fresh, stale, missing, inflight, refresh, infer_now, wait, queued, fail_closed"
+    return head + "SELECT grp, " + ", ".join(f"{c}::bigint AS {c}" for c in numbers.split(", ")) + tail[len(numbers) :]
+
+
+@query(f"{_STATS}, counts AS (SELECT task AS grp, total, fresh, stale, missing, total % 3 AS inflight FROM kept) {_bigints(_COSTS % {'rows': 0})}")
+def maintained_plan(s, d):
+    """Plans from kept counts, without judging at once: the paths that wait, queue or refresh all, with their costs."""
+    return _costed(_kept_counts(s, d).withColumn("inflight", F.col("total") % 3).withColumnRenamed("task", "grp"), max_rows=0)
+
+
+@query(f"""{_PAIRS}, counts AS (SELECT 'g' || (left_id % 4)::varchar AS grp, count(*) AS total, count(*) FILTER (is_fresh) AS fresh, count(*) FILTER (NOT is_fresh) AS stale, count(*) FILTER (is_fresh IS NULL) AS missing, 0 AS inflight FROM pair_inputs LEFT JOIN pair_rows USING (subject_id) GROUP BY left_id % 4) {_bigints(_COSTS % {'rows': 1})}""")
+def pair_plan(s, d):
+    i, c = _pair_inputs(s, d), _pair_current(s, d)
+    flags = i.join(c.select("subject_id", "is_fresh"), "subject_id", "left")
+    n = flags.groupBy(F.concat(F.lit("g"), (F.col("left_id") % 4).cast("string")).alias("grp")).agg(F.count("*").alias("total"), F.count_if(F.col("is_fresh")).alias("fresh"), F.count_if(~F.col("is_fresh")).alias("stale"), F.count_if(F.col("is_fresh").isNull()).alias("missing"), F.lit(0).cast("bigint").alias("inflight"))
+    return _costed(n)
+
+
+@query("SELECT task, samples, p25, p50, p75, greatest(200 * p50, 60000 + p50)::bigint AS catch_up_ms FROM (SELECT task, count(*) AS samples, quantile_disc(run_ms, 0.25)::bigint AS p25, quantile_disc(run_ms, 0.5)::bigint AS p50, quantile_disc(run_ms, 0.75)::bigint AS p75 FROM (SELECT * FROM (SELECT task, retries, run_ms, created_at, id, min(retries) OVER (PARTITION BY task) AS best FROM jobs) WHERE retries = best QUALIFY row_number() OVER (PARTITION BY task ORDER BY created_at DESC, id DESC) <= 101) GROUP BY task)")
+def preflight_eta(s, d):
+    samples = X.jobs(s, d).select("task", F.col("retries").alias("priority"), F.col("created_at").alias("finished_at"), "id", F.col("run_ms").alias("ms"))
+    return planning.eta(samples, F.lit(200), 60_000)
+
+
+# Work ----------------------------------------------------------------------------------------------------------------------
+
+@query("""SELECT task, id, task_rank, job_rank, '1998-01-01 00:01:00' AS leased_until, retries + 1 AS fence FROM (SELECT r.*, row_number() OVER (PARTITION BY r.task ORDER BY expired DESC, created_at, id) AS job_rank, t.task_rank FROM (SELECT *, status IN ('running', 'cancel_requested') AS expired FROM jobs WHERE status = 'queued' OR status IN ('running', 'cancel_requested') AND created_at + INTERVAL 1 DAY < TIMESTAMP '1998-01-01 00:00:00') r
+JOIN (SELECT task, row_number() OVER (ORDER BY (task <= 'task_2')::int, retry_rank, task) AS task_rank FROM (SELECT task, min(retries) AS retry_rank FROM jobs WHERE status = 'queued' OR status IN ('running', 'cancel_requested') AND created_at + INTERVAL 1 DAY < TIMESTAMP '1998-01-01 00:00:00' GROUP BY task)) t USING (task)) ORDER BY job_rank, task_rank LIMIT 48""")
+def claim_with_cursor(s, d):
+    """The next batch after a cursor: expired leases first, in turn by task, no more than the free slots."""
+    j = X.jobs(s, d).withColumn("leased_until", F.col("created_at").cast(_T) + F.expr("interval 1 day"))
+    return queue.claim(j, 64, _when("1998-01-01 00:00:00"), cursor="task_2", slots=48).withColumn("leased_until", F.date_format("leased_until", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT o_custkey::varchar AS request_key, 't' || (o_orderkey % 3)::varchar AS task, o_orderkey::varchar AS subject_id, o_orderkey AS seq FROM orders WHERE o_custkey % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def application_submit(s, d):
+    k = F.col("o_orderkey")
+    asked = X.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("request_key"), F.concat(F.lit("t"), (k % 3).cast("string")).alias("task"), k.cast("string").alias("subject_id"), k.alias("seq"))
+    known = X.table(s, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").cast("string").alias("request_key"))
+    return queue.submitted(asked, known)
+
+
+@query("SELECT subject_id, content_hash AS input, k % 6 = 3 AS conflict FROM inputs WHERE k % 6 <> 0")
+def run_task_jobs(s, d):
+    """Jobs of a whole task: subjects whose input is being worked on are passed over, those with another input are conflicts."""
+    i = X.customer_inputs(s, d).select("subject_id", F.col("content_hash").alias("input"))
+    k = F.col("subject_id").cast("bigint")
+    active = i.where(k % 3 == 0).withColumn("input", F.when(k % 6 == 0, F.col("input")).otherwise(F.lit("older")))
+    return queue.new_jobs(i, active)
+
+
+@query("SELECT event_id, event_type, CASE event_type WHEN 'view' THEN ts + INTERVAL 7 DAY < TIMESTAMP '2024-01-31' WHEN 'click' THEN ts + INTERVAL 14 DAY < TIMESTAMP '2024-01-31' ELSE false END AS expired FROM events")
+def retention_cleanup(s, d):
+    e = X.table(s, d, "events").select("event_id", "event_type", "ts")
+    return queue.retention(e, "ts", _when(X.AS_OF), {"view": 7, "click": 14}, "event_type").select("event_id", "event_type", "expired")
+
+
+@query("SELECT id, task, greatest(ceil(n / 100.0), ceil(used / 50000.0))::bigint AS slice FROM (SELECT id, task, count(*) OVER w AS n, sum(run_ms) OVER w AS used FROM jobs WHERE status = 'complete' WINDOW w AS (PARTITION BY task ORDER BY created_at, id ROWS UNBOUNDED PRECEDING))")
+def maintenance_slices(s, d):
+    done = X.jobs(s, d).where("status = 'complete'").select("id", "task", "created_at", "run_ms")
+    return queue.slices(done, ["created_at", "id"], 100, "run_ms", 50_000).select("id", "task", "slice")
+
+
+@query("SELECT task, id, nth::bigint AS nth FROM (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY created_at DESC, id DESC) AS nth FROM jobs) WHERE nth <= 16")
+def recent_jobs(s, d):
+    """The 16 newest jobs of each task."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("task").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return X.jobs(s, d).select("task", "id", F.row_number().over(w).cast("bigint").alias("nth")).where("nth <= 16")
+
+
+@query("SELECT o_orderkey, contract FROM (SELECT o.o_orderkey, c.contract, count(*) OVER (PARTITION BY o.o_orderkey) AS n FROM orders o JOIN (VALUES ('v1', TIMESTAMP '1992-01-01', TIMESTAMP '1995-06-01'), ('v2', TIMESTAMP '1995-06-01', TIMESTAMP '1997-01-01'), ('v2b', TIMESTAMP '1996-06-01', TIMESTAMP '1999-01-01')) c(contract, since, until) ON o.o_orderdate >= c.since AND o.o_orderdate < c.until) WHERE n = 1")
+def contract_in_force(s, d):
+    """The one contract in force when an order was made; orders with several or none are left out."""
+    from pyspark.sql import Window
+
+    c = s.createDataFrame([("v1", "1992-01-01", "1995-06-01"), ("v2", "1995-06-01", "1997-01-01"), ("v2b", "1996-06-01", "1999-01-01")], "contract string, since string, until string").withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("since", "until")})
+    o = X.table(s, d, "orders").select("o_orderkey", "o_orderdate")
+    joined = o.join(F.broadcast(c), (F.col("o_orderdate") >= F.col("since")) & (F.col("o_orderdate") < F.col("until")))  # three rows
+    return joined.withColumn("n", F.count("*").over(Window.partitionBy("o_orderkey"))).where("n = 1").select("o_orderkey", "contract")
+
+
+# Reports -------------------------------------------------------------------------------------------------------------------
+
+_CODES = ", ".join(f"('{k}', '{v[0]}', '{v[1]}', '{v[2]}')" for k, v in observability.TAXONOMY.items())
+_SLUGS = "CASE event_id % 11 WHEN 0 THEN 'Attempt_Timeout ' WHEN 1 THEN 'any_error:claim_lost:worker 3' WHEN 2 THEN 'request_memory_admission_rejected' WHEN 3 THEN 'x.failure.v1.artifact_rejected' WHEN 4 THEN 'boom' END"
+
+
+@query(f"""SELECT event_id, t.code, t.stage, t.retryability, t.owner_action FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'canceled' ELSE coalesce(CASE event_id % 11 WHEN 0 THEN 'attempt_timeout' WHEN 1 THEN 'claim_lost' WHEN 2 THEN 'resource_admission_rejected' WHEN 3 THEN 'artifact_rejected' END, CASE WHEN event_id % 13 = 0 THEN 'database_contract_rejected' END, CASE WHEN event_type = 'click' THEN 'decision_rejected' WHEN event_id % 5 = 0 THEN 'output_validation_failed' WHEN event_id % 3 = 0 THEN 'runtime_failed' ELSE 'unclassified' END) END AS code FROM events WHERE event_type <> 'purchase') e JOIN (VALUES {_CODES}) t(code, stage, retryability, owner_action) USING (code)""")
+def failure_codes(s, d):
+    """The taxonomy's row of every failure, by precedence."""
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    status = F.when(F.col("event_type") == "view", "canceled").when(F.col("event_type") == "click", "rejected").when(F.col("event_type") == "purchase", "complete").otherwise("failed")
+    error = F.when(i % 11 == 0, "Attempt_Timeout ").when(i % 11 == 1, "any_error:claim_lost:worker 3").when(i % 11 == 2, "request_memory_admission_rejected").when(i % 11 == 3, "x.failure.v1.artifact_rejected").when(i % 11 == 4, "boom")
+    code = observability.failure_code(status, error, F.when(i % 13 == 0, "database_contract_rejected"), none, F.when(i % 5 == 0, "failed"), F.when(i % 3 == 0, "runtime"))
+    e = X.table(s, d, "events").select("event_id", code.alias("code")).where("code is not null")
+    return e.join(F.broadcast(observability.taxonomy(s)), "code").select("event_id", "code", "stage", "retryability", "owner_action")
+
+
+_LINES = "(SELECT l_linestatus AS source, l_orderkey AS query, l_partkey AS item, min(l_extendedprice) AS x, min(l_suppkey) AS y, min(l_linenumber) AS z FROM lineitem GROUP BY ALL)"
+_RANKED = f"(SELECT source, query, item, row_number() OVER (PARTITION BY source, query ORDER BY x, item, y, z) AS rank FROM {_LINES})"
+_WANTED = "(SELECT DISTINCT l_linestatus AS source, l_orderkey AS query, CASE WHEN l_orderkey % 9 = 0 THEN -1 ELSE l_partkey END AS item FROM lineitem WHERE l_partkey % 3 = 0)"
+_REPORT = f"""(SELECT sum(positives)::bigint AS positives, sum(in_bounded)::bigint AS in_bounded, min(positives) AS least_support, min(round(in_bounded::double / positives, 12)) AS least_coverage, round(max(mean_rank) - min(mean_rank), 12) AS ordering_bias, sum(found)::bigint AS found FROM (SELECT w.source, count(*) AS positives, count(*) FILTER (rank <= 2) AS in_bounded, count(rank) AS found, round(avg(CASE WHEN rank IS NULL THEN 1.0::double WHEN n <= 1 THEN 0.0::double ELSE (rank - 1)::double / (n - 1) END), 12) AS mean_rank FROM {_WANTED} w LEFT JOIN {_RANKED} r ON w.source = r.source AND w.query = r.query AND w.item = r.item LEFT JOIN (SELECT source, query, max(rank) AS n FROM {_RANKED} GROUP BY ALL) z ON z.source = w.source AND z.query = w.query GROUP BY w.source))"""
+
+
+def _report(s, d):
+    from pyspark.sql import Window
+
+    line = X.table(s, d, "lineitem").select(F.col("l_linestatus").alias("source"), F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("item"), "l_extendedprice", "l_suppkey", "l_linenumber")
+    one = line.groupBy("source", "query", "item").agg(F.min("l_extendedprice").alias("x"), F.min("l_suppkey").alias("y"), F.min("l_linenumber").alias("z"))
+    cand = one.withColumn("rank", F.row_number().over(Window.partitionBy("source", "query").orderBy("x", "item", "y", "z"))).select("source", "query", "item", "rank")
+    pos = line.where("item % 3 = 0").select("source", "query", F.when(F.col("query") % 9 == 0, F.lit(-1)).otherwise(F.col("item")).alias("item")).distinct()
+    return evaluation.coverage_report(cand, pos, 2)
+
+
+@query(f"SELECT positives, in_bounded, least_support, least_coverage, ordering_bias, found - in_bounded AS cap_excluded, positives - found AS missed, round(in_bounded::double / positives, 12) AS coverage, true AS contiguous FROM {_REPORT}")
+def coverage_report(s, d):
+    return _report(s, d).drop("in_candidates")
+
+
+@query(f"SELECT nth, failure FROM {_REPORT} r, LATERAL (VALUES (1, 'candidate_sql_not_bounded_prefix', false), (2, 'positive_support_below_minimum', r.positives < 100000000), (3, 'source_support_below_minimum', r.least_support < 10), (4, 'overall_coverage_below_minimum', r.in_bounded::double / r.positives < 0.99), (5, 'source_coverage_below_minimum', r.least_coverage < 0.99), (6, 'cap_excluded_positive_pairs_exceeded', r.found - r.in_bounded > 5), (7, 'ordering_bias_exceeded', r.ordering_bias > 0.9)) g(nth, failure, failed) WHERE failed")
+def coverage_gates(s, d):
+    """Which of the seven gates a coverage report fails."""
+    return evaluation.gate_failures(_report(s, d), {"support": 100_000_000, "source_support": 10, "coverage": 0.99, "source_coverage": 0.99, "cap_excluded": 5, "bias": 0.9})
+
+
+@query("SELECT variant, count(DISTINCT run) AS runs, count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS qualified FROM (SELECT variant, run, slice, coalesce(avg(coalesce((observed = expected)::int, 0)) >= 0.2, false) AND avg((observed IS NOT NULL)::int) >= 0.7 AS passed FROM (SELECT *, doc_id % 3 AS run, 'all' AS slice FROM cases UNION ALL SELECT *, doc_id % 3, lang FROM cases) GROUP BY ALL) GROUP BY variant")
+def model_qualification(s, d):
+    """Three runs of each variant against thresholds, overall and by language."""
+    c = X.cases(s, d).withColumn("slice", F.explode(F.array(F.lit("all"), F.col("lang")))).withColumn("run", F.col("doc_id") % 3)
+    runs = c.groupBy("variant", "run", "slice").agg(F.avg(F.coalesce((F.col("observed") == F.col("expected")).cast("int"), F.lit(0))).alias("quality"), F.avg(F.col("observed").isNotNull().cast("int")).alias("answered"))
+    return evaluation.qualification(runs, {"quality": 0.2, "answered": 0.7})
+
+
+_MEASURES = ["contract", "entity_resolution", "abstention", "dirty_data", "triage", "numeric_evidence", "extraction", "policy_check", "user_suite", "row_watch", "typed_action", "materialization", "confidence", "schema_valid", "entity_accuracy", "diagnostic"]
+_OF = {m: 0.05 * (k % 3) for k, m in enumerate(_MEASURES)}
+_SCORED = "(SELECT *, " + ", ".join(f"greatest(0.0::double, grade - {off}::double) AS {m}" for m, off in _OF.items()) + " FROM (SELECT p_partkey AS model, (p_size % 11)::double / 10 AS grade, CASE WHEN p_partkey % 4 = 0 THEN 0.5::double ELSE 0.0::double END AS false_merge, 0.0::double AS hallucinated, (p_size / 10.0)::double AS artifact_gb, (p_size / 20.0)::double AS resident_gb, (p_size * 1000)::double AS p95_ms, (p_size % 7)::double AS active_params_b, p_partkey % 13 <> 0 AS complete, CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END AS crashes FROM part))"
+_QUALITY_SQL = "round(" + " + ".join(f"{k} * {w}::double" for k, w in evaluation.QUALITY.items()) + ", 9)"
+_FIT_SQL = "round(" + " + ".join(f"CASE WHEN {k} > 0 THEN least(1.0::double, {most}::double / {k}) ELSE 0.0::double END * {w}::double" for k, (w, most) in evaluation.FITS.items()) + ", 9)"
+_VERDICT_SQL = "CASE WHEN NOT complete THEN 'not_supported' WHEN crashes > 0 THEN 'unsafe_rejected' " + " ".join("WHEN " + " AND ".join([f"{k} >= {v}" for k, v in least.items()] + [f"{k} <= {v}" for k, v in most.items()]) + f" THEN '{name}'" for name, least, most in evaluation.VERDICTS) + " WHEN schema_valid > 0 THEN 'contract_blocked' ELSE 'unusable' END"
+
+
+@query(f"SELECT model, quality, resource_fit, round(quality * (0.75::double + 0.25::double * resource_fit), 9) AS overall, {_VERDICT_SQL} AS verdict FROM (SELECT *, {_QUALITY_SQL} AS quality, {_FIT_SQL} AS resource_fit FROM {_SCORED})")
+def model_verdicts(s, d):
+    """Quality of thirteen parts, resource fit, overall score and verdict of models."""
+    size, k = F.col("p_size"), F.col("p_partkey")
+    grade = (size % 11) / 10
+    m = X.table(s, d, "part").select(
+        k.alias("model"), *(F.greatest(F.lit(0.0), grade - off).alias(name) for name, off in _OF.items()), F.when(k % 4 == 0, 0.5).otherwise(0.0).alias("false_merge"), F.lit(0.0).alias("hallucinated"), (size / 10).alias("artifact_gb"),
+        (size / 20).alias("resident_gb"), (size * 1000).cast("double").alias("p95_ms"), (size % 7).cast("double").alias("active_params_b"), (k % 13 != 0).alias("complete"), F.when(k % 17 == 0, 1).otherwise(0).alias("crashes"),
+    )
+    return evaluation.model_scores(m).select("model", "quality", "resource_fit", "overall", "verdict")
+
+
+_METRICS = "(SELECT 'queue_ms' AS metric, task, created_at AS seen, queue_ms::double AS value FROM jobs UNION ALL SELECT 'run_ms', task, created_at, run_ms FROM jobs WHERE status IN ('complete', 'failed') UNION ALL SELECT 'failed', task, created_at, (status = 'failed')::int FROM jobs UNION ALL SELECT 'backlog', task, created_at, 1 FROM jobs WHERE status = 'queued' UNION ALL SELECT 'retries', task, created_at, retries FROM jobs UNION ALL SELECT 'canceled', task, created_at, (status = 'cancel_requested')::int FROM jobs UNION ALL SELECT 'rejected', task, created_at, (validation = 'failed')::int FROM jobs JOIN receipts ON job_id = id UNION ALL SELECT 'generate_ms', task, created_at, generate_ms FROM jobs JOIN receipts ON job_id = id)"
+_AGGREGATES = {"queue_ms": "p50,p95,p99,max", "run_ms": "p50,p95,p99,max", "failed": "rate,sum", "backlog": "count", "retries": "sum,max", "canceled": "rate", "rejected": "rate,sum", "generate_ms": "p50,p95"}
+_HOW = {"p50": "quantile_disc(value, 0.5)", "p95": "quantile_disc(value, 0.95)", "p99": "quantile_disc(value, 0.99)", "max": "max(value)", "rate": "round(avg(value), 9)", "sum": "sum(value)", "count": "count(value)"}
+_BRANCHES = " UNION ALL ".join(f"SELECT '{m}_{h}' AS metric, \"window\", task, count(value) AS support, {_HOW[h]}::double AS value FROM windowed WHERE metric = '{m}' GROUP BY ALL" for m, hs in _AGGREGATES.items() for h in hs.split(","))
+
+
+@query(f", windowed AS (SELECT m.*, w AS \"window\" FROM {_METRICS} m, (VALUES ('30d', 2592000), ('1y', 31536000), ('4y', 126144000)) v(w, n) WHERE epoch(TIMESTAMP '2001-12-31 00:00:00')::bigint - epoch(seen)::bigint BETWEEN 0 AND n - 1) {_BRANCHES}")
+def operational_metrics(s, d):
+    """Eighteen measures of queue, run, failures, backlog, retries, cancellations, schema rejections and generation, each in three trailing windows."""
+    j = X.jobs(s, d)
+    r = j.join(X.receipts(s, d).withColumnRenamed("job_id", "id"), "id")
+    one = lambda name, rows, value: rows.select(F.lit(name).alias("metric"), F.lit(_AGGREGATES[name]).alias("kind"), "task", F.col("created_at").alias("at"), value.cast("double").alias("value"))
+    is_ = lambda st: (F.col("status") == st).cast("int")
+    parts = [
+        one("queue_ms", j, F.col("queue_ms")), one("run_ms", j.where("status in ('complete', 'failed')"), F.col("run_ms")), one("failed", j, is_("failed")), one("backlog", j.where("status = 'queued'"), F.lit(1)), one("retries", j, F.col("retries")),
+        one("canceled", j, is_("cancel_requested")), one("rejected", r, (F.col("validation") == "failed").cast("int")), one("generate_ms", r, F.col("generate_ms")),
+    ]
+    samples = parts[0]
+    for p in parts[1:]:
+        samples = samples.unionByName(p)
+    return observability.metrics(samples, _when("2001-12-31 00:00:00"), {"30d": 2592000, "1y": 31536000, "4y": 126144000})
+
+
+@query(f"""{_CORRECTED} SELECT queue_kind, item_id, task, CASE queue_kind WHEN 'suspended_authority' THEN 'review' WHEN 'pending_dry_run' THEN 'dry_run' WHEN 'pending_approval' THEN 'approve' WHEN 'ready_to_apply' THEN 'apply' WHEN 'review_flag' THEN 'review' WHEN 'abstention' THEN 'label' WHEN 'rejected_receipt' THEN 'inspect' WHEN 'correction_reopened' THEN 'renew' WHEN 'graph_conflict' THEN 'resolve' ELSE 'label' END AS next_step FROM (
+SELECT CASE WHEN id % 7 = 0 THEN 'suspended_authority' WHEN id % 2 = 0 AND id % 3 = 0 THEN 'pending_dry_run' WHEN id % 5 = 0 AND id % 4 <> 1 THEN 'pending_approval' WHEN id % 2 = 0 AND id % 4 = 1 THEN 'ready_to_apply' ELSE 'review_flag' END AS queue_kind, 'action:' || id AS item_id, task FROM jobs WHERE status = 'complete'
+UNION ALL SELECT 'abstention', 'job:' || job_id || ':' || attempt, 'task' FROM receipts WHERE generate_ms % 1100 = 0 AND validation = 'passed'
+UNION ALL SELECT 'rejected_receipt', 'job:' || job_id || ':' || attempt, 'task' FROM receipts WHERE validation = 'failed'
+UNION ALL SELECT 'correction_reopened', 'correction:' || correction_id, 'customer' FROM (SELECT f.correction_id, f.expires_at <= 2 OR f.content_hash <> i.content_hash AS open FROM fixes f JOIN inputs i USING (subject_id) WHERE f.correction_id NOT IN (SELECT supersedes FROM fixes WHERE supersedes IS NOT NULL)) WHERE open
+UNION ALL SELECT 'sample', 'document:' || doc_id, 'document' FROM documents WHERE ('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint < 429496729)""")
+def review_queue(s, d):
+    """Actions, abstentions, rejected receipts, corrections that no longer apply, and samples."""
+    k = F.col("id")
+    kind = review.action_kind(F.when(k % 2 == 0, "update_row").otherwise("note"), F.when(k % 4 == 1, "approved").otherwise("proposed"), F.when(k % 5 == 0, "required").otherwise("none"), F.when(k % 3 == 0, "not_run").otherwise("passed"), k % 7 != 0)
+    jobs = X.jobs(s, d).where("status = 'complete'").select(kind.alias("queue_kind"), F.concat(F.lit("action:"), k.cast("string")).alias("item_id"), "task")
+    r = X.receipts(s, d).withColumn("item_id", F.concat_ws(":", F.lit("job"), F.col("job_id").cast("string"), F.col("attempt").cast("string"))).withColumn("task", F.lit("task"))
+    reopened = corrections.status(_fixes(s, d), X.customer_inputs(s, d), F.lit(2)).where("status in ('expired', 'reopened_source', 'reopened_contract', 'source_missing')")
+    samples = evaluation.sampled(X.table(s, d, "documents").select("doc_id"), F.col("doc_id").cast("string"), 0.1)
+    return review.queue(
+        jobs, r.where("generate_ms % 1100 = 0 and validation = 'passed'").withColumn("queue_kind", F.lit("abstention")), r.where("validation = 'failed'").withColumn("queue_kind", F.lit("rejected_receipt")),
+        reopened.select(F.lit("correction_reopened").alias("queue_kind"), F.concat(F.lit("correction:"), F.col("correction_id").cast("string")).alias("item_id"), F.lit("customer").alias("task")),
+        samples.select(F.lit("sample").alias("queue_kind"), F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("item_id"), F.lit("document").alias("task")),
+    )
+
+
+# In and out ----------------------------------------------------------------------------------------------------------------
+
+_ACTIONS = "(SELECT s_suppkey AS action_id, 'k' || (s_suppkey - CASE WHEN s_suppkey % 10 = 1 THEN 1 ELSE 0 END)::varchar AS idempotency_key, s_suppkey AS target, CASE WHEN s_suppkey % 6 = 0 THEN 's_acctbal' ELSE 's_name' END AS col, s_suppkey % 7 = 0 AS changed, s_suppkey % 8 = 0 AS used, s_name FROM supplier)"
+
+
+def _actions(s, d):
+    k = F.col("s_suppkey")
+    rows = X.table(s, d, "supplier")
+    seen = F.when(k % 7 == 0, "other").otherwise(F.col("s_name"))
+    asked = rows.select(k.alias("action_id"), F.concat(F.lit("k"), (k - F.when(k % 10 == 1, 1).otherwise(0)).cast("string")).alias("idempotency_key"), k.cast("string").alias("target"), F.when(k % 6 == 0, "s_acctbal").otherwise("s_name").alias("column"), F.concat(F.lit("new "), k.cast("string")).alias("value"), F.sha2(seen, 256).alias("before_hash"))
+    done = rows.where(k % 8 == 0).select(F.concat(F.lit("k"), k.cast("string")).alias("idempotency_key"))
+    return actions.applied(rows, "s_suppkey", asked, ["s_name"], done)
+
+
+_OUTCOME = "CASE WHEN col = 's_acctbal' THEN 'column_not_allowed' WHEN used OR nth > 1 OR idempotency_key IN (SELECT 'k' || s_suppkey::varchar FROM supplier WHERE s_suppkey % 8 = 0) THEN 'duplicate' WHEN changed THEN 'changed' ELSE 'applied' END"
+
+
+@query(f"SELECT action_id, outcome, CASE WHEN col = 's_name' THEN sha256(s_name) END AS before_hash, CASE WHEN outcome = 'applied' THEN sha256('new ' || action_id::varchar) END AS after_hash FROM (SELECT *, {_OUTCOME} AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY action_id) AS nth FROM {_ACTIONS}))")
+def applied_actions(s, d):
+    """What became of each action, with hashes of the cell before and after."""
+    return _actions(s, d)[1]
+
+
+@query(f"SELECT s_suppkey, CASE WHEN outcome = 'applied' THEN 'new ' || s_suppkey::varchar ELSE supplier.s_name END AS s_name, s_nationkey, s_acctbal FROM supplier JOIN (SELECT action_id, {_OUTCOME} AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY action_id) AS nth FROM {_ACTIONS})) ON action_id = s_suppkey")
+def mutated_rows(s, d):
+    """The next version of the rows."""
+    return _actions(s, d)[0]
+
+
+@query("""SELECT '{"doc_id":' || doc_id || ',"expected":"' || expected || '","observed":' || coalesce('"' || observed || '"', 'null') || ',"variant":"' || variant || '"}' AS line FROM cases""")
+def export_cases(s, d):
+    return exports.exported_cases(X.cases(s, d), 10_000_000, "doc_id", "expected", "observed", "variant")
+
+
+@query("""SELECT 'w' || n AS name, definition, sha256(definition) AS hash, CASE WHEN n = 1 THEN 'unchanged' WHEN n = 2 THEN 'conflict' WHEN n = 4 THEN '$ is missing required property task' ELSE 'created' END AS outcome FROM (SELECT n, '{"name":"w' || n || '","source":{"table":"t"}' || CASE WHEN n = 4 THEN '' ELSE ',"task":{}' END || '}' AS definition FROM (VALUES (1), (2), (3), (4)) v(n))""")
+def import_definitions(s, d):
+    """Definitions exported, and imported over known ones."""
+    body = lambda n: {"task": {}, "source": {"table": "t"}, "name": f"w{n}"}
+    out = exports.exported_watch(s, body(1)).unionByName(exports.exported_watch(s, body(2))).unionByName(exports.exported_watch(s, body(3)))
+    texts = out.select(F.col("definition").alias("text")).unionByName(s.createDataFrame([('{"name": "w4", "source": {"table": "t"}}',)], "text string"))
+    known = out.where("name = 'w1'").select("name", "hash").unionByName(s.createDataFrame([("w2", "other")], "name string, hash string"))
+    return exports.imported_watches(texts, known)
+
+
+# Changes -------------------------------------------------------------------------------------------------------------------
+
+@query("SELECT user_id::varchar AS subject_id, count(*) FILTER (event_type = 'signup') AS inserted, count(*) FILTER (event_type = 'purchase') AS updated, count(*) FILTER (event_type = 'error') AS deleted, max(event_id) AS last_seq FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id")
+def statement_changes(s, d):
+    """A batch of changes summed up by subject, as a statement trigger with transition tables would."""
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "purchase", "update").when(F.col("event_type") == "error", "delete")
+    e = X.table(s, d, "events").select(F.lit("events").alias("table"), F.col("user_id").cast("string").alias("subject_id"), op.alias("op"), F.col("event_id").alias("seq"))
+    return changes.summed(e.where("op is not null")).drop("table")
+
+
+@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, session")
+def event_sessions(s, d):
+    e = X.table(s, d, "events").select(F.col("ts").cast(_T).alias("ts"), "user_id")
+    return changes.sessions(e, "user_id", "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT user_id::varchar AS subject_id, nth AS attempt, CASE WHEN nth >= 6 THEN NULL ELSE least(60000, 1000 * power(2, nth - 1))::bigint END AS delay_ms, nth >= 6 AS exhausted FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_type = 'error')")
+def retry_delays(s, d):
+    from pyspark.sql import Window
+
+    e = X.table(s, d, "events").where("event_type = 'error'").withColumn("attempt", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
+    over = F.col("attempt") >= 6
+    return e.select(F.col("user_id").cast("string").alias("subject_id"), "attempt", F.when(~over, changes.backoff_ms(F.col("attempt"), 1000, 60_000)).alias("delay_ms"), over.alias("exhausted"))
+
+
+@query("SELECT event_id % 50 AS old_id, subject_id, reason FROM events, LATERAL (VALUES ((event_id % 50)::varchar, 'source_delete', event_id % 3 = 0), ((event_id % 50 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::varchar, 'source_update', event_id % 7 <> 0)) v(subject_id, reason, holds) WHERE holds OR (reason = 'source_delete' AND event_id % 7 = 0)")
+def key_changes(s, d):
+    """Updates of a key as a deletion of the old subject and an update of the new one."""
+    i = F.col("event_id")
+    e = X.table(s, d, "events").select(F.lit("t").alias("table"), (i % 50).cast("string").alias("old_id"), F.when(i % 7 != 0, (i % 50 + F.when(i % 3 == 0, 1).otherwise(0)).cast("string")).alias("new_id"), "ts", i.alias("seq"))
+    return changes.split_key_changes(e).select((F.col("seq") % 50).alias("old_id"), "subject_id", "reason")
+
+
+@query("SELECT metric, baseline, current, delta, status FROM (SELECT 'source' AS metric, NULL::double AS baseline, NULL::double AS current, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS delta, CASE WHEN round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) > 0.2 THEN 'drifted' ELSE 'within_baseline' END AS status FROM (SELECT source, count(*)::double / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY source) a FULL JOIN (SELECT source, count(*)::double / sum(count(*)) OVER () AS q FROM documents WHERE doc_id % 2 = 1 GROUP BY source) b USING (source) UNION ALL SELECT 'abstention', b, c, round(abs(b - c), 9), CASE WHEN n < 30 THEN 'insufficient_evidence' WHEN round(abs(b - c), 9) > 0.05 THEN 'drifted' ELSE 'within_baseline' END FROM (SELECT round(avg((observed = '0')::int) FILTER (variant = 'baseline'), 9) AS b, round(avg((observed = '0')::int) FILTER (variant = 'candidate'), 9) AS c, least(count(observed) FILTER (variant = 'baseline'), count(observed) FILTER (variant = 'candidate')) AS n FROM cases))")
+def drift_report(s, d):
+    """Drift of a distribution and of a rate, each with its status."""
+    docs = X.table(s, d, "documents").select("doc_id", "source")
+    n = F.lit(100)
+    a = evaluation.drift(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "source")
+    a = a.select(F.lit("source").alias("metric"), F.lit(None).cast("double").alias("baseline"), F.lit(None).cast("double").alias("current"), F.col("distance").alias("delta"), evaluation.drift_status(F.col("distance"), n, 30, 0.2).alias("status"))
+    said = (F.col("observed") == "0").cast("int")
+    of = lambda v: F.round(F.avg(F.when(F.col("variant") == v, said)), 9)
+    support = lambda v: F.count(F.when(F.col("variant") == v, F.col("observed")))
+    b = X.cases(s, d).agg(of("baseline").alias("baseline"), of("candidate").alias("current"), F.least(support("baseline"), support("candidate")).alias("n")).withColumn("delta", F.round(F.abs(F.col("baseline") - F.col("current")), 9))
+    return a.unionByName(b.select(F.lit("abstention").alias("metric"), "baseline", "current", "delta", evaluation.drift_status(F.col("delta"), F.col("n"), 30, 0.05).alias("status")))
+
+
+@query("SELECT lang, old, new, CASE WHEN old = 0 AND new = 0 THEN 0.0::double WHEN old <> 0 THEN round((new - old) / old, 12) END AS relative FROM (SELECT lang, avg(latency_ms) FILTER (variant = 'baseline' AND doc_id % 2 = 0) AS old, avg(latency_ms) FILTER (variant = 'candidate' AND doc_id % 2 = 1) AS new FROM cases GROUP BY lang)")
+def economics_comparison(s, d):
+    c = X.cases(s, d).groupBy("lang").agg(F.avg(F.when((F.col("variant") == "baseline") & (F.col("doc_id") % 2 == 0), F.col("latency_ms"))).alias("old"), F.avg(F.when((F.col("variant") == "candidate") & (F.col("doc_id") % 2 == 1), F.col("latency_ms"))).alias("new"))
+    return c.withColumn("relative", evaluation.relative_delta(F.col("new"), F.col("old")))

@@ -192,9 +192,10 @@ def admission_decision(s, d):
     return queue.admission(t, 1500, 1600, 90).drop("largest_input")
 
 
-@query("SELECT id, task, rn AS task_rank FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY retries, created_at, id) AS rn FROM jobs WHERE status = 'queued') ORDER BY rn, task, id LIMIT 64")
+@query("SELECT id, task, task_rank, job_rank FROM (SELECT j.id, j.task, t.task_rank, row_number() OVER (PARTITION BY j.task ORDER BY j.created_at, j.id) AS job_rank FROM jobs j JOIN (SELECT task, row_number() OVER (ORDER BY min(retries), task) AS task_rank FROM jobs WHERE status = 'queued' GROUP BY task) t USING (task) WHERE j.status = 'queued') ORDER BY job_rank, task_rank LIMIT 64")
 def claim_round_robin(s, d):
-    return queue.claim(X.jobs(s, d), 64)
+    j = X.jobs(s, d).where("status = 'queued'").withColumn("leased_until", F.lit(None).cast("timestamp"))
+    return queue.claim(j, 64, F.lit("1998-01-01 00:00:00").cast("timestamp")).select("id", "task", "task_rank", "job_rank")
 
 
 @query("SELECT id, task, CASE WHEN retries < 2 THEN 'queued' ELSE 'failed' END AS next_status FROM jobs WHERE status = 'running' AND epoch(created_at)::bigint + 86400 < epoch(TIMESTAMP '1998-01-01 00:00:00')::bigint")
@@ -252,11 +253,6 @@ def ordering_bias(s, d):
     return evaluation.ordering_bias(_coverage(s, d))
 
 
-@query(f"SELECT 0 AS nth, 'coverage_below_minimum' AS failure FROM {_COVERAGE} HAVING min(coverage) < 0.95")
-def gate_failures(s, d):
-    return evaluation.gate_failures(_coverage(s, d), 0.95, 1.0)
-
-
 _ER = "(SELECT CASE WHEN left_id % 3 = 0 THEN 'same_entity' ELSE 'different_entity' END AS expected, CASE WHEN left_id % 13 = 0 THEN NULL WHEN conflicting > 0 THEN 'different_entity' WHEN shared > 0 THEN 'same_entity' ELSE 'unclear' END AS observed, left_id % 8 <> 0 AS seen, right_id % 6 = 0 AS escalated FROM pairs)"
 
 
@@ -352,14 +348,6 @@ def cache_status(s, d):
     return observability.cache_status(X.table(s, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_partkey").alias("key")))
 
 
-@query("SELECT code, count(*) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'attempt_timeout' WHEN event_id % 5 = 0 THEN 'schema_rejected' WHEN event_type = 'error' THEN 'runtime_error' ELSE 'unclassified' END AS code FROM events) GROUP BY code")
-def failure_taxonomy(s, d):
-    none = F.lit(None).cast("string")
-    i = F.col("event_id")
-    code = observability.failure_code(F.when(i % 7 == 0, "timeout"), F.when(i % 5 == 0, "schema"), none, F.col("event_type"))
-    return X.table(s, d, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::int AS step, unnest(embedding)::double AS logit FROM embeddings")
 def trace_explode(s, d):
     return observability.trace_steps(X.table(s, d, "embeddings"), "vec_id", "embedding").withColumn("logit", F.col("logit").cast("double"))

@@ -22,6 +22,12 @@ def coalesced(changes: DataFrame) -> DataFrame:
     return changes.groupBy("table", "subject_id").agg(F.max_by("reason", F.struct("ts", "seq")).alias("reason"), F.count("*").alias("generation"))
 
 
+def summed(changes: DataFrame) -> DataFrame:
+    """Changes (table, subject_id, op, seq) of a batch by subject: how many inserts, updates and deletes, and the last change."""
+    n = lambda op, name: F.count_if(F.col("op") == op).alias(name)
+    return changes.groupBy("table", "subject_id").agg(n("insert", "inserted"), n("update", "updated"), n("delete", "deleted"), F.max("seq").alias("last_seq"))
+
+
 def backoff_ms(attempts, base: int, most: int):
     return F.least(F.lit(most).cast("double"), base * F.pow(F.lit(2.0), attempts - 1)).cast("bigint")
 
