@@ -2,8 +2,10 @@
 
 Each distinct 2-word shingle is hashed once under each permutation, and both the least and the greatest value are kept: 64
 evaluations give 128 signature values. Bands of four values (least and greatest under two permutations) propose links;
-every proposed link is confirmed on the full shingle sets. At the threshold of 0.8 a pair shares none of the 32 bands with
-probability below 1e-7, so in practice no link is lost.
+every proposed link is confirmed on the full shingle sets. Before texts are fetched for that, a pair is refused if its sets'
+sizes are too far apart, or if fewer than 60 % of its signature values agree: the unbiased estimate of a similarity of 0.8
+falls so low with probability below exp(-128 * KL(0.6, 0.8)) < 2e-6. A pair at the threshold shares none of the 32 bands with
+probability below 1e-7. So in practice no link is lost.
 
 Documents with equal sets are one class from the start. In a band's bucket, members are compared with leaders rather than
 with each other: at first the smallest id, then, only where a bucket still spans several components, more leaders each
@@ -26,6 +28,10 @@ _RNG = np.random.default_rng(97)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members compared with one leader in one task.
 MEMBERS_A_TASK = 400
+#: Leaders of a bucket in one round, at most; all others have their rounds.
+MOST_LEADERS = 512
+#: Estimated similarity, as a share of the one asked for, below which a pair is refused.
+REFUSED_BELOW = 0.75
 
 
 def shingle_sets(column: pa.ChunkedArray | pa.Array):
@@ -71,24 +77,26 @@ def bands(values: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """The unbiased estimate of two sets' Jaccard similarity from their signatures."""
-    return float((a == b).mean())
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimates of sets' Jaccard similarity from rows of signature values: unbiased, or a little high where the values are shortened."""
+    return (a == b).mean(axis=-1)
 
 
 def _sign(batches):
     for batch in batches:
         for i, sets in shingle_sets(batch.column(1)):
             n = len(sets)
-            keys = bands(signatures(sets)).reshape(-1)
+            values = signatures(sets)
+            keys, sketch = bands(values).reshape(-1), mix(values).astype(np.uint8)  # a byte of each value
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, n),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), pa.array(keys)),
+                    pa.array([row.tobytes() for row in sketch], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
+                names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
             )
 
 
@@ -124,27 +132,44 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame
     return rows.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", "role").mapInArrow(tidy(_verify(similarity)), "src bigint, dst bigint")
 
 
+def _hopeful(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """Those of pairs (id, leader) whose estimated similarity isn't far below the one asked for; of an id with several sets, any."""
+    least = REFUSED_BELOW * similarity / 100
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, 2 * PERMUTATIONS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "leader"]).filter(pa.array(estimate(a, b) >= least))
+
+    of = lambda name: sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    both = pairs.join(of("id"), "id").join(of("leader"), "leader").select("id", "leader", "id_sketch", "leader_sketch")
+    return both.mapInArrow(run, "id bigint, leader bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked when 100 * intersection >= similarity * union of their shingle sets. A null, empty or blank text has the
     empty set and is linked with nothing; a single word is its own shingle. component_id is the smallest doc_id reachable.
     Repeated rows and rows that share a doc_id are one document of that id and each returned. A row whose doc_id is null
-    can't be named: it is linked with nothing, its component_id is null and it is kept. Other columns are ignored.
+    can't be named: it is linked with nothing, its component_id is null and it is kept. Texts are read whole, whatever their
+    length; an empty table gives no rows. Other columns are ignored. Shingles are told apart by 64-bit hashes.
     """
     docs = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    signed = keep(docs.mapInArrow(tidy(_sign), "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"), "signatures")
-    classes = signed.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    signed = keep(docs.mapInArrow(tidy(_sign), "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>, sketch binary"), "signatures")
+    named = signed.where("doc_id is not null and set_id is not null")
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     # An id that several texts share has several sets: its size is a range.
     spread = classes.select("id", F.explode("bands").alias("bucket"), "size").groupBy("id", "bucket").agg(F.min("size").alias("small"), F.max("size").alias("large"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = keep(spread.join(shared, "bucket"), "buckets")
-    wanted = members.select("id").distinct()
-    edges = _class_links(signed)
-    texts = keep(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    wanted = keep(members.select("id").distinct(), "wanted")
+    sketches = keep(named.select(F.col("doc_id").alias("id"), "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    links = _class_links(signed)
+    labels = keep(components(links), "labels") if links is not None else None
     leaders, compared = 1, None
     while True:
-        labels = keep(components(edges), "labels") if edges is not None else None
         if labels is None:
             labelled = members.withColumn("label", F.col("id"))
         else:
@@ -161,19 +186,36 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
         if compared is not None:
             pairs = pairs.join(compared, ["id", "leader"], "left_anti")
         pairs = keep(pairs, "pairs")
-        found = keep(_confirmed(pairs, texts, similarity), "links")
-        edges = found if edges is None else edges.unionByName(found)
         compared = pairs if compared is None else compared.unionByName(pairs)
+        hopeful = keep(_hopeful(pairs, sketches, similarity), "hopeful")
+        found = None
+        if not hopeful.isEmpty():
+            asked = hopeful.select("id").unionByName(hopeful.select(F.col("leader").alias("id"))).distinct()
+            found = keep(_confirmed(hopeful, keep(texts.join(asked, "id", "left_semi"), "texts"), similarity), "links")
+        if found is not None and not found.isEmpty():
+            labels = _relabelled(labels, found)
         members = keep(labelled.select("bucket", "id", "small", "large").join(chosen.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
-        leaders = min(64, 8 * leaders)
+        leaders = min(MOST_LEADERS, 8 * leaders)
     rows = signed.select("doc_id", "n_shingles", "set_id")
-    named = classes.select("set_id", F.col("id").alias("first_id"))
-    rows = rows.join(named, "set_id", "left").withColumn("first_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")))
+    first = classes.select("set_id", F.col("id").alias("first_id"))
+    rows = rows.join(first, "set_id", "left").withColumn("first_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")))
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("id", "first_id"), "first_id", "left").withColumn("first_id", F.coalesce("label", "first_id"))
     return rows.select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(True)).alias("kept"))
 
 
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, label) after more links (src, dst): only the components that these join are worked out anew."""
+    if labels is None:
+        return keep(components(links), "labels")
+    of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    ends = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    merged = keep(components(ends.select(F.coalesce("src_label", "src").alias("src"), F.coalesce("dst_label", "dst").alias("dst"))), "merged")
+    after = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label"))
+    # Ends that had no label are named by the merged components themselves.
+    return keep(after.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
 def _class_links(signed: DataFrame) -> DataFrame | None:
     """Links between the classes of rows that share a doc_id; None where ids are unique, as they should be."""
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.count("*").alias("n")).where("n > 1 and a <> b").select("doc_id")
