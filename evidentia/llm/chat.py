@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, keep
+from .common import columns, keep, tidy
 
 #: States: what came last. 0: nothing, 1: system, 2: user, 3: assistant.
 ROLES = (None, "system", "user", "assistant")
@@ -84,64 +84,70 @@ def _stretches(ids: list):
 
 
 def repaired(turns: DataFrame) -> DataFrame:
-    """(conv_id, nth, turn, role, new_role, action, inserted, rendered) for every row of turns, in conversation order by nth.
-
-    nth numbers the rows of the table as sorted by conversation, turn (nulls first), role and text. inserted is the role of
-    an empty turn before the row. rendered is the row's share of the conversation's text: joined in order of nth, the shares
-    of a conversation are its text, and each closes what its successor does not continue. A row whose role is null or
-    unknown is relabelled or merged. A null conv_id is a conversation of its own; repeated rows are repeated turns; a null
-    text is empty. Other columns are ignored. An empty table gives no rows.
+    """(conv_id, nth, turn, role, new_role, action, inserted, rendered) for every row of turns.
+
+    nth numbers a conversation's rows from 0, as sorted by turn (nulls first), role and text; rows equal in all of these are
+    repeated turns, of which any may come first. inserted is the role of an empty turn before the row. rendered is the row's
+    share of the conversation's text: joined in order of nth, the shares of a conversation are its text, and each closes
+    what its successor does not continue. Roles are read without regard to case and outer blanks and returned as they
+    stand; a row whose role is null or unknown is relabelled or merged. All rows without a conv_id are one conversation; a
+    null text is empty. A conversation may be of any length, and texts too. Other columns are ignored. An empty table gives
+    no rows.
     """
     spark = turns.sparkSession
     n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = columns(turns, "conv_id", "turn", "role", "text").withColumn("role", F.lower(F.trim("role")))
+    rows = columns(turns, "conv_id", "turn", "role", "text")
     order = ["conv_id", "turn", "role", "text"]
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # Rows equal in all columns can't be told apart, so that a further number may part them between tasks.
+    spread = rows.withColumn("tie", F.monotonically_increasing_id())
+    ordered = spread.repartitionByRange(n, *order, "tie").sortWithinPartitions(*order, "tie").withColumn("part", F.spark_partition_id()).drop("tie")
     ordered = keep(ordered.withColumn("place", F.monotonically_increasing_id()), "turns")
     # From here on, a stretch is one conversation within one part; the table is read part by part, in order of place.
     ready = ordered.repartition(n, "part").sortWithinPartitions("part", "place")
 
-    def cut(batches, keep_text):
-        """Yield (part, conversation, first place, roles, table) of whole stretches."""
+    def cut(batches):
+        """Yield (part, conversation, table) of whole stretches; a batch is looked at once."""
         held: list[pa.RecordBatch] = []
-
-        def give(table):
-            keys = list(zip(table["part"].to_pylist(), table["conv_id"].to_pylist()))
-            for i, j in _stretches(keys):
-                yield i, j, keys[i]
-
+        now = None
         for batch in batches:
-            table = pa.Table.from_batches([*held, batch])
-            spans = list(give(table))
-            if not spans:
-                continue
-            for i, j, key in spans[:-1]:
-                yield key, table.slice(i, j - i)
-            i, j, _ = spans[-1]
-            held = table.slice(i, j - i).combine_chunks().to_batches()
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            for i, j in _stretches(keys):
+                if held and keys[i] != now:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = keys[i]
+                held.append(batch.slice(i, j - i))
         if held:
-            table = pa.Table.from_batches(held)
-            yield (table["part"][0].as_py(), table["conv_id"][0].as_py()), table
+            yield now, pa.Table.from_batches(held)
+
+    def roles_of(table) -> list:
+        return [None if r is None else r.strip().lower() for r in table["role"].to_pylist()]
 
     def edges(batches):
         """Matrices of the first and the last stretch of each part: only these can go on elsewhere."""
-        by_part: dict[int, list] = {}
-        for key, table in cut(batches, False):
-            own = by_part.setdefault(key[0], [])
-            own.append((key, table["role"].to_pylist(), table["place"][0].as_py()))
-            if len(own) > 2:
-                own.pop(1)
-        for own in by_part.values():
-            for (part, conv), roles, place in own:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "conv_id": pa.array([conv], key_type), "place": [place], "costs": pa.array([[x for r in matrix(roles) for x in r]], pa.list_(pa.int64()))})
+        part, own = None, []
+
+        def give():
+            for (p, conv), roles, place in own:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "conv_id": pa.array([conv], key_type), "place": [place], "rows": [len(roles)], "costs": pa.array([[x for r in matrix(roles) for x in r]], pa.list_(pa.int64()))})
+
+        for key, table in cut(batches):
+            if key[0] != part:
+                yield from give()
+                part, own = key[0], []
+            if len(own) == 2:
+                own.pop()
+            own.append((key, roles_of(table), table["place"][0].as_py()))
+        yield from give()
 
     kind = rows.schema["conv_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(rows.schema["conv_id"].dataType)
-    found = ready.select("part", "place", "conv_id", "role").mapInArrow(edges, f"part int, conv_id {kind}, place bigint, costs array<bigint>").collect()
+    # At most two short rows a part come to the driver.
+    found = ready.select("part", "place", "conv_id", "role").mapInArrow(edges, f"part int, conv_id {kind}, place bigint, rows bigint, costs array<bigint>").collect()
     found.sort(key=lambda r: (r["part"], r["place"]))
-    stretch = [(r["part"], r["place"], r["conv_id"], [r["costs"][4 * s : 4 * s + 4] for s in range(4)]) for r in found]
+    stretch = [(r["part"], r["place"], r["conv_id"], [r["costs"][4 * s : 4 * s + 4] for s in range(4)], r["rows"]) for r in found]
 
     start = {k: k for k in range(len(stretch))}
     end_costs: list[list[int]] = [list(ENDING)] * len(stretch)
@@ -150,14 +156,19 @@ def repaired(turns: DataFrame) -> DataFrame:
             later = end_costs[k + 1]
             end_costs[k] = [min(stretch[k + 1][3][s][t] + later[t] for t in range(4)) for s in range(4)]
             start[k + 1] = k
+    # Rows of the conversation in the parts before.
+    offset: dict[int, int] = {}
+    for k in range(1, len(stretch)):
+        if start[k] != k:
+            offset[stretch[k][1]] = offset.get(stretch[k - 1][1], 0) + stretch[k - 1][4]
     # Among equally good states at a boundary, the path's own preference decides: each stretch says where it ends from each start.
     joined = {stretch[k][1]: end_costs[k] for k in range(len(stretch)) if start[k] != k or end_costs[k] != list(ENDING)}
 
     def ends(batches):
-        for (_, _), table in cut(batches, False):
+        for _, table in cut(batches):
             place = table["place"][0].as_py()
             if place in joined:
-                roles = table["role"].to_pylist()
+                roles = roles_of(table)
                 yield pa.RecordBatch.from_pydict({"place": [place], "after": pa.array([[decode(roles, s, joined[place])[1] for s in range(4)]], pa.list_(pa.int32()))})
 
     states: dict[int, int] = {}
@@ -171,37 +182,37 @@ def repaired(turns: DataFrame) -> DataFrame:
     goes_on = {stretch[k][1] for k in range(len(stretch) - 1) if start[k + 1] == k}
 
     def render(batches):
-        for (_, conv), table in cut(batches, True):
+        for _, table in cut(batches):
             place = table["place"][0].as_py()
-            roles = table["role"].to_pylist()
             state = states.get(place, 0)
-            path, _ = decode(roles, state, joined.get(place, list(ENDING)))
-            texts, shares, last = table["text"].to_pylist(), [], state
-            for k, (action, to, inserted) in enumerate(path):
-                share = ""
-                if action == "merge":
-                    share += "\n"
-                else:
-                    share += _CLOSE if last else ""
-                    if inserted:
-                        share += _OPEN.format(inserted) + _CLOSE
-                    share += _OPEN.format(ROLES[to])
-                shares.append(share + (texts[k] or ""))
-                last = to
-            if place not in goes_on:
-                shares[-1] += _CLOSE
-                for role in {1: ("user", "assistant"), 2: ("assistant",)}.get(last, ()):
-                    shares[-1] += _OPEN.format(role) + _CLOSE
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(table[c].combine_chunks() for c in ("conv_id", "place", "turn", "role")),
-                    pa.array([ROLES[to] for _, to, _ in path]),
-                    pa.array([a for a, _, _ in path]),
-                    pa.array([i for _, _, i in path], pa.string()),
-                    pa.array(shares),
-                ],
-                names=["conv_id", "nth", "turn", "role", "new_role", "action", "inserted", "rendered"],
-            )
+            path, _ = decode(roles_of(table), state, joined.get(place, list(ENDING)))
+            last, k = state, 0
+            for batch in table.to_batches():  # a long stretch is handed on piece by piece
+                texts, own, shares = batch.column("text").to_pylist(), path[k : k + batch.num_rows], []
+                for text, (action, to, inserted) in zip(texts, own):
+                    share = ""
+                    if action == "merge":
+                        share += "\n"
+                    else:
+                        share += _CLOSE if last else ""
+                        if inserted:
+                            share += _OPEN.format(inserted) + _CLOSE
+                        share += _OPEN.format(ROLES[to])
+                    shares.append(share + (text or ""))
+                    last = to
+                nth = offset.get(place, 0) + k
+                k += batch.num_rows
+                if k == len(path) and place not in goes_on:
+                    shares[-1] += _CLOSE
+                    for role in {1: ("user", "assistant"), 2: ("assistant",)}.get(last, ()):
+                        shares[-1] += _OPEN.format(role) + _CLOSE
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("conv_id"), pa.array(range(nth, nth + batch.num_rows), pa.int64()), batch.column("turn"), batch.column("role"),
+                        pa.array([ROLES[to] for _, to, _ in own]), pa.array([a for a, _, _ in own]), pa.array([i for _, _, i in own], pa.string()), pa.array(shares),
+                    ],
+                    names=["conv_id", "nth", "turn", "role", "new_role", "action", "inserted", "rendered"],
+                )
 
     turn = rows.schema["turn"].dataType.simpleString()
-    return ready.select("part", "place", "conv_id", "turn", "role", "text").mapInArrow(render, f"conv_id {kind}, nth bigint, turn {turn}, role string, new_role string, action string, inserted string, rendered string")
+    return ready.select("part", "place", "conv_id", "turn", "role", "text").mapInArrow(tidy(render), f"conv_id {kind}, nth bigint, turn {turn}, role string, new_role string, action string, inserted string, rendered string")
