@@ -10,11 +10,13 @@ allow no edit and must stand between word boundaries; blank ones match nothing.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, tidy
+from .common import blocks, columns, tidy
 
 ERRORS, SHORT = 5, 20
 #: Characters of items that one automaton holds; longer lists of items are matched block by block.
@@ -108,56 +110,81 @@ class Finder:
         return best
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """(doc_id, item_id, distance) for every document and item that it holds within the item's error budget.
-
-    Rows without a text, and items without an id or a text, match nothing; repeated rows match each on its own. Items are
-    fetched block by block of at most BLOCK_CHARS characters, and each block is one pass over docs; the benchmark's size is
-    measured first. Other columns are ignored.
-    """
+def _blocks(benchmark: DataFrame):
+    """Yield a broadcast of (number, items) for each block of at most about BLOCK_CHARS characters of items; the benchmark's size is measured first."""
+    spark = benchmark.sparkSession
     items = columns(benchmark, "item_id", "text").where("item_id is not null and length(trim(text)) > 0").dropDuplicates(["item_id", "text"])
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // BLOCK_CHARS))
-    key, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    source, out = columns(docs, "doc_id", "text").where("length(text) > 0"), None
     for b in range(n):
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).sort("item_id", "text").collect()]
-        part = source.mapInArrow(tidy(_finding(own, errors)), f"doc_id {key}, item_id {item}, distance int")
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, own))
+
 
+_FINDERS: dict[tuple, Finder] = {}
 
-def _finding(items, errors):
-    def run(batches):
-        finder = Finder(items, errors)
-        for batch in batches:
-            ids, docs, found, far = batch.column(0), [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                near: dict[int, int] = {}
-                for n, d in finder.find(text).items():
-                    near[finder.items[n][0]] = min(d, near.get(finder.items[n][0], d))
-                for i, d in sorted(near.items()):
-                    docs.append(k)
-                    found.append(i)
-                    far.append(d)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs, pa.int64())), pa.array(found, pa.int64()), pa.array(far, pa.int32())], names=["doc_id", "item_id", "distance"])
 
-    return run
+def _finder(block, errors: int) -> Finder:
+    """The block's automaton, built once a worker."""
+    name, items = block.value
+    if (name, errors) not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[name, errors] = Finder(items, errors)
+    return _FINDERS[name, errors]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """(doc_id, item_id, distance) for every document and item that it holds within the item's error budget.
+
+    Rows without a text, and items without an id or a text, match nothing; a null doc_id is returned as it is, repeated rows
+    match each on its own, and items that share an id count by their least distance. Texts are searched whole, whatever
+    their length. Items are sent out block by block of at most BLOCK_CHARS characters, and each block is one pass over
+    docs, without a shuffle. Other columns are ignored; an empty table on either side gives no rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key, item = (d.schema[c].dataType for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    item_type = to_arrow_type(item)
+    source, out = columns(docs, "doc_id", "text").where("length(text) > 0"), None
+
+    def finding(block):
+        def run(batches):
+            finder = _finder(block, errors)
+            for batch in batches:
+                for i, j, _, _ in blocks(batch.column(1)):
+                    at, found, far = [], [], []
+                    for k, text in enumerate(batch.column(1).slice(i, j - i).to_pylist(), i):
+                        near: dict = {}
+                        for n, d in finder.find(text).items():
+                            near[finder.items[n][0]] = min(d, near.get(finder.items[n][0], d))
+                        for one, d in sorted(near.items()):
+                            at.append(k)
+                            found.append(one)
+                            far.append(d)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, item_type), pa.array(far, pa.int32())], names=["doc_id", "item_id", "distance"])
+
+        return run
+
+    for block in _blocks(benchmark):
+        part = source.mapInArrow(tidy(finding(block)), f"doc_id {key.simpleString()}, item_id {item.simpleString()}, distance int")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """The rows of docs, with their own columns, that hold no item; no shuffle."""
-    items = columns(benchmark, "item_id", "text").where("item_id is not null and length(trim(text)) > 0").dropDuplicates(["item_id", "text"])
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars // BLOCK_CHARS))
+    """The rows of docs, with their own columns, that hold no item; no shuffle. Null and empty texts hold none and stay, as do repeated rows."""
     place = docs.schema.names.index("text")
-    for b in range(n):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).sort("item_id", "text").collect()]
 
-        def run(batches, own=own):
-            finder = Finder(own, errors)
+    def keeping(block):
+        def run(batches):
+            finder = _finder(block, errors)
             for batch in batches:
-                yield batch.filter(pa.array([not finder.find(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+                for i, j, _, _ in blocks(batch.column(place)):
+                    part = batch.slice(i, j - i)
+                    yield part.filter(pa.array([not finder.find(t) for t in part.column(place).to_pylist()], pa.bool_()))
+
+        return run
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
+    for block in _blocks(benchmark):
+        docs = docs.mapInArrow(tidy(keeping(block)), docs.schema)
     return docs

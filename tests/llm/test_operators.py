@@ -71,11 +71,36 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 6, 7, 9, 10, 11]
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """Templates whose texts share most words but are unlike, chains of links, groups of copies, and sets of very different size."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    template = [word() for _ in range(70)]
+    rows = []
+    for k in range(150):  # about 0.55 similar to each other
+        own = list(template)
+        for at in rng.sample(range(70), 11):
+            own[at] = word()
+        rows.append((k, " ".join(own)))
+    chain = [word() for _ in range(60)]
+    for k in range(12):
+        rows.append((1000 - k, " ".join(chain)))
+        chain[5 * k] = word()
+    rows += [(2000 + k, " ".join(template[:20])) for k in range(30)] + [(3000 + k, " ".join(word() for _ in range(40))) for k in range(40)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 150 and want[1000][1] == 989
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
-    x, y = near_duplicates.signatures([a[:3000], a[1000:]])
-    assert abs(near_duplicates.estimate(x, y) - 0.5) < 0.15
+    errors = []
+    for _ in range(40):
+        a = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+        x, y = near_duplicates.signatures([a[:3600], a[400:]])
+        errors.append(near_duplicates.estimate(x, y) - (len(a) - 800) / len(a))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 1.2 * (0.16 / 128) ** 0.5 * 1.2
 
 
 def test_language_model_base_and_mass(spark):
@@ -423,6 +448,50 @@ def test_decontamination(spark):
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(empty(spark), b).count() == 0
 
 
+def brute_matches(docs, items):
+    """Every item that a document holds within its budget, by dynamic programming over the whole document."""
+
+    def least(pattern, text):
+        row = np.zeros(len(text) + 1, np.int64)
+        codes, steps = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.arange(len(text) + 1)
+        for i, c in enumerate(pattern, 1):
+            new = np.concatenate([[i], np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)])
+            row = np.minimum.accumulate(new - steps) + steps
+        return int(row.min())
+
+    out = set()
+    for i, t in docs:
+        text = decontaminate.normal(t or "")
+        for n, item in items:
+            item = decontaminate.normal(item)
+            k = decontaminate.budget(item)
+            if len(item) >= decontaminate.SHORT and text and (d := least(item, text)) <= k:
+                out.add((i, n, d))
+    return out
+
+
+def test_op6_against_brute_force(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
+    got = {tuple(r) for r in queries.op6_decontamination(spark, SF).collect()}
+    held = {i for i, _, _ in got}
+    some = [d for d in docs if d[0] in held or d[0] % 5 == 0 and len(d[1] or "") < 4000]
+    want = brute_matches(some, items)
+    assert {(i, n) for i, n, _ in got if i in {i for i, _ in some}} == {(i, n) for i, n, _ in want}
+    assert all(d >= dict(((i, n), d) for i, n, d in want)[i, n] for i, n, d in got)
+
+
+def test_decontamination_of_odd_ids_and_long_texts(spark):
+    item = " ".join(f"piece{k}" for k in range(30))
+    rows = [("a", "x " * 60000 + item + " y" * 60000), (None, item), ("b", item[: len(item) // 2])]
+    d = spark.createDataFrame(rows, "doc_id string, text string").withColumn("item_id", F.lit(1)).withColumn("distance", F.lit(2))
+    for kind in ("string", "int", "long"):
+        b = spark.createDataFrame([("7", item), ("7", item + " more"), ("8", item)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        got = sorted(((r["doc_id"] or ""), int(r["item_id"]), r["distance"]) for r in decontaminate.matches(d, b).collect())
+        assert got == [("", 7, 0), ("", 8, 0), ("a", 7, 0), ("a", 8, 0)] and dict(decontaminate.matches(d, b).dtypes)["item_id"] == {"long": "bigint"}.get(kind, kind)
+    assert [r["doc_id"] for r in decontaminate.without_matches(d, b).collect()] == ["b"]
+
+
 def test_myers_distance_against_dynamic_programming():
     rng = random.Random(2)
     for _ in range(200):
@@ -477,25 +546,50 @@ def chat_brute(roles):
 def test_chat_repair(spark, partitions):
     rng = random.Random(partitions)
     rows = [(c, k, rng.choice(["system", "user", "assistant", "User ", None, "tool"]), f"t{c}.{k}") for c in range(6) for k in range(rng.randint(1, 9))]
-    rows += [(99, k, ["user", "assistant", "system"][k % 3 if k % 5 else 0], f"hot{k}") for k in range(400)] + [(None, None, None, None)]
+    rows += [(99, k, ["user", "assistant", "system"][k % 3 if k % 5 else 0], f"hot{k}") for k in range(400)] + [(98, 1, "user", "the same")] * 300 + [(None, None, None, None)]
     rng.shuffle(rows)
     d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("part", F.lit(1)).withColumn("place", F.lit("x"))
     d = d.repartition(partitions)
-    got = sorted(chat.repaired(d).collect(), key=lambda r: r["nth"])
+    got = chat.repaired(d).collect()
     assert len(got) == len(rows)
     for conv in {r[0] for r in rows}:
-        own = [r for r in got if r["conv_id"] == conv]
-        text = "".join(r["rendered"] for r in own)
-        shown = re.findall(r"<\|(system|user|assistant)\|>", text)
-        rest = shown[1:] if shown[0] == "system" else shown
-        assert rest and rest == ["user", "assistant"] * (len(rest) // 2) and text.count("<|end|>") == len(shown)
-        roles = [None if r["role"] is None else r["role"] for r in own]
-        cost = sum((r["action"] != "merge") * (r["new_role"] != r["role"]) * chat.RELABEL + (r["action"] == "merge") * (chat.MERGE + chat.RELABEL * (r["new_role"] != r["role"])) + (r["inserted"] is not None) * chat.INSERT for r in own)
-        cost += chat.ENDING[chat.ROLES.index(own[-1]["new_role"])]
-        assert cost == chat_brute(roles)
+        own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["nth"])
+        want = sorted((r for r in rows if r[0] == conv), key=lambda r: tuple((x is not None, x) for x in r))
+        assert [r["nth"] for r in own] == list(range(len(want))) and [(r["turn"], r["role"]) for r in own] == [(r[1], r[2]) for r in want]
+        check_conversation(own)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    assert sorted(map(tuple, chat.repaired(d).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert chat.repaired(d.limit(0)).count() == 0
 
 
+def check_conversation(own):
+    """The rendered text is legal, and its repair costs no more than the least."""
+    text = "".join(r["rendered"] for r in own)
+    shown = re.findall(r"<\|(system|user|assistant)\|>", text)
+    rest = shown[1:] if shown[0] == "system" else shown
+    assert rest and rest == ["user", "assistant"] * (len(rest) // 2) and text.count("<|end|>") == len(shown)
+    roles = [None if r["role"] is None else r["role"].strip().lower() for r in own]
+    cost = sum((r["action"] != "merge") * (r["new_role"] != x) * chat.RELABEL + (r["action"] == "merge") * (chat.MERGE + chat.RELABEL * (r["new_role"] != x)) + (r["inserted"] is not None) * chat.INSERT for r, x in zip(own, roles))
+    assert cost + chat.ENDING[chat.ROLES.index(own[-1]["new_role"])] == chat_brute(roles)
+
+
+def test_op8_on_all_conversations(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    by = {}
+    for r in queries.op8_chat_format(spark, SF).collect():
+        by.setdefault(r["conv_id"], []).append(r)
+    assert sum(map(len, by.values())) == len(rows) and set(by) == {r["conv_id"] for r in rows}
+    for conv, own in by.items():
+        own.sort(key=lambda r: r["nth"])
+        check_conversation(own)
+        said = [r["text"] or "" for r in sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: ((r["turn"] is not None, r["turn"]), (r["role"] is not None, r["role"]), (r["text"] is not None, r["text"])))]
+        text, at = "".join(r["rendered"] for r in own), 0
+        for t in said:  # every turn's text is there, in order
+            at = text.index(t, at) + len(t)
+
+
 def test_fingerprints_contract(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in documents(spark).collect())
     got = {r["doc_id"]: r for r in queries.op9_fingerprints(spark, SF).collect()}
