@@ -526,9 +526,69 @@ def test_url_rules(spark):
     assert len(whole) == spark.read.parquet(f"{SF}/pages.parquet").count() and {r["verdict"] for r in whole} <= {"allow", "block"}
 
 
-def test_url_models_separate():
+def brute_markov(texts, order=5):
+    """Log-likelihood by a character model in dictionaries."""
+    counts = {}
+    for t in texts:
+        t += b"\n"
+        for i, c in enumerate(t):
+            for n in range(min(i, order) + 1):
+                counts.setdefault(t[i - n : i], Counter())[c] += 1
+
+    def logprob(t):
+        t, total = t + b"\n", 0.0
+        for i, c in enumerate(t):
+            p = 1 / 256
+            for n in range(min(i, order) + 1):
+                own = counts.get(t[i - n : i])
+                if not own:
+                    break
+                p = (own[c] + len(own) * p) / (own.total() + len(own))
+            total += math.log(p)
+        return total
+
+    return logprob
+
+
+def test_op7_verdicts_against_brute_force(spark):
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
+    got = {r["page_id"]: r for r in queries.op7_url_filter(spark, SF).collect()}
+    assert set(got) == set(urls)
+    verdict_of = {h + p: v for h, p, v in url_filter.RULES}
+    labelled = {v: {urls[i] for i, r in got.items() if r["rule"] and verdict_of[r["rule"]] == v} for v in ("allow", "block")}
+    order = lambda v: [r["url"] for r in spark.createDataFrame([(u,) for u in labelled[v]], "url string").orderBy(F.xxhash64("url"), "url").collect()]
+    accepted, rejected = order("allow"), order("block")
+    good, bad = (brute_markov([u.encode() for k, u in enumerate(own) if k % 5]) for own in (accepted, rejected))
+    value = lambda u: (good(u.encode()) - bad(u.encode())) / (len(u.encode()) + 1)
+    threshold = url_filter.Ratio(accepted, rejected).threshold
+    held = [(value(u), y) for own, y in ((accepted, 1), (rejected, 0)) for k, u in enumerate(own) if not k % 5]
+    balanced = lambda t: np.mean([v >= t for v, y in held if y]) + np.mean([v < t for v, y in held if not y])
+    assert balanced(threshold) >= max(balanced(v + e) for v, _ in held for e in (-1e-9, 1e-9)) - 1e-9
+    for i, r in got.items():
+        if r["rule"]:
+            assert r["verdict"] == verdict_of[r["rule"]] and r["ratio"] is None
+        else:
+            assert math.isclose(r["ratio"], value(urls[i] or "") - threshold, rel_tol=1e-9, abs_tol=1e-9) and r["verdict"] == ("allow" if r["ratio"] >= 0 else "block")
+
+
+def test_url_models_tell_unseen_labelled_urls_apart(spark):
+    """Held out: models of half of the labelled URLs judge the other half."""
+    rows = [r for r in queries.op7_url_filter(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url"), "page_id").where("rule is not null").collect()]
+    half = [[sorted({r["url"] for r in rows if r["verdict"] == v and zlib.crc32(r["url"].encode()) % 2 == part}) for v in ("allow", "block")] for part in (0, 1)]
+    model = url_filter.Ratio(*half[0])
+    good, bad = (model.values([u.encode() for u in own]) - model.threshold for own in half[1])
+    assert (np.mean(good >= 0) + np.mean(bad < 0)) / 2 > 0.9, (np.mean(good >= 0), np.mean(bad < 0))
+
+
+def test_url_long_and_odd(spark):
     r = url_filter.Ratio([f"https://good.example/{i}" for i in range(60)], [f"http://bad-bets.example/{i}" for i in range(60)])
-    assert r.value("https://good.example/777") > r.threshold > r.value("http://bad-bets.example/777")
+    good, bad, empty_ = r.values([b"https://good.example/777", b"http://bad-bets.example/777", b""])
+    assert good > r.threshold > bad and math.isfinite(empty_)
+    model, brute = url_filter.Markov([b"abcabc", b"", b"aab"]), brute_markov([b"abcabc", b"", b"aab"])
+    texts = [b"", b"a", b"abc" * 5000, bytes(range(256)), "日本".encode()]
+    assert np.allclose(model.logprobs(texts), [brute(t) for t in texts]) and len(model.logprobs([])) == 0
+    d = spark.createDataFrame([(1, "http://a.com/" + "x" * 300000), (2, "http://a.net/es/" + "y" * 300000), (3, "http://q.org/" + "z" * 300000)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.verdicts(d).orderBy("page_id").collect()] == ["allow", "block", "allow"]
 
 
 def chat_brute(roles):
