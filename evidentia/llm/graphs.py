@@ -1,8 +1,10 @@
-"""Connected components of an edge table too large for one task."""
+"""Components of links, and links found in buckets, of tables too large for one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -30,3 +32,54 @@ def components(edges: DataFrame) -> DataFrame:
         if tangled.isEmpty():
             roots = now.select("u").distinct().select(F.col("u").alias("id"), F.col("u").alias("label"))
             return now.select(F.col("v").alias("id"), F.col("u").alias("label")).unionByName(roots)
+
+
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, label) after more links (src, dst): only the components that these join are worked out anew."""
+    if labels is None:
+        return keep(components(links), "labels")
+    of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    ends = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    merged = keep(components(ends.select(F.coalesce("src_label", "src").alias("src"), F.coalesce("dst_label", "dst").alias("dst"))), "merged")
+    after = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label"))
+    # Ends that had no label are named by the merged components themselves.
+    return keep(after.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
+#: Leaders of a bucket in one round, at most; all others have their rounds.
+MOST_LEADERS = 512
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame | None], labels: DataFrame | None = None, near: Callable[[DataFrame], Column] | None = None) -> DataFrame | None:
+    """(id, label) of the components of all links within buckets; ids without a link may be missing, None: no link at all.
+
+    members: (bucket, id, …), each once. verify gives the links (src, dst) among pairs (id, leader), or None. In a bucket,
+    members are compared with leaders rather than with each other: at first the least id, then, only where a bucket still
+    spans several components, more leaders each round, until all its members are in one component or have been compared. No
+    bucket is gathered, no pair is compared twice, and none within a component. near: a condition on the rows of members
+    joined with their leaders, whose own columns are named leader_…, without which a pair isn't compared.
+    """
+    more = [c for c in members.columns if c not in ("bucket", "id")]
+    leaders, compared = 1, None
+    while True:
+        if labels is None:
+            labelled = members.withColumn("label", F.col("id"))
+        else:
+            labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        labelled = keep(labelled.join(open_, "bucket"), "open")
+        if labelled.isEmpty():
+            return labels
+        order = Window.partitionBy("bucket").orderBy("id")
+        chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), *(F.col(c).alias(f"leader_{c}") for c in more))
+        both = labelled.join(chosen, "bucket").where((F.col("label") != F.col("leader_label")) & (F.col("id") > F.col("leader")))
+        pairs = (both.where(near(both)) if near else both).select("id", "leader").distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["id", "leader"], "left_anti")
+        pairs = keep(pairs, "pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        found = verify(pairs)
+        if found is not None and not found.isEmpty():
+            labels = relabelled(labels, found)
+        members = keep(labelled.select("bucket", "id", *more).join(chosen.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
+        leaders = min(MOST_LEADERS, 8 * leaders)

@@ -8,8 +8,7 @@ falls so low with probability below exp(-128 * KL(0.6, 0.8)) < 2e-6. A pair at t
 probability below 1e-7. So in practice no link is lost.
 
 Documents with equal sets are one class from the start. In a band's bucket, members are compared with leaders rather than
-with each other: at first the smallest id, then, only where a bucket still spans several components, more leaders each
-round, until all members of every bucket are in one component or have been compared. No bucket is gathered into a task.
+with each other (graphs.linked): no bucket is gathered into a task.
 """
 
 from __future__ import annotations
@@ -17,19 +16,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, columns, keep, mix, span_hashes, tidy, tokens
-from .graphs import components
+from .graphs import components, linked
 
 PERMUTATIONS, BANDS = 64, 32
 _RNG = np.random.default_rng(97)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members compared with one leader in one task.
 MEMBERS_A_TASK = 400
-#: Leaders of a bucket in one round, at most; all others have their rounds.
-MOST_LEADERS = 512
 #: Estimated similarity, as a share of the one asked for, below which a pair is refused.
 REFUSED_BELOW = 0.75
 
@@ -168,34 +165,19 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     links = _class_links(signed)
     labels = keep(components(links), "labels") if links is not None else None
-    leaders, compared = 1, None
-    while True:
-        if labels is None:
-            labelled = members.withColumn("label", F.col("id"))
-        else:
-            labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        labelled = keep(labelled.join(open_, "bucket"), "open")
-        if labelled.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy("id")
-        chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), F.col("small").alias("leader_small"), F.col("large").alias("leader_large"))
-        # Sets whose sizes are too far apart can't be similar enough: no text is fetched for them.
-        near = (100 * F.col("large") >= similarity * F.col("leader_small")) & (100 * F.col("leader_large") >= similarity * F.col("small"))
-        pairs = labelled.join(chosen, "bucket").where((F.col("label") != F.col("leader_label")) & (F.col("id") > F.col("leader")) & near).select("id", "leader").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["id", "leader"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
+
+    def near(_):
+        # Sets whose sizes are too far apart can't be similar enough.
+        return (100 * F.col("large") >= similarity * F.col("leader_small")) & (100 * F.col("leader_large") >= similarity * F.col("small"))
+
+    def verify(pairs):
         hopeful = keep(_hopeful(pairs, sketches, similarity), "hopeful")
-        found = None
-        if not hopeful.isEmpty():
-            asked = hopeful.select("id").unionByName(hopeful.select(F.col("leader").alias("id"))).distinct()
-            found = keep(_confirmed(hopeful, keep(texts.join(asked, "id", "left_semi"), "texts"), similarity), "links")
-        if found is not None and not found.isEmpty():
-            labels = _relabelled(labels, found)
-        members = keep(labelled.select("bucket", "id", "small", "large").join(chosen.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
-        leaders = min(MOST_LEADERS, 8 * leaders)
+        if hopeful.isEmpty():
+            return None
+        asked = hopeful.select("id").unionByName(hopeful.select(F.col("leader").alias("id"))).distinct()
+        return keep(_confirmed(hopeful, keep(texts.join(asked, "id", "left_semi"), "texts"), similarity), "links")
+
+    labels = linked(members, verify, labels, near)
     rows = signed.select("doc_id", "n_shingles", "set_id")
     first = classes.select("set_id", F.col("id").alias("first_id"))
     rows = rows.join(first, "set_id", "left").withColumn("first_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")))
@@ -204,18 +186,6 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(True)).alias("kept"))
 
 
-def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """labels (id, label) after more links (src, dst): only the components that these join are worked out anew."""
-    if labels is None:
-        return keep(components(links), "labels")
-    of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
-    ends = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-    merged = keep(components(ends.select(F.coalesce("src_label", "src").alias("src"), F.coalesce("dst_label", "dst").alias("dst"))), "merged")
-    after = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label"))
-    # Ends that had no label are named by the merged components themselves.
-    return keep(after.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "labels")
-
-
 def _class_links(signed: DataFrame) -> DataFrame | None:
     """Links between the classes of rows that share a doc_id; None where ids are unique, as they should be."""
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.count("*").alias("n")).where("n > 1 and a <> b").select("doc_id")

@@ -65,7 +65,8 @@ def op8_chat_format(spark, sf_dir):
 
 
 def op9_fingerprints(spark, sf_dir):
-    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+    """Fingerprints, and the classes that bands and verification of fingerprints find."""
+    return fingerprints.linked_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark, sf_dir):

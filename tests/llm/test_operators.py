@@ -682,9 +682,73 @@ def test_fingerprints_walk_and_odd_rows(spark):
     assert len({m[0] for m in many[:30]}) == 1 and many[0][0] == fingerprints.fingerprint([text])[0][0]
     got = fingerprints.fingerprints(odd(spark)).collect()
     assert len(got) == 14 and fingerprints.fingerprints(empty(spark)).count() == 0
-    classes = {r["fingerprint"]: r["label"] for r in fingerprints.linked(fingerprints.fingerprints(odd(spark)).select("fingerprint")).collect()}
+    classes = {r["fingerprint"]: r["label"] for r in fingerprints.classes(fingerprints.fingerprints(odd(spark))).collect()}
     first, third = (next(r["fingerprint"] for r in got if r["doc_id"] == k) for k in (1, 3))
     assert classes[first] == classes[third]
+    assert fingerprints.linked_fingerprints(odd(spark)).count() == 14 and fingerprints.linked_fingerprints(empty(spark)).count() == 0
+
+
+def test_op9_classes_against_brute_force(spark):
+    got = queries.op9_fingerprints(spark, SF).collect()
+    prints = sorted({r["fingerprint"] for r in got})
+    up = {p: p for p in prints}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = [(a, b) for k, a in enumerate(prints) for b in prints[k + 1 :] if fingerprints.likeness(a, b) >= 0.8]
+    for a, b in links:
+        up[root(b)] = root(a)
+    by = {}
+    for r in got:
+        by.setdefault(root(r["fingerprint"]), []).append(r)
+    label = {r["fingerprint"]: r["class_id"] for r in got}
+    assert sum(label[a] == label[b] for a, b in links) / max(1, len(links)) >= 0.97
+    assert all(root(a) == root(b) for a in prints for b in prints if label[a] == label[b])
+    exact = sum(len({r["class_id"] for r in own}) == 1 and own[0]["class_id"] == min(r["doc_id"] for r in own) and own[0]["class_size"] == len(own) for own in by.values())
+    assert exact / len(by) >= 0.97
+
+
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows without an id and a third of one id: each is followed by the next in order of (id, hash), and no part holds them all."""
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 60)))
+    rows = [(None, text()) for _ in range(100)] + [(7, text()) for _ in range(100)] + [(k, text()) for k in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in d.withColumn("h", F.xxhash64("text")).collect())
+    want = Counter()
+    for k, (i, _, t) in enumerate(keyed):
+        q, after = len(t) // 4, keyed[(k + 1) % len(keyed)][2]
+        want[None if i == -(1 << 63) else i, hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprints(d).collect()) == want
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprints(d).collect()) == want
+    assert max(r["n"] for r in fingerprints.with_next(d).groupBy("part").agg(F.count("*").alias("n")).collect()) < 2 * 300 / 16 + 10
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("number", [1, 3, 4, 10])
+def test_registered_queries_run_over_whole_tables(spark, number):
+    import tiktoken
+
+    rows = {r["doc_id"]: r["text"] or "" for r in documents(spark).collect()}
+    got = next(f for name, f in queries.queries().items() if name.startswith(f"op{number}_"))(spark, SF).collect()
+    if number == 1:
+        assert got and {r["doc_id"] for r in got} <= set(rows) and len({r["doc_id"] for r in got}) > 1
+        return
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    if number == 4:
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(list(rows.items())) and all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
+        return
+    path, pattern = queries.tokenizer(*(["byte_bpe_50k.tiktoken"] if number == 10 else []))
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    ids = {i: lib.encode_ordinary(t) for i, t in rows.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(x) for i, x in ids.items()}
+    if number == 3:
+        assert all(r["ids_sha256"] == hashlib.sha256(np.array(ids[r["doc_id"]], "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest() for r in got)
 
 
 def test_token_counts(spark):
