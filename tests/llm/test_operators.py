@@ -773,19 +773,100 @@ def test_token_counts_blocks(spark, tmp_path, block):
     assert got == [("a", 0, 2), ("a", 1, 0), ("a", 2, 7), ("a", 3, 1), ("b", 0, 0)]
 
 
-def test_pipeline_against_its_parts(spark):
+def slow_cuts(raw):
+    """Chunks by the module's rule, character by character."""
+    white = b" \t\n\x0b\x0c\r"
+    gear = [sum(int(substrings.GEAR[raw[i - j]]) << j for j in range(min(16, i + 1))) & 0xFFFF for i in range(len(raw))]
+
+    def minima(places, values, radius):
+        return [places[k] for k in range(radius, len(places) - radius) if all(values[k - j] > values[k] <= values[k + j] for j in range(1, radius + 1))]
+
+    ends = [i for i, c in enumerate(raw) if c in white and (i + 1 == len(raw) or raw[i + 1] not in white)]
+    bounds = {0, len(raw), *(i + 1 for i in minima(ends, [gear[i] for i in ends], substrings.RADIUS))}
+    for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw):
+        a, b = m.span()
+        if b - a > substrings.LONG_WORD:
+            starts = [i for i in range(max(a + 1, 16), b) if raw[i] & 0xC0 != 0x80]
+            bounds |= set(minima(starts, [gear[i - 1] for i in starts], substrings.REACH))
+    bounds, extra = sorted(bounds), set()
+    for a, b in zip(bounds, bounds[1:]):
+        for p in range(a + substrings.MAX_CHUNK, b, substrings.MAX_CHUNK):
+            while raw[p] & 0xC0 == 0x80:
+                p -= 1
+            extra.add(p)
+    bounds = sorted({*bounds, *extra})
+    return list(zip(bounds, bounds[1:]))
+
+
+def test_cuts_against_brute_force(spark):
+    rng = random.Random(12)
+    texts = [(r["text"] or "").encode() for r in documents(spark).collect()][:60] + [("日本語の文" * 400).encode(), b"the " * 900, ("".join(chr(rng.randrange(0x3040, 0x9000)) for _ in range(3000)) + " tail").encode(), bytes(rng.choice(b"abcdef0123/") for _ in range(5000)), b"x", b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    begins, ends = substrings.cuts(data, offsets)
+    want = [(int(o) + a, int(o) + b) for t, o in zip(texts, offsets) if t for a, b in slow_cuts(t)]
+    assert list(zip(begins.tolist(), ends.tolist())) == want
+
+
+def slow_repeats(rows):
+    """Texts without later copies of passages, from chunks in dictionaries."""
+    chunks = {i: [(a, b, t.encode()[a:b]) for a, b in slow_cuts(t.encode())] for i, t in rows}
+    holders = {}
+    for i, own in chunks.items():
+        for *_, c in own:
+            holders.setdefault(c, set()).add(i)
+    out = {}
+    for i, t in rows:
+        own, gone, k = chunks[i], set(), 0
+        while k < len(own):
+            j = k
+            while j < len(own) and len(holders[own[j][2]]) > 1:
+                j += 1
+            if j > k and own[j - 1][1] - own[k][0] >= substrings.LEAST_BYTES:
+                gone |= {n for n in range(k, j) if min(holders[own[n][2]]) != i}
+            k = max(j, k + 1)
+        text = b"".join(c for n, (*_, c) in enumerate(own) if n not in gone).decode()
+        if not gone or text.strip():
+            out[i] = text
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
+    import tiktoken
 
-    docs = documents(spark).collect()
     model = queries.toxicity_model(spark, documents(spark), SF)
-    left = [(r["doc_id"], r["text"]) for r in docs if model.scores([r["text"]])[0] < 0.7]
+    left = [(r["doc_id"], r["text"]) for r in documents(spark).collect() if model.scores([r["text"] or ""])[0] < 0.7]
     found = brute_components(left)
     left = [(i, t) for i, t in left if found[i][1] == i]
-    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
-    cut = {r["doc_id"] for r in substrings.passages(spark.createDataFrame(left, "doc_id long, text string")).collect() if r["removable"]}
-    clean = {i: t for i, t in left if i not in cut and not any(decontaminate.normal(b["text"]) in decontaminate.normal(t) for b in items)}
-    assert set(clean) - set(got) == set() and set(got) <= {i for i, _ in left}
-    for i, t in clean.items():
-        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-    assert len(corpus_pipeline.STAGES) == 5
+    texts = slow_repeats(left)
+    assert sum(texts.get(i) != t for i, t in left) > 3  # the stage has work
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held = {i for i, _, _ in brute_matches(list(texts.items()), items)}
+    short = [n for n in (decontaminate.normal(t) for _, t in items) if n and len(n) < decontaminate.SHORT]
+    assert held and not short
+    path, pattern = queries.tokenizer()
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    want = {i: (len(ids := lib.encode_ordinary(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items() if i not in held}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "byte_bpe"]
+
+
+def test_pipeline_stages_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i * i % 997}q" for i in range(90))
+    own = lambda k: " ".join(f"u{i}x{k}" for i in range(60))
+    more = spark.createDataFrame([(20, own(1) + " " + passage, None, "s", 3, 1, "x", 2), (21, passage + " " + own(2), "en", "s", None, 1, "x", 2), (21, "another text of the same id", "en", None, None, 1, "x", 2)], SCHEMA)
+    for number, rows in enumerate((odd(spark).unionByName(more), empty(spark))):
+        sf = tmp_path / str(number)
+        rows.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1), (3, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "two three")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(sf)).write.parquet(f"{sf}/{k}")
+            after = spark.read.parquet(f"{sf}/{k}")
+            assert k == 4 or after.dtypes == docs.dtypes
+            docs = after
+        ids = sorted(r["doc_id"] or 0 for r in docs.collect())
+        assert ids == ([] if number else [0, 0, 1, 4, 5, 6, 7, 9, 10, 11, 20, 21, 21])
