@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns, tidy
+from .common import blocks, columns, tidy
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Texts of these characters alone may be split by the standard library's quicker engine, with the classes spelt out.
 _PLAIN = re.compile(f"[\\t\\n\\r -~{_LETTER}«»¿¡–—‘’“”…€£§©®°]*")
 _PLAIN_SPLIT = re.compile(f" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 _KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -218,16 +218,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = _KNOWN_PATTERN,
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 8 << 20):
-                    size += len(texts[j])
-                    j += 1
-                packed = own.encode_batch(texts[i:j])
+            for i, j, _, _ in blocks(batch.column(1)):  # no more is held as words at once
+                packed = own.encode_batch([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 arrays = [
-                    keys.slice(i, j - i),
+                    batch.column(0).slice(i, j - i),
                     pa.array([len(p) // 4 for p in packed], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
                     pa.array([hashlib.sha256(own.decode(p)).hexdigest() for p in packed]),
@@ -239,7 +233,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = _KNOWN_PATTERN,
                     arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                i = j
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids

@@ -6,6 +6,7 @@ import ctypes
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,37 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of an id filter: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A function of an id column that is true for all ids of the table and false for most others.
+
+    A Bloom filter of FILTER_BITS bits, put together by an aggregation of at most FILTER_BITS / 64 rows and broadcast. Rows
+    that it turns away need not be shuffled for a join on the ids; with far more ids than bits it turns none away, and the
+    join, which decides in any case, does without.
+    """
+    hashes = lambda c: [F.xxhash64(F.lit(k), c.cast("bigint")).bitwiseAND(FILTER_BITS - 1) for k in (1, 2)]
+    one, two = hashes(F.col(column))
+    places = F.array(*((one + two * k).bitwiseAND(FILTER_BITS - 1) for k in range(4)))
+    words = ids.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        own, found = shared.value, np.ones(len(a), bool)
+        h, step = a.to_numpy(), b.to_numpy()
+        for k in range(4):
+            at = (h + step * k) & (FILTER_BITS - 1)
+            found &= (own[at >> 6] >> (at & 63)) & 1 == 1
+        return pd.Series(found)
+
+    return lambda c: held(*hashes(c))
+
+
 def columns(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns: others, whatever their names, can't clash with an operator's own."""
     return df.select(*(F.col(f"`{c}`") for c in wanted))

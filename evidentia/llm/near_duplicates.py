@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, columns, keep, mix, span_hashes, tidy, tokens
+from .common import LOWER, blocks, columns, id_filter, keep, mix, span_hashes, tidy, tokens
 from .graphs import components, linked
 
 PERMUTATIONS, BANDS = 64, 32
@@ -162,7 +162,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     members = keep(spread.join(shared, "bucket"), "buckets")
     wanted = keep(members.select("id").distinct(), "wanted")
     sketches = keep(named.select(F.col("doc_id").alias("id"), "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    # Only rows that the filter lets through are shuffled with their texts.
+    held = id_filter(wanted, "id")
+    texts = keep(docs.where(held(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
     links = _class_links(signed)
     labels = keep(components(links), "labels") if links is not None else None
 
@@ -174,8 +176,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
         hopeful = keep(_hopeful(pairs, sketches, similarity), "hopeful")
         if hopeful.isEmpty():
             return None
-        asked = hopeful.select("id").unionByName(hopeful.select(F.col("leader").alias("id"))).distinct()
-        return keep(_confirmed(hopeful, keep(texts.join(asked, "id", "left_semi"), "texts"), similarity), "links")
+        return keep(_confirmed(hopeful, texts, similarity), "links")
 
     labels = linked(members, verify, labels, near)
     rows = signed.select("doc_id", "n_shingles", "set_id")
@@ -201,10 +202,13 @@ def one_of_each(docs: DataFrame, similarity: int = 80) -> DataFrame:
 
     Rows equal in doc_id and text count as one. Rows whose doc_id is null all stay. An empty table gives no rows.
     """
-    found = near_duplicates(docs, similarity).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
-    named = docs.join(keep(found, "found"), F.col("doc_id").cast("bigint") == F.col("__kept_id"))
+    found = keep(near_duplicates(docs, similarity).where("doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__rows")), "found")
+    # Most ids are kept and have one row: theirs stay where they are. All others, and what the filter takes for them, are joined.
+    odd = id_filter(found.where("not __kept or __rows > 1"), "__kept_id")(F.col("doc_id"))
+    flagged = docs.where("doc_id is not null").withColumn("__odd", odd)
+    sure = flagged.where("not __odd").select(*docs.columns)
+    named = flagged.where("__odd").join(found.where("__kept"), F.col("doc_id").cast("bigint") == F.col("__kept_id"))
     once, several = named.where("__rows = 1"), named.where("__rows > 1")
     # Only ids that several rows share are sorted out by text, of which a digest of 128 bits is the key.
-    own = [docs[c] for c in docs.columns]
     several = several.withColumn("__text", F.coalesce(F.md5("text"), F.lit(""))).dropDuplicates(["__kept_id", "__text"])
-    return once.select(*own).unionByName(several.select(*own)).unionByName(docs.where("doc_id is null"))
+    return sure.unionByName(once.select(*docs.columns)).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, blocks, columns, tidy
+from .common import WHITE, blocks, columns, id_filter, keep, tidy
 
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 GEAR[0] = 0
@@ -177,7 +177,11 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     are null and empty texts; repeated rows are cut alike; an empty table gives no rows.
     """
     found = passages(docs, least_bytes).where("removable").groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_text")).agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("__cuts"))
-    joined = docs.join(found, (F.col("doc_id").cast("bigint") == F.col("__cut_id")) & (F.hash("text") == F.col("__cut_text")), "left")
+    found = keep(found, "cuts")
+    # Only rows that may have cuts are shuffled with their texts.
+    flagged = docs.withColumn("__touched", F.coalesce(id_filter(found, "__cut_id")(F.col("doc_id")), F.lit(False)))
+    touched = flagged.where("__touched").drop("__touched")
+    joined = touched.join(found, (F.col("doc_id").cast("bigint") == F.col("__cut_id")) & (F.hash("text") == F.col("__cut_text")), "left")
     place = docs.schema.names.index("text")
     counts = [k for k, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.simpleString() in ("bigint", "int")]
 
@@ -203,4 +207,5 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
             arrays[c] = pa.array([o if s is None else s for o, s in zip(arrays[c].to_pylist(), size)], arrays[c].type)
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1]).filter(pa.array(stay))
 
-    return joined.select(*(docs[c] for c in docs.columns), "__cuts").mapInArrow(tidy(run), docs.schema)
+    changed = joined.select(*docs.columns, "__cuts").mapInArrow(tidy(run), docs.schema)
+    return flagged.where("not __touched").select(*docs.columns).unionByName(changed)
