@@ -102,6 +102,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch to or from a Python worker, where the session has Spark's own default of 64 MB.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send batches of BATCH_BYTES: a task holds several at once, on either side. A session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64m", "64MB", "67108864"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def tidy(run):
     """run, for mapInArrow, giving the memory that it no longer uses back to the system when it ends: an idle Python worker would keep it."""
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, decontaminate, fingerprints, language_model, near_duplicates, substrings, token_counts, toxicity, url_filter
+from .common import small_batches
 
 
 def _table(spark, sf_dir, name):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
