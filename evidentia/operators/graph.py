@@ -24,9 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def conflicts(must: DataFrame, cannot: DataFrame, cap: int | None = None) -> DataFrame:
-    """(left_id, right_id, status) of cannot-link facts: conflict where must-links join both ends, else consistent; over cap facts: analysis_limit_exceeded."""
-    if cap is not None and must.limit(cap + 1).count() > cap:
+def conflicts(must: DataFrame, cannot: DataFrame, most_must: int | None = None, most_cannot: int | None = None) -> DataFrame:
+    """(left_id, right_id, status) of cannot-link facts: conflict where must-links join both ends, else consistent.
+
+    With more facts of either kind than asked for nothing is analysed: every status is analysis_limit_exceeded.
+    """
+    over = lambda d, most: most is not None and d.limit(most + 1).count() > most
+    if over(must, most_must) or over(cannot, most_cannot):
         return cannot.select("left_id", "right_id", F.lit("analysis_limit_exceeded").alias("status"))
     labels = components(must)
     a, b = labels.select(F.col("id").alias("left_id"), F.col("label").alias("la")), labels.select(F.col("id").alias("right_id"), F.col("label").alias("lb"))

@@ -79,8 +79,8 @@ cases AS (SELECT d.doc_id, lang, source, d.n_chars, quality::varchar AS expected
   FROM labels l JOIN documents d USING (doc_id), (VALUES ('baseline', 200), ('candidate', 800)) v(variant, floor)),
 pairs AS (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, a.p_partkey::varchar || ':' || b.p_partkey::varchar AS subject_id, (a.p_brand = b.p_brand)::int AS shared, (a.p_type <> b.p_type)::int AS conflicting
   FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
-must AS (SELECT s_suppkey AS left_id, nxt AS right_id FROM (SELECT s_suppkey, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt FROM supplier) WHERE nxt IS NOT NULL AND s_suppkey % 4 <> 0),
-cannot AS (SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (a.s_suppkey + b.s_suppkey) % 5 = 0)
+must AS (SELECT p_partkey AS left_id, nxt AS right_id FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part) WHERE nxt IS NOT NULL AND p_partkey % 4 <> 0),
+cannot AS (SELECT p_partkey AS left_id, nxt AS right_id FROM (SELECT p_partkey, lead(p_partkey, 2) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part) WHERE nxt IS NOT NULL AND p_partkey % 3 = 0)
 """
 
 
@@ -114,14 +114,17 @@ def pairs(spark, sf_dir) -> DataFrame:
     return c.join(a, "left_id").join(b, "right_id").select("subject_id", "left_id", "right_id", (F.col("left_brand") == F.col("right_brand")).cast("int").alias("shared"), (F.col("left_type") != F.col("right_type")).cast("int").alias("conflicting"))
 
 
-def must_links(spark, sf_dir) -> DataFrame:
+def _following(spark, sf_dir, by: int) -> DataFrame:
+    """(left_id, right_id): each part and the one that follows it by so many places within its brand."""
     from pyspark.sql import Window
 
-    nxt = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("left_id"), nxt.alias("right_id")).where("right_id is not null and left_id % 4 <> 0")
+    nxt = F.lead("p_partkey", by).over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("left_id"), nxt.alias("right_id")).where("right_id is not null")
+
+
+def must_links(spark, sf_dir) -> DataFrame:
+    return _following(spark, sf_dir, 1).where("left_id % 4 <> 0")
 
 
 def cannot_links(spark, sf_dir) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    a, b = s.select("s_nationkey", F.col("s_suppkey").alias("left_id")), s.select("s_nationkey", F.col("s_suppkey").alias("right_id"))
-    return a.join(b, "s_nationkey").where("left_id < right_id and (left_id + right_id) % 5 = 0").select("left_id", "right_id")
+    return _following(spark, sf_dir, 2).where("left_id % 3 = 0")

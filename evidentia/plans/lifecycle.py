@@ -179,30 +179,31 @@ priced AS (SELECT *, greatest(refresh + inflight - wait - infer_now - queued, 0)
 SELECT grp, total, fresh, stale, missing, inflight, refresh, infer_now, wait, queued, fail_closed, path, lookup_ms, queue_ms, infer_ms, round(CASE path WHEN 'bounded_infer_now' THEN lookup_ms + infer_ms WHEN 'wait_for_refresh' THEN lookup_ms + 0.5::double * wait WHEN 'queue_refresh' THEN queue_ms WHEN 'full_refresh' THEN queue_ms ELSE lookup_ms END, 2) AS cost_ms, CASE WHEN total = 0 THEN 1.0::double ELSE round(fresh::double / total, 4) END AS freshness FROM priced"""
 
 
-def _costed(counts, **options):
+def costed(counts, **options):
     found = planning.plan(counts, **options)
     numbers = ("total", "fresh", "stale", "missing", "inflight", "refresh", "infer_now", "wait", "queued", "fail_closed")
     return found.select("grp", *(F.col(c).cast("bigint").alias(c) for c in numbers), "path", "lookup_ms", "queue_ms", "infer_ms", "cost_ms", "freshness")
 
 
-def _bigints(sql):
-    head, tail = sql.rsplit("SELECT grp, ", 1)
+def costs_sql(rows: int) -> str:
+    """SQL after a table `counts` (grp, total, fresh, stale, missing, inflight): the plans of planning.plan."""
+    head, tail = (_COSTS % {"rows": rows}).rsplit("SELECT grp, ", 1)
     numbers = "total, fresh, stale, missing, inflight, refresh, infer_now, wait, queued, fail_closed"
     return head + "SELECT grp, " + ", ".join(f"{c}::bigint AS {c}" for c in numbers.split(", ")) + tail[len(numbers) :]
 
 
-@query(f"{_STATS}, counts AS (SELECT task AS grp, total, fresh, stale, missing, total % 3 AS inflight FROM kept) {_bigints(_COSTS % {'rows': 0})}")
+@query(f"{_STATS}, counts AS (SELECT task AS grp, total, fresh, stale, missing, total % 3 AS inflight FROM kept) {costs_sql(rows=0)}")
 def maintained_plan(s, d):
     """Plans from kept counts, without judging at once: the paths that wait, queue or refresh all, with their costs."""
-    return _costed(_kept_counts(s, d).withColumn("inflight", F.col("total") % 3).withColumnRenamed("task", "grp"), max_rows=0)
+    return costed(_kept_counts(s, d).withColumn("inflight", F.col("total") % 3).withColumnRenamed("task", "grp"), max_rows=0)
 
 
-@query(f"""{_PAIRS}, counts AS (SELECT 'g' || (left_id % 4)::varchar AS grp, count(*) AS total, count(*) FILTER (is_fresh) AS fresh, count(*) FILTER (NOT is_fresh) AS stale, count(*) FILTER (is_fresh IS NULL) AS missing, 0 AS inflight FROM pair_inputs LEFT JOIN pair_rows USING (subject_id) GROUP BY left_id % 4) {_bigints(_COSTS % {'rows': 1})}""")
+@query(f"""{_PAIRS}, counts AS (SELECT 'g' || (left_id % 4)::varchar AS grp, count(*) AS total, count(*) FILTER (is_fresh) AS fresh, count(*) FILTER (NOT is_fresh) AS stale, count(*) FILTER (is_fresh IS NULL) AS missing, 0 AS inflight FROM pair_inputs LEFT JOIN pair_rows USING (subject_id) GROUP BY left_id % 4) {costs_sql(rows=1)}""")
 def pair_plan(s, d):
     i, c = _pair_inputs(s, d), _pair_current(s, d)
     flags = i.join(c.select("subject_id", "is_fresh"), "subject_id", "left")
     n = flags.groupBy(F.concat(F.lit("g"), (F.col("left_id") % 4).cast("string")).alias("grp")).agg(F.count("*").alias("total"), F.count_if(F.col("is_fresh")).alias("fresh"), F.count_if(~F.col("is_fresh")).alias("stale"), F.count_if(F.col("is_fresh").isNull()).alias("missing"), F.lit(0).cast("bigint").alias("inflight"))
-    return _costed(n)
+    return costed(n)
 
 
 @query("SELECT task, samples, p25, p50, p75, greatest(200 * p50, 60000 + p50)::bigint AS catch_up_ms FROM (SELECT task, count(*) AS samples, quantile_disc(run_ms, 0.25)::bigint AS p25, quantile_disc(run_ms, 0.5)::bigint AS p50, quantile_disc(run_ms, 0.75)::bigint AS p75 FROM (SELECT * FROM (SELECT task, retries, run_ms, created_at, id, min(retries) OVER (PARTITION BY task) AS best FROM jobs) WHERE retries = best QUALIFY row_number() OVER (PARTITION BY task ORDER BY created_at DESC, id DESC) <= 101) GROUP BY task)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity, jsonx
-from ..operators import evaluation, freshness, graph, judging, observability, planning, queue, revisions, semantic
+from ..operators import evaluation, freshness, graph, judging, observability, queue, revisions, semantic
 from ..streaming import changes
 from . import families, fixtures as X, lifecycle  # noqa: F401  both add their queries
 from .catalog import ORACLES, QUERIES, query
@@ -137,13 +137,16 @@ def time_freshness(s, d):
     return X.table(s, d, "orders").select("o_orderkey", freshness.age_state(F.col("o_orderdate"), F.lit("2001-12-31 00:00:00").cast("timestamp"), age, F.lit(31536000)).alias("state"))
 
 
-@query("""SELECT 'r' || (k % 5)::varchar AS grp, count(*) AS total, sum((state LIKE 'fresh%')::int)::bigint AS fresh, sum((state = 'stale')::int)::bigint AS stale, sum((state = 'missing')::int)::bigint AS missing, sum((state = 'in_flight')::int)::bigint AS inflight,
-sum((state IN ('stale','missing'))::int)::bigint AS refresh, CASE WHEN sum((state IN ('stale','missing'))::int) > 0 THEN 'bounded_infer_now' WHEN sum((state = 'in_flight')::int) > 0 THEN 'wait_for_refresh' ELSE 'lookup' END AS path, round(sum((state LIKE 'fresh%')::int)::double / count(*), 4) AS freshness FROM states GROUP BY k % 5""")
+_GROUPED = "counts AS (SELECT 'r' || (k % 5)::varchar AS grp, count(*) AS total, count(*) FILTER (state LIKE 'fresh%') AS fresh, count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'in_flight') AS inflight FROM states GROUP BY k % 5)"
+
+
+@query(f", {_GROUPED} {lifecycle.costs_sql(rows=1)}")
 def plan_from_counts(s, d):
+    """Quantities, path, costs and freshness of a plan for each group of subjects."""
     n = lambda c: F.count_if(c)
     st = F.col("state")
     counts = _states(s, d).groupBy(F.concat(F.lit("r"), (F.col("subject_id").cast("bigint") % 5).cast("string")).alias("grp")).agg(F.count("*").alias("total"), n(st.startswith("fresh")).alias("fresh"), n(st == "stale").alias("stale"), n(st == "missing").alias("missing"), n(st == "in_flight").alias("inflight"))
-    return planning.plan(counts).select("grp", "total", "fresh", "stale", "missing", "inflight", "refresh", "path", "freshness")
+    return lifecycle.costed(counts)
 
 
 def _attempts(s, d):
@@ -319,6 +322,11 @@ def graph_conflict(s, d):
     return graph.conflicts(X.must_links(s, d), X.cannot_links(s, d))
 
 
+@query("SELECT left_id, right_id, 'analysis_limit_exceeded' AS status FROM cannot WHERE (SELECT count(*) FROM must) > 40")
+def graph_conflict_over_its_cap(s, d):
+    return graph.conflicts(X.must_links(s, d), X.cannot_links(s, d), most_must=40)
+
+
 @query("SELECT subject_id AS pair_id, CASE WHEN left_id % 10 = 0 THEN 'task_inactive' WHEN left_id % 3 = 0 AND right_id % 3 = 0 THEN 'reopened_source_and_contract' WHEN left_id % 3 = 0 THEN 'reopened_source' WHEN right_id % 3 = 0 THEN 'reopened_contract' ELSE 'active' END AS state FROM pairs")
 def pair_constraint_status(s, d):
     p = X.pairs(s, d)

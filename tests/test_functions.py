@@ -60,7 +60,7 @@ def test_caps_refuse(spark):
         bounded(spark.range(11), 10)
     edges = spark.createDataFrame([(1, 2), (2, 3)], "left_id long, right_id long")
     assert graph.conflicts(edges, spark.createDataFrame([(1, 3), (1, 9)], "left_id long, right_id long")).orderBy("right_id").collect() == [(1, 3, "conflict"), (1, 9, "consistent")]
-    assert graph.conflicts(edges, edges, cap=1).first()["status"] == "analysis_limit_exceeded"
+    assert graph.conflicts(edges, edges, most_cannot=1).first()["status"] == "analysis_limit_exceeded"
 
 
 def test_key_change_and_backoff(spark):
