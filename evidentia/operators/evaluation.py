@@ -14,7 +14,7 @@ def rate(n: Column, of: Column) -> Column:
 
 
 def slices(cases: DataFrame, dimensions: list[str], minimum: int) -> DataFrame:
-    """Metrics of cases (variant, expected, observed, abstained, escalated, latency_ms, …dimensions) overall and by each dimension's values."""
+    """Metrics of cases (variant, expected, observed, abstained, escalated, latency_ms, …dimensions) overall and by each dimension's values; memory_bytes (most) and reviewer_s (mean) where cases have them."""
     parts = F.array(F.struct(F.lit("overall").alias("kind"), F.lit("all").alias("value")), *(F.struct(F.lit(d).alias("kind"), F.col(d).cast("string").alias("value")) for d in dimensions))
     spread = cases.withColumn("slice", F.explode(parts))
     right = F.coalesce((F.col("observed") == F.col("expected")).cast("int"), F.lit(0))
@@ -25,6 +25,8 @@ def slices(cases: DataFrame, dimensions: list[str], minimum: int) -> DataFrame:
         F.round(F.avg(F.when(F.col("observed").isNotNull(), F.col("abstained").cast("int"))), 12).alias("abstention"),
         F.round(F.avg(F.col("escalated").cast("int")), 12).alias("escalation"),
         F.when(F.count("latency_ms") == F.count("*"), F.round(F.avg("latency_ms"), 6)).alias("latency_ms"),
+        *([F.max("memory_bytes").alias("memory_bytes")] if "memory_bytes" in cases.columns else []),
+        *([F.round(F.avg("reviewer_s"), 6).alias("reviewer_s")] if "reviewer_s" in cases.columns else []),
         (F.count("*") >= minimum).alias("supported"),
     )
 
@@ -99,13 +101,20 @@ def model_scores(models: DataFrame) -> DataFrame:
 
 
 def entity_resolution(pairs: DataFrame) -> DataFrame:
-    """(metric, numerator, denominator, rate) of pairs (expected, observed, in_candidates, escalated)."""
+    """(metric, numerator, denominator, rate) of pairs (expected, observed, in_candidates, escalated, reviewed, corrected, merge_ok).
+
+    reviewed: what a reviewer answered; corrected: whether a correction was made of an answer; merge_ok: how a merge turned
+    out. Each is null where nobody reported it, and counts only where somebody did.
+    """
     truth, seen = F.col("expected") == "same_entity", F.coalesce("in_candidates", F.lit(False))
     definitions = [
         ("candidate_recall", truth & seen, truth),
         ("pair_classification", F.col("observed") == F.col("expected"), F.col("observed").isNotNull()),
         ("abstention", F.col("observed") == "unclear", F.col("observed").isNotNull()),
         ("escalation", F.col("escalated"), F.lit(True)),
+        ("reported_reviewer_agreement", F.col("reviewed") == F.col("observed"), F.col("reviewed").isNotNull() & F.col("observed").isNotNull()),
+        ("reported_correction", F.col("corrected"), F.col("corrected").isNotNull()),
+        ("reported_downstream_merge_outcome", F.col("merge_ok"), F.col("merge_ok").isNotNull()),
         ("false_merge", ~truth & (F.col("observed") == "same_entity"), ~truth),
     ]
     one = pairs.agg(*(F.count_if(c & of).alias(f"n_{m}") for m, c, of in definitions), *(F.count_if(of).alias(f"d_{m}") for m, _, of in definitions))
@@ -113,6 +122,19 @@ def entity_resolution(pairs: DataFrame) -> DataFrame:
     return one.select(F.inline(rows)).withColumn("rate", rate(F.col("numerator"), F.col("denominator")))
 
 
+def sampling_rule(cases: DataFrame, rules: DataFrame) -> DataFrame:
+    """(case_id, rule, share, sampled): the rule of highest precedence that fits each case, and whether its hash falls into the rule's share.
+
+    cases: (case_id, task, decision, has_action); rules: (rule, task, decision, action_free, share), nulls fit anything. A
+    rule for cases without action comes before one for a decision, and that before one for a task alone. Rules are few.
+    """
+    r = rules.select(F.col("rule"), F.col("task").alias("r_task"), F.col("decision").alias("r_decision"), "action_free", "share")
+    d = cases.join(F.broadcast(r), (F.coalesce("r_task", "task") == F.col("task")) & (F.coalesce("r_decision", "decision") == F.col("decision")) & (~F.coalesce("action_free", F.lit(False)) | ~F.col("has_action")))
+    rank = F.when(F.col("action_free"), 0).when(F.col("r_decision").isNotNull(), 1).otherwise(2)
+    best = d.groupBy("case_id").agg(F.min_by(F.struct("rule", "share"), F.struct(rank, "rule")).alias("b")).select("case_id", "b.*")
+    return best.withColumn("sampled", F.conv(F.substring(F.sha2("case_id", 256), 1, 8), 16, 10).cast("bigint") < F.floor(F.col("share") * 2**32))
+
+
 def drift(baseline: DataFrame, current: DataFrame, bucket: str) -> DataFrame:
     """Total-variation distance of two distributions of a column."""
     def shares(d: DataFrame, name: str) -> DataFrame:

@@ -136,3 +136,15 @@ def batches(subjects: DataFrame, size: int = 64) -> DataFrame:
     from .queue import backfill_manifest
 
     return backfill_manifest(subjects, size).select("subject_id", F.col("page").alias("batch"))
+
+
+def upserted(records: DataFrame, new: DataFrame) -> DataFrame:
+    """The next version of records (subject_id, content_hash, job_id, body) after new ones: one for each subject, the new where there is one; record_id names subject and job."""
+    kept = records.join(new.select("subject_id"), "subject_id", "left_anti")
+    both = kept.select("subject_id", "content_hash", "job_id", "body").unionByName(new.select("subject_id", "content_hash", "job_id", "body"))
+    return both.withColumn("record_id", F.sha2(F.concat_ws("/", "subject_id", F.col("job_id").cast("string")), 256))
+
+
+def completed(job_id, inputs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The record of one complete job, if its input is still the subject's."""
+    return materialize(inputs, jobs.where(F.col("id") == job_id))

@@ -97,6 +97,15 @@ def subject_input(s, d):
     return queue.subject_input(X.customer_inputs(s, d), "7").select("subject_id", "content")
 
 
+@query(f"{_PAIRS} SELECT p.subject_id FROM pairs p WHERE p.subject_id IN (SELECT subject_id FROM pair_rows WHERE is_fresh AND match = 'same_entity') OR p.subject_id IN (SELECT subject_id FROM (SELECT p.subject_id, p.shared, p.conflicting FROM pairs p WHERE p.left_id % 4 <> 0 AND p.subject_id NOT IN (SELECT subject_id FROM pair_rows WHERE is_fresh) ORDER BY p.subject_id LIMIT 30) WHERE conflicting = 0 AND shared > 0)")
+def pair_match_auto(s, d):
+    """Pairs whose fresh judgment matches, and up to 30 unresolved ones judged now."""
+    p = X.pairs(s, d)
+    inputs = _pair_inputs(s, d).join(p.select("subject_id", "shared", "conflicting"), "subject_id")
+    judged = (F.col("conflicting") == 0) & (F.col("shared") > 0)
+    return semantic.semantic_filter_auto(p.select("subject_id"), "subject_id", inputs, _pair_current(s, d), inputs.where("left_id % 4 = 0"), judged, F.col("body") == "same_entity", 30)
+
+
 # Judging -------------------------------------------------------------------------------------------------------------------
 
 @query("SELECT p_partkey::varchar AS subject_id, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS answer, p_size::bigint AS weight FROM part")
@@ -123,6 +132,40 @@ def direct_gate(s, d):
     return X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", judging.direct_gate(conf, answer, F.col("l_linenumber") % 2 == 1).alias("reason"), attempt.alias("attempt_ms"), queue.lease_ms(F.lit(25_000), attempt).alias("lease_ms"))
 
 
+@query("SELECT subject_id, job_id, sha256(subject_id || '/' || job_id::varchar) AS record_id, body FROM (SELECT i.subject_id, CASE WHEN i.k % 3 = 0 THEN i.k + 1000 ELSE i.k END AS job_id, CASE WHEN i.k % 3 = 0 THEN 'new' ELSE 'old' END AS body FROM inputs i WHERE i.k % 2 = 0 OR i.k % 3 = 0)")
+def upserted_records(s, d):
+    """Records after the jobs of some subjects are done: theirs replace what was there."""
+    i = X.customer_inputs(s, d).select("subject_id", "content_hash")
+    k = F.col("subject_id").cast("bigint")
+    old = i.where(k % 2 == 0).withColumn("job_id", k).withColumn("body", F.lit("old"))
+    jobs = i.where(k % 3 == 0).select((k + 1000).alias("id"), "subject_id", "content_hash", F.lit("complete").alias("status"), F.lit("new").alias("body"), F.lit(1).alias("finished_at"))
+    return semantic.upserted(old, semantic.materialize(i, jobs)).select("subject_id", "job_id", "record_id", "body")
+
+
+@query("SELECT subject_id, 7 AS job_id, 'done' AS body FROM inputs WHERE k = 5")
+def completed_job(s, d):
+    """One job's record."""
+    i = X.customer_inputs(s, d).select("subject_id", "content_hash")
+    jobs = i.where("subject_id in ('5', '6')").select((F.col("subject_id").cast("bigint") + 2).cast("int").alias("id"), "subject_id", "content_hash", F.lit("complete").alias("status"), F.lit("done").alias("body"), F.lit(1).alias("finished_at"))
+    return semantic.completed(7, i, jobs).select("subject_id", "job_id", "body")
+
+
+@query("SELECT case_id, rule, share, ('0x' || substr(sha256(case_id), 1, 8))::bigint < floor(share * 4294967296) AS sampled FROM (SELECT doc_id::varchar AS case_id, CASE WHEN doc_id % 3 <> 0 THEN 'free' WHEN source = 'web' THEN 'web' WHEN lang = 'en' THEN 'english' END AS rule, CASE WHEN doc_id % 3 <> 0 THEN 0.25::double WHEN source = 'web' THEN 0.5::double WHEN lang = 'en' THEN 1.0::double END AS share FROM documents) WHERE rule IS NOT NULL")
+def sampling_choice(s, d):
+    """Which review rule samples a case: without action before decision before task."""
+    cases = X.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("case_id"), F.col("lang").alias("task"), F.col("source").alias("decision"), (F.col("doc_id") % 3 == 0).alias("has_action"))
+    rules = s.createDataFrame([("english", "en", None, False, 1.0), ("web", None, "web", False, 0.5), ("free", None, None, True, 0.25)], "rule string, task string, decision string, action_free boolean, share double")
+    return evaluation.sampling_rule(cases, rules)
+
+
+@query("SELECT task, count(*) FILTER (status = 'queued') AS queued, p.cap, count(*) FILTER (status = 'queued') > p.cap AS over FROM jobs, (SELECT 100 AS cap) p GROUP BY task, p.cap")
+def policy_status(s, d):
+    """Queues against a policy of one row."""
+    policy = s.createDataFrame([(100,)], "cap int")
+    n = X.jobs(s, d).groupBy("task").agg(F.count_if(F.col("status") == "queued").alias("queued"))
+    return n.crossJoin(F.broadcast(policy)).withColumn("over", F.col("queued") > F.col("cap"))
+
+
 # Corrections ---------------------------------------------------------------------------------------------------------------
 
 _CORRECTED = """, fixes AS (SELECT i.k AS correction_id, i.subject_id, 'pass' AS body, i.source_hash, CASE WHEN i.k % 10 = 0 THEN 'old' ELSE i.content_hash END AS content_hash, i.contract_hash, CASE WHEN i.k % 9 = 0 THEN 1 ELSE 3 END AS expires_at, NULL::bigint AS supersedes, 1 AS created_at FROM inputs i WHERE i.k % 3 = 0
@@ -482,3 +525,13 @@ def drift_report(s, d):
 def economics_comparison(s, d):
     c = X.cases(s, d).groupBy("lang").agg(F.avg(F.when((F.col("variant") == "baseline") & (F.col("doc_id") % 2 == 0), F.col("latency_ms"))).alias("old"), F.avg(F.when((F.col("variant") == "candidate") & (F.col("doc_id") % 2 == 1), F.col("latency_ms"))).alias("new"))
     return c.withColumn("relative", evaluation.relative_delta(F.col("new"), F.col("old")))
+
+
+@query("SELECT event_id, path, kind FROM events, (VALUES ('$', 'object'), ('$.k', 'number')) v(path, kind)")
+def json_paths(s, d):
+    """A table function: the paths of each document with their types, by a lateral join."""
+    from ..functions.tables import register
+
+    register(s)
+    X.table(s, d, "events").select("event_id", "props").createOrReplaceTempView("evidentia_documents")
+    return s.sql("SELECT event_id, p.path, p.kind FROM evidentia_documents, LATERAL json_paths(props) p")

@@ -227,9 +227,10 @@ def backfill_status(s, d):
     return queue.backfill_status(m, m.where("cast(subject_id as bigint) % 3 = 0"))
 
 
-@query("SELECT variant, kind AS slice_kind, val AS slice_value, count(*) AS support, round(avg(coalesce((observed = expected)::int, 0)), 12) AS quality, round(avg(CASE WHEN observed IS NOT NULL THEN 1 - (observed = expected)::int END), 12) AS false_trust, round(avg(CASE WHEN observed IS NOT NULL THEN (observed = '0')::int END), 12) AS abstention, round(avg(escalated::int), 12) AS escalation, round(avg(latency_ms), 6) AS latency_ms, count(*) >= 30 AS supported FROM (SELECT *, 'overall' AS kind, 'all' AS val FROM cases UNION ALL SELECT *, 'lang', lang FROM cases UNION ALL SELECT *, 'source', source FROM cases) GROUP BY variant, kind, val")
+@query("SELECT variant, kind AS slice_kind, val AS slice_value, count(*) AS support, round(avg(coalesce((observed = expected)::int, 0)), 12) AS quality, round(avg(CASE WHEN observed IS NOT NULL THEN 1 - (observed = expected)::int END), 12) AS false_trust, round(avg(CASE WHEN observed IS NOT NULL THEN (observed = '0')::int END), 12) AS abstention, round(avg(escalated::int), 12) AS escalation, round(avg(latency_ms), 6) AS latency_ms, max(n_chars * 100) AS memory_bytes, round(avg(doc_id % 50), 6) AS reviewer_s, count(*) >= 30 AS supported FROM (SELECT *, 'overall' AS kind, 'all' AS val FROM cases UNION ALL SELECT *, 'lang', lang FROM cases UNION ALL SELECT *, 'source', source FROM cases UNION ALL SELECT *, 'expected', expected FROM cases) GROUP BY variant, kind, val")
 def eval_slices(s, d):
-    return evaluation.slices(X.cases(s, d), ["lang", "source"], 30)
+    c = X.cases(s, d).withColumn("memory_bytes", F.col("n_chars") * 100).withColumn("reviewer_s", F.col("doc_id") % 50)
+    return evaluation.slices(c, ["lang", "source", "expected"], 30)
 
 
 _CAND = "(SELECT l_linestatus AS source, l_orderkey AS query, l_partkey AS item, row_number() OVER (PARTITION BY l_linestatus, l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rank FROM (SELECT DISTINCT l_linestatus, l_orderkey, l_partkey, min(l_extendedprice) AS l_extendedprice, min(l_suppkey) AS l_suppkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL))"
@@ -256,14 +257,19 @@ def ordering_bias(s, d):
     return evaluation.ordering_bias(_coverage(s, d))
 
 
-_ER = "(SELECT CASE WHEN left_id % 3 = 0 THEN 'same_entity' ELSE 'different_entity' END AS expected, CASE WHEN left_id % 13 = 0 THEN NULL WHEN conflicting > 0 THEN 'different_entity' WHEN shared > 0 THEN 'same_entity' ELSE 'unclear' END AS observed, left_id % 8 <> 0 AS seen, right_id % 6 = 0 AS escalated FROM pairs)"
+_ER = "(SELECT CASE WHEN left_id % 3 = 0 THEN 'same_entity' ELSE 'different_entity' END AS expected, CASE WHEN left_id % 13 = 0 THEN NULL WHEN conflicting > 0 THEN 'different_entity' WHEN shared > 0 THEN 'same_entity' ELSE 'unclear' END AS observed, left_id % 8 <> 0 AS seen, right_id % 6 = 0 AS escalated, CASE WHEN right_id % 2 = 0 THEN CASE WHEN left_id % 5 = 0 THEN 'same_entity' ELSE 'different_entity' END END AS reviewed, CASE WHEN right_id % 3 = 0 THEN left_id % 4 = 0 END AS corrected, CASE WHEN left_id % 3 = 0 THEN right_id % 7 <> 0 END AS merge_ok FROM pairs)"
+_ER_METRICS = {"candidate_recall": ("expected = 'same_entity' AND seen", "expected = 'same_entity'"), "pair_classification": ("observed = expected", "observed IS NOT NULL"), "abstention": ("observed = 'unclear'", "observed IS NOT NULL"), "escalation": ("escalated", "true"), "reported_reviewer_agreement": ("reviewed = observed", "reviewed IS NOT NULL AND observed IS NOT NULL"), "reported_correction": ("corrected", "corrected IS NOT NULL"), "reported_downstream_merge_outcome": ("merge_ok", "merge_ok IS NOT NULL"), "false_merge": ("expected <> 'same_entity' AND observed = 'same_entity'", "expected <> 'same_entity'")}
+_ER_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER ({n}) AS numerator, count(*) FILTER ({of}) AS denominator FROM {_ER}" for m, (n, of) in _ER_METRICS.items())
 
 
-@query(f"SELECT metric, numerator, denominator, round(numerator::double / nullif(denominator, 0), 12) AS rate FROM (SELECT 'candidate_recall' AS metric, count(*) FILTER (expected = 'same_entity' AND seen) AS numerator, count(*) FILTER (expected = 'same_entity') AS denominator FROM {_ER} UNION ALL SELECT 'pair_classification', count(*) FILTER (observed = expected), count(observed) FROM {_ER} UNION ALL SELECT 'abstention', count(*) FILTER (observed = 'unclear'), count(observed) FROM {_ER} UNION ALL SELECT 'escalation', count(*) FILTER (escalated), count(*) FROM {_ER} UNION ALL SELECT 'false_merge', count(*) FILTER (expected <> 'same_entity' AND observed = 'same_entity'), count(*) FILTER (expected <> 'same_entity') FROM {_ER})")
+@query(f"SELECT metric, numerator, denominator, round(numerator::double / nullif(denominator, 0), 12) AS rate FROM ({_ER_ROWS})")
 def er_quality(s, d):
-    p = X.pairs(s, d)
-    observed = F.when(F.col("left_id") % 13 == 0, None).otherwise(judging.match_rule(F.col("conflicting"), F.col("shared"))["match"])
-    return evaluation.entity_resolution(p.select(F.when(F.col("left_id") % 3 == 0, "same_entity").otherwise("different_entity").alias("expected"), observed.alias("observed"), (F.col("left_id") % 8 != 0).alias("in_candidates"), (F.col("right_id") % 6 == 0).alias("escalated")))
+    p, left, right = X.pairs(s, d), F.col("left_id"), F.col("right_id")
+    observed = F.when(left % 13 == 0, None).otherwise(judging.match_rule(F.col("conflicting"), F.col("shared"))["match"])
+    return evaluation.entity_resolution(p.select(
+        F.when(left % 3 == 0, "same_entity").otherwise("different_entity").alias("expected"), observed.alias("observed"), (left % 8 != 0).alias("in_candidates"), (right % 6 == 0).alias("escalated"),
+        F.when(right % 2 == 0, F.when(left % 5 == 0, "same_entity").otherwise("different_entity")).alias("reviewed"), F.when(right % 3 == 0, left % 4 == 0).alias("corrected"), F.when(left % 3 == 0, right % 7 != 0).alias("merge_ok"),
+    ))
 
 
 @query("SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS distance, count(*) AS buckets FROM (SELECT source, count(*)::double / sum(count(*)) OVER () AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY source) a FULL JOIN (SELECT source, count(*)::double / sum(count(*)) OVER () AS q FROM documents WHERE doc_id % 2 = 1 GROUP BY source) b ON a.source = b.source")

@@ -83,6 +83,22 @@ def test_stream_drops_late_rows_and_counts(spark, tmp_path):
     assert got == [("00:00", 2), ("05:00", 2)]  # three rows fell into the first hour; the late one is not counted
 
 
+def test_changes_coalesce_in_a_stream(spark, tmp_path):
+    """One pending row a subject, kept as state over micro-batches: its latest reason, and how many changes it stands for."""
+    schema = "table string, subject_id string, reason string, ts timestamp, seq long"
+    (tmp_path / "in").mkdir()
+    stream = changes.coalesced(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    seen = {}
+
+    def sink(batch, _):
+        seen.update({r["subject_id"]: (r["reason"], r["generation"]) for r in batch.collect()})
+
+    for rows in ([("t", "a", "source_update", 1), ("t", "b", "source_update", 2)], [("t", "a", "source_delete", 3)], [("t", "a", "source_update", 2)]):
+        spark.createDataFrame([(t, i, r, f"2024-01-01 00:00:0{n}", n) for t, i, r, n in rows], "table string, subject_id string, reason string, ts string, seq long").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert seen == {"a": ("source_delete", 3), "b": ("source_update", 1)}  # the late change counts and decides nothing
+
+
 def test_sessions_by_gap(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:05:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 00:00:00")], "u string, t string").select("u", F.col("t").cast("timestamp").alias("ts"))
     assert sorted((r["u"], r["n"]) for r in changes.sessions(rows, "u", "10 minutes").collect()) == [("a", 1), ("a", 2), ("b", 1)]
