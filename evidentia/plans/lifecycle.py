@@ -201,7 +201,7 @@ _STATS = """, stats AS (SELECT 'r' || (k % 5)::varchar AS task, 'v1' AS revision
 kept AS (SELECT r.task, CASE WHEN basis IS NULL THEN 100 WHEN basis = 'maintained_invalid' THEN greatest(total, 100) ELSE total END AS total, CASE WHEN basis IS NULL OR basis = 'maintained_invalid' OR valid_until <= 5 THEN 0 ELSE fresh END AS fresh, CASE WHEN basis IS NULL OR basis = 'maintained_invalid' THEN 0 WHEN valid_until <= 5 THEN fresh + stale ELSE stale END AS stale, CASE WHEN basis IS NULL THEN 100 WHEN basis = 'maintained_invalid' THEN greatest(total, 100) ELSE missing END AS missing, CASE WHEN basis IS NOT NULL AND basis <> 'maintained_invalid' AND valid_until <= 5 THEN fresh ELSE 0 END AS expired, CASE WHEN basis IS NULL THEN 'maintained_missing' WHEN basis <> 'maintained_invalid' AND valid_until <= 5 THEN 'maintained_expired' ELSE basis END AS count_basis FROM (VALUES ('r0'), ('r1'), ('r2'), ('r3'), ('r4')) r(task) LEFT JOIN stats s ON s.task = r.task)"""
 
 
-def _kept_counts(s, d):
+def kept_counts(s, d):
     k = F.col("subject_id").cast("bigint") % 5
     st = F.col("state")
     states = semantic.states(X.customer_inputs(s, d), _row_current(s, d), _inflight(s, d), _flag()).where(k > 0)
@@ -213,7 +213,7 @@ def _kept_counts(s, d):
 
 @query(f"{_STATS} SELECT task, total::bigint AS total, fresh::bigint AS fresh, stale::bigint AS stale, missing::bigint AS missing, expired::bigint AS expired, count_basis FROM kept")
 def maintained_counts(s, d):
-    return _kept_counts(s, d)
+    return kept_counts(s, d)
 
 
 _COSTS = """, sized AS (SELECT grp, total, fresh, stale, missing, inflight, stale + missing AS refresh, least(stale + missing, %(rows)s) AS infer_now, inflight AS wait FROM counts),
@@ -238,7 +238,7 @@ def costs_sql(rows: int) -> str:
 @query(f"{_STATS}, counts AS (SELECT task AS grp, total, fresh, stale, missing, total % 3 AS inflight FROM kept) {costs_sql(rows=0)}")
 def maintained_plan(s, d):
     """Plans from kept counts, without judging at once: the paths that wait, queue or refresh all, with their costs."""
-    return costed(_kept_counts(s, d).withColumn("inflight", F.col("total") % 3).withColumnRenamed("task", "grp"), max_rows=0)
+    return costed(kept_counts(s, d).withColumn("inflight", F.col("total") % 3).withColumnRenamed("task", "grp"), max_rows=0)
 
 
 @query(f"""{_PAIRS}, counts AS (SELECT 'g' || (left_id % 4)::varchar AS grp, count(*) AS total, count(*) FILTER (is_fresh) AS fresh, count(*) FILTER (NOT is_fresh) AS stale, count(*) FILTER (is_fresh IS NULL) AS missing, 0 AS inflight FROM pair_inputs LEFT JOIN pair_rows USING (subject_id) GROUP BY left_id % 4) {costs_sql(rows=1)}""")
