@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, columns, tidy
+from .common import blocks, columns, release, tidy
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Texts of these characters alone may be split by the standard library's quicker engine, with the classes spelt out.
 _PLAIN = re.compile(f"[\\t\\n\\r -~{_LETTER}«»¿¡–—‘’“”…€£§©®°]*")
 _PLAIN_SPLIT = re.compile(f" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 _KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -205,6 +205,7 @@ def codec(path: str, pattern: str = _KNOWN_PATTERN) -> Codec:
     """This worker's codec for a vocabulary file."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(load_ranks(path), pattern)
+        release()
     return _codecs[path, pattern]
 
 

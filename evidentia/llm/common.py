@@ -6,7 +6,6 @@ import ctypes
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,11 +145,11 @@ FILTER_BITS = 1 << 25
 
 
 def id_filter(ids: DataFrame, column: str):
-    """A function of an id column that is true for all ids of the table and false for most others.
+    """A function (table, its id column, held) that gives the rows whose ids the filter holds, or else all others.
 
-    A Bloom filter of FILTER_BITS bits, put together by an aggregation of at most FILTER_BITS / 64 rows and broadcast. Rows
-    that it turns away need not be shuffled for a join on the ids; with far more ids than bits it turns none away, and the
-    join, which decides in any case, does without.
+    A Bloom filter of FILTER_BITS bits, put together by an aggregation of at most FILTER_BITS / 64 rows and broadcast; it
+    holds all ids of the table and few others. Rows that it turns away need not be shuffled for a join on the ids; with far
+    more ids than bits it turns none away, and the join, which decides in any case, does without.
     """
     hashes = lambda c: [F.xxhash64(F.lit(k), c.cast("bigint")).bitwiseAND(FILTER_BITS - 1) for k in (1, 2)]
     one, two = hashes(F.col(column))
@@ -160,16 +159,23 @@ def id_filter(ids: DataFrame, column: str):
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def held(a: pd.Series, b: pd.Series) -> pd.Series:
-        own, found = shared.value, np.ones(len(a), bool)
-        h, step = a.to_numpy(), b.to_numpy()
-        for k in range(4):
-            at = (h + step * k) & (FILTER_BITS - 1)
-            found &= (own[at >> 6] >> (at & 63)) & 1 == 1
-        return pd.Series(found)
+    def rows(df: DataFrame, id_column: str, held: bool) -> DataFrame:
+        width = len(df.columns)
 
-    return lambda c: held(*hashes(c))
+        def run(batches):
+            own = shared.value
+            for batch in batches:
+                h, step = (batch.column(width + k).to_numpy() for k in (0, 1))
+                found = np.full(batch.num_rows, True)
+                for k in range(4):
+                    at = (h + step * k) & (FILTER_BITS - 1)
+                    found &= (own[at >> 6] >> (at & 63)) & 1 == 1
+                yield batch.select(list(range(width))).filter(pa.array(found == held))
+
+        one, two = hashes(df[id_column])
+        return df.select(*(df[c] for c in df.columns), one.alias("__one"), two.alias("__two")).mapInArrow(tidy(run), df.schema)
+
+    return rows
 
 
 def columns(df: DataFrame, *wanted: str) -> DataFrame:

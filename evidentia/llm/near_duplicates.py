@@ -25,7 +25,7 @@ from .graphs import components, linked
 PERMUTATIONS, BANDS = 64, 32
 _RNG = np.random.default_rng(97)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members compared with one leader in one task.
+#: Members compared with a home's leaders in one group, about; pairs of a group are four times as many.
 MEMBERS_A_TASK = 400
 #: Estimated similarity, as a share of the one asked for, below which a pair is refused.
 REFUSED_BELOW = 0.75
@@ -99,48 +99,53 @@ def _sign(batches):
 
 def _verify(similarity: int):
     def run(batches):
-        leader, begun, own = None, False, []  # several sets where rows share the leader's id
+        group, own = None, {}  # several sets where rows share an id
         for batch in batches:
-            leaders, ids, role = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            groups, role, ids, leaders = (batch.column(k).to_pylist() for k in range(4))
             a, b = [], []
             for first, sets in shingle_sets(batch.column(4)):  # the sets of a block at a time
                 for k, s in enumerate(sets, first):
+                    if groups[k] != group:
+                        group, own = groups[k], {}
                     if role[k] == 0:
-                        own = [*own, s] if leader == leaders[k] and begun else [s]
-                        leader, begun = leaders[k], True
+                        own.setdefault(ids[k], []).append(s)
                         continue
-                    begun = False
-                    if any(100 * (n := len(np.intersect1d(x, s, assume_unique=True))) >= similarity * (len(x) + len(s) - n) and n for x in own):
-                        a.append(ids[k])
-                        b.append(leader)
+                    for leader in leaders[k]:
+                        if any(100 * (n := len(np.intersect1d(x, s, assume_unique=True))) >= similarity * (len(x) + len(s) - n) and n for x in own.get(leader, ())):
+                            a.append(ids[k])
+                            b.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
-    """Those of pairs (id, leader) whose sets are similar enough, as (src, dst)."""
-    split = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    members = pairs.join(split, "leader").select("leader", part, "id").join(texts, "id").select("leader", "part", "id", F.lit(1).alias("role"), "text")
-    heads = split.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id")).join(texts, "id")
-    rows = heads.select("leader", "part", "id", F.lit(0).alias("role"), "text").unionByName(members)
+    """Those of pairs (id, leader, home) whose sets are similar enough, as (src, dst).
+
+    A home's leaders and a part of its members, MEMBERS_A_TASK of them or so, meet in one task: each text is sent once for
+    all pairs that it has there.
+    """
+    sizes = pairs.groupBy("home").agg(F.ceil(F.count("*") / (4 * MEMBERS_A_TASK)).cast("int").alias("parts"))
+    placed = keep(pairs.join(sizes, "home").select(F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("g"), "id", "leader"), "placed")
+    members = placed.groupBy("g", "id").agg(F.collect_list("leader").alias("leaders")).select("g", F.lit(1).alias("role"), "id", "leaders")
+    heads = placed.select("g", F.col("leader").alias("id")).distinct().select("g", F.lit(0).alias("role"), "id", F.array().cast("array<bigint>").alias("leaders"))
+    rows = heads.unionByName(members).join(texts, "id").select("g", "role", "id", "leaders", "text")
     n = max(12, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", "role").mapInArrow(tidy(_verify(similarity)), "src bigint, dst bigint")
+    return rows.repartition(n, "g").sortWithinPartitions("g", "role").mapInArrow(tidy(_verify(similarity)), "src bigint, dst bigint")
 
 
 def _hopeful(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
-    """Those of pairs (id, leader) whose estimated similarity isn't far below the one asked for; of an id with several sets, any."""
+    """Those of pairs (id, leader, home) whose estimated similarity isn't far below the one asked for; of an id with several sets, any."""
     least = REFUSED_BELOW * similarity / 100
 
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, 2 * PERMUTATIONS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "leader"]).filter(pa.array(estimate(a, b) >= least))
+            yield batch.select([0, 1, 4]).filter(pa.array(estimate(a, b) >= least))
 
     of = lambda name: sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
-    both = pairs.join(of("id"), "id").join(of("leader"), "leader").select("id", "leader", "id_sketch", "leader_sketch")
-    return both.mapInArrow(run, "id bigint, leader bigint").distinct()
+    both = pairs.join(of("id"), "id").join(of("leader"), "leader").select("id", "leader", "id_sketch", "leader_sketch", "home")
+    return both.mapInArrow(tidy(run), "id bigint, leader bigint, home bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
@@ -163,8 +168,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     wanted = keep(members.select("id").distinct(), "wanted")
     sketches = keep(named.select(F.col("doc_id").alias("id"), "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
     # Only rows that the filter lets through are shuffled with their texts.
-    held = id_filter(wanted, "id")
-    texts = keep(docs.where(held(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
+    own = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    texts = keep(id_filter(wanted, "id")(own, "id", True).join(wanted, "id", "left_semi"), "texts")
     links = _class_links(signed)
     labels = keep(components(links), "labels") if links is not None else None
 
@@ -204,10 +209,10 @@ def one_of_each(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """
     found = keep(near_duplicates(docs, similarity).where("doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__rows")), "found")
     # Most ids are kept and have one row: theirs stay where they are. All others, and what the filter takes for them, are joined.
-    odd = id_filter(found.where("not __kept or __rows > 1"), "__kept_id")(F.col("doc_id"))
-    flagged = docs.where("doc_id is not null").withColumn("__odd", odd)
-    sure = flagged.where("not __odd").select(*docs.columns)
-    named = flagged.where("__odd").join(found.where("__kept"), F.col("doc_id").cast("bigint") == F.col("__kept_id"))
+    odd = id_filter(found.where("not __kept or __rows > 1"), "__kept_id")
+    with_id = docs.where("doc_id is not null")
+    sure = odd(with_id, "doc_id", False)
+    named = odd(with_id, "doc_id", True).join(found.where("__kept"), F.col("doc_id").cast("bigint") == F.col("__kept_id"))
     once, several = named.where("__rows = 1"), named.where("__rows > 1")
     # Only ids that several rows share are sorted out by text, of which a digest of 128 bits is the key.
     several = several.withColumn("__text", F.coalesce(F.md5("text"), F.lit(""))).dropDuplicates(["__kept_id", "__text"])

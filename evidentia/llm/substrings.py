@@ -179,9 +179,8 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     found = passages(docs, least_bytes).where("removable").groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_text")).agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("__cuts"))
     found = keep(found, "cuts")
     # Only rows that may have cuts are shuffled with their texts.
-    flagged = docs.withColumn("__touched", F.coalesce(id_filter(found, "__cut_id")(F.col("doc_id")), F.lit(False)))
-    touched = flagged.where("__touched").drop("__touched")
-    joined = touched.join(found, (F.col("doc_id").cast("bigint") == F.col("__cut_id")) & (F.hash("text") == F.col("__cut_text")), "left")
+    touched = id_filter(found, "__cut_id")
+    joined = touched(docs, "doc_id", True).join(found, (F.col("doc_id").cast("bigint") == F.col("__cut_id")) & (F.hash("text") == F.col("__cut_text")), "left")
     place = docs.schema.names.index("text")
     counts = [k for k, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.simpleString() in ("bigint", "int")]
 
@@ -208,4 +207,4 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1]).filter(pa.array(stay))
 
     changed = joined.select(*docs.columns, "__cuts").mapInArrow(tidy(run), docs.schema)
-    return flagged.where("not __touched").select(*docs.columns).unionByName(changed)
+    return touched(docs, "doc_id", False).unionByName(changed)
