@@ -150,13 +150,13 @@ def plan_from_counts(s, d):
 
 
 def _attempts(s, d):
-    r = X.receipts(s, d).where("attempt <= 2")
+    r = X.receipts(s, d)
     conf = F.when(F.col("validation") == "failed", "low").when(F.col("generate_ms") < 400, None).otherwise("high")
     answer = F.when(F.col("generate_ms") % 1100 == 0, "unclear").otherwise(F.col("l_linestatus"))
     return r.select("job_id", "attempt", answer.alias("answer"), judging.acceptance(conf, answer).alias("reason"))
 
 
-_ATTEMPTS = "(SELECT job_id, attempt, CASE WHEN generate_ms % 1100 = 0 THEN 'unclear' ELSE l_linestatus END AS answer, CASE WHEN validation = 'failed' THEN 'confidence_below_policy' WHEN generate_ms < 400 THEN 'missing_confidence_field' WHEN generate_ms % 1100 = 0 THEN 'abstained_output' ELSE 'accepted_by_policy' END AS reason FROM receipts WHERE attempt <= 2)"
+_ATTEMPTS = "(SELECT job_id, attempt, CASE WHEN generate_ms % 1100 = 0 THEN 'unclear' ELSE l_linestatus END AS answer, CASE WHEN validation = 'failed' THEN 'confidence_below_policy' WHEN generate_ms < 400 THEN 'missing_confidence_field' WHEN generate_ms % 1100 = 0 THEN 'abstained_output' ELSE 'accepted_by_policy' END AS reason FROM receipts)"
 
 
 @query(f"SELECT reason, count(*) AS n FROM {_ATTEMPTS} GROUP BY reason")
@@ -164,10 +164,12 @@ def selection_acceptance(s, d):
     return _attempts(s, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT job_id, answer, reason, 'cheap' AS role FROM {_ATTEMPTS} WHERE attempt = 1 AND reason = 'accepted_by_policy' UNION ALL SELECT job_id, answer, reason, 'strong' FROM {_ATTEMPTS} WHERE attempt = 2 AND job_id NOT IN (SELECT job_id FROM {_ATTEMPTS} WHERE attempt = 1 AND reason = 'accepted_by_policy')")
+@query(f"SELECT job_id, answer, reason, 'cheap' AS role FROM {_ATTEMPTS} WHERE attempt = 1 AND reason = 'accepted_by_policy' UNION ALL SELECT job_id, answer, reason, 'strong' FROM (SELECT * FROM {_ATTEMPTS} WHERE attempt > 1 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY attempt DESC) = 1) WHERE job_id NOT IN (SELECT job_id FROM {_ATTEMPTS} WHERE attempt = 1 AND reason = 'accepted_by_policy')")
 def cheap_strong_cascade(s, d):
+    """Accepted first attempts, and the last of the further ones where the first wasn't accepted."""
     a = _attempts(s, d).withColumnRenamed("job_id", "subject_id")
-    out = judging.cascade(a.where("attempt = 1").drop("attempt"), a.where("attempt = 2").drop("attempt"))
+    last = a.where("attempt > 1").groupBy("subject_id").agg(F.max_by(F.struct("answer", "reason"), "attempt").alias("a")).select("subject_id", "a.*")
+    out = judging.cascade(a.where("attempt = 1").drop("attempt"), last)
     return out.withColumnRenamed("subject_id", "job_id").select("job_id", "answer", "reason", "role")
 
 
@@ -207,10 +209,10 @@ def lease_sweep(s, d):
     return queue.sweep(j, 86400, F.lit("1998-01-01 00:00:00").cast("timestamp"), 2)
 
 
-@query("SELECT l_orderkey::varchar AS subject_id, CASE WHEN count(DISTINCT l_partkey) > 1 THEN 'conflict' ELSE 'duplicate' END AS violation, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING count(*) > 1")
+@query("SELECT l_orderkey || '-' || l_linenumber AS subject_id, CASE WHEN count(DISTINCT l_partkey) > 1 THEN 'conflict' ELSE 'duplicate' END AS violation, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def input_relation_violations(s, d):
-    i = X.table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("subject_id"), F.col("l_partkey").cast("string").alias("input"))
-    return queue.input_violations(i)
+    name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return queue.input_violations(X.table(s, d, "lineitem").select(name.alias("subject_id"), F.col("l_partkey").cast("string").alias("input")))
 
 
 _MANIFEST = "(SELECT subject_id, row_number() OVER (ORDER BY subject_id) AS ordinal FROM (SELECT DISTINCT p_partkey::varchar AS subject_id FROM part))"
