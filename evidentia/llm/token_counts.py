@@ -120,7 +120,11 @@ def count_tokens(files: DataFrame, end: int = END, width: int = 2, block: int =
 
 
 def document_token_counts(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataFrame:
-    """(doc_id, n_tokens) of every row of docs, counted by scanning the token files written from them."""
+    """(doc_id, n_tokens) of every row of docs, counted by scanning the token files written from them.
+
+    A null or empty text has no tokens; repeated rows, and rows that share a doc_id or have none, are counted each; a text may
+    be longer than a block of the scan; an empty table writes no file and gives no rows; other columns are ignored.
+    """
     written = write_token_files(docs, path, pattern, end)
     counts = count_tokens(written.select("file"), end)
     return written.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

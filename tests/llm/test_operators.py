@@ -762,6 +762,14 @@ def test_token_counts(spark):
     assert token_counts.document_token_counts(empty(spark), path, pattern).count() == 0
 
 
+def test_token_counts_of_a_text_longer_than_a_block(spark, monkeypatch):
+    path, pattern = queries.tokenizer("byte_bpe_50k.tiktoken")
+    rows = [(1, "word " * 50000), (None, "x"), (1, "word " * 50000), (2, None)]
+    monkeypatch.setattr(token_counts.count_tokens, "__defaults__", (token_counts.END, 2, 1 << 10))
+    got = token_counts.document_token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("file", F.lit("f")).withColumn("ordinal", F.lit(3)), path, pattern)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got.collect()) == [(0, 1), (1, 50001), (1, 50001), (2, 0)]
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_token_counts_blocks(spark, tmp_path, block):
     ids = [5, 6, 9, 9, 1, 2, 3, 4, 5, 6, 7, 9, 1]
