@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns, keep, mix, tidy
+from .common import columns, keep, mix, packed, tidy
 from .graphs import linked
 
 SAMPLES, PERIOD, BLOCK_CHARS = 64, 4096, 2 << 20
@@ -163,15 +163,8 @@ def _tree(bounds: list[int], column, low: int = 0):
 
 
 def _packed(batches):
-    """Texts as compressed UTF-8: what is shuffled is smaller."""
-    import zstandard
-
-    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for i, j, data, offsets in blocks(batch.column(3)):
-            raw = data.tobytes()
-            texts = pa.array([packer.compress(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), texts], names=["doc_id", "id", "h", "packed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), packed(batch.column(3))], names=["doc_id", "id", "h", "packed"])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -205,8 +198,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     at = lambda xs: F.element_at(F.array(*(F.lit(x).cast("bigint") for x in xs)), F.col("own") + 1)
     targets = F.when((F.col("id") == at(first)) & (F.col("h") == at(mark)), F.array(F.col("own"), at(before).cast("int"))).otherwise(F.array(F.col("own")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = rows.select("doc_id", "id", "h", "text").mapInArrow(tidy(_packed), f"doc_id {kind}, id bigint, h bigint, packed binary")
-    spread = placed(packed).select("doc_id", "packed", "id", "h", F.posexplode(targets).alias("tail", "part"))
+    small = rows.select("doc_id", "id", "h", "text").mapInArrow(tidy(_packed), f"doc_id {kind}, id bigint, h bigint, packed binary")
+    spread = placed(small).select("doc_id", "packed", "id", "h", F.posexplode(targets).alias("tail", "part"))
     return spread.select("part", "tail", "id", "h", "doc_id", "packed").repartition(n, "part").sortWithinPartitions("part", "tail", "id", "h")
 
 

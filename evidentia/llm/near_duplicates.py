@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, columns, id_filter, keep, mix, span_hashes, tidy, tokens
+from .common import LOWER, blocks, columns, id_filter, keep, mix, packed, span_hashes, tidy, tokens, unpacked
 from .graphs import components, linked
 
 PERMUTATIONS, BANDS = 64, 32
@@ -97,13 +97,21 @@ def _sign(batches):
             )
 
 
+def _pack(batches):
+    """(id, packed) of (id, text); rows of a batch that are equal in both are one."""
+    for batch in batches:
+        rows = pa.table([batch.column(0), packed(batch.column(1))], names=["id", "packed"])
+        places = {row: k for k, row in enumerate(zip(rows["id"].to_pylist(), rows["packed"].to_pylist()))}
+        yield from rows.take(pa.array(sorted(places.values()), pa.int64())).combine_chunks().to_batches()
+
+
 def _verify(similarity: int):
     def run(batches):
         group, own = None, {}  # several sets where rows share an id
         for batch in batches:
             groups, role, ids, leaders = (batch.column(k).to_pylist() for k in range(4))
             a, b = [], []
-            for first, sets in shingle_sets(batch.column(4)):  # the sets of a block at a time
+            for first, sets in shingle_sets(unpacked(batch.column(4))):  # the sets of a block at a time
                 for k, s in enumerate(sets, first):
                     if groups[k] != group:
                         group, own = groups[k], {}
@@ -120,7 +128,7 @@ def _verify(similarity: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
-    """Those of pairs (id, leader, home) whose sets are similar enough, as (src, dst).
+    """Those of pairs (id, leader, home) whose sets are similar enough, as (src, dst); texts: (id, packed).
 
     A home's leaders and a part of its members, MEMBERS_A_TASK of them or so, meet in one task: each text is sent once for
     all pairs that it has there.
@@ -129,7 +137,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame
     placed = keep(pairs.join(sizes, "home").select(F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("g"), "id", "leader"), "placed")
     members = placed.groupBy("g", "id").agg(F.collect_list("leader").alias("leaders")).select("g", F.lit(1).alias("role"), "id", "leaders")
     heads = placed.select("g", F.col("leader").alias("id")).distinct().select("g", F.lit(0).alias("role"), "id", F.array().cast("array<bigint>").alias("leaders"))
-    rows = heads.unionByName(members).join(texts, "id").select("g", "role", "id", "leaders", "text")
+    rows = heads.unionByName(members).join(texts, "id").select("g", "role", "id", "leaders", "packed")
     n = max(12, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(n, "g").sortWithinPartitions("g", "role").mapInArrow(tidy(_verify(similarity)), "src bigint, dst bigint")
 
@@ -169,7 +177,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     sketches = keep(named.select(F.col("doc_id").alias("id"), "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
     # Only rows that the filter lets through are shuffled with their texts.
     own = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    texts = keep(id_filter(wanted, "id")(own, "id", True).join(wanted, "id", "left_semi"), "texts")
+    texts = keep(id_filter(wanted, "id")(own, "id", True).mapInArrow(tidy(_pack), "id bigint, packed binary").join(wanted, "id", "left_semi"), "texts")
     links = _class_links(signed)
     labels = keep(components(links), "labels") if links is not None else None
 
@@ -181,7 +189,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
         hopeful = keep(_hopeful(pairs, sketches, similarity), "hopeful")
         if hopeful.isEmpty():
             return None
-        return keep(_confirmed(hopeful, texts, similarity), "links")
+        asked = id_filter(hopeful.select("id").unionByName(hopeful.select(F.col("leader").alias("id"))), "id")
+        return keep(_confirmed(hopeful, asked(texts, "id", True), similarity), "links")
 
     labels = linked(members, verify, labels, near)
     rows = signed.select("doc_id", "n_shingles", "set_id")
