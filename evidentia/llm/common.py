@@ -191,8 +191,8 @@ def id_filter(ids: DataFrame, column: str):
                     found &= (own[at >> 6] >> (at & 63)) & 1 == 1
                 yield batch.select(list(range(width))).filter(pa.array(found == held))
 
-        one, two = hashes(df[id_column])
-        return df.select(*(df[c] for c in df.columns), one.alias("__one"), two.alias("__two")).mapInArrow(tidy(run), df.schema)
+        one, two = hashes(F.col(id_column))
+        return df.select(*(F.col(f"`{c}`") for c in df.columns), one.alias("__one"), two.alias("__two")).mapInArrow(tidy(run), df.schema)
 
     return rows
 

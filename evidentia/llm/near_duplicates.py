@@ -225,4 +225,4 @@ def one_of_each(docs: DataFrame, similarity: int = 80) -> DataFrame:
     once, several = named.where("__rows = 1"), named.where("__rows > 1")
     # Only ids that several rows share are sorted out by text, of which a digest of 128 bits is the key.
     several = several.withColumn("__text", F.coalesce(F.md5("text"), F.lit(""))).dropDuplicates(["__kept_id", "__text"])
-    return sure.unionByName(once.select(*docs.columns)).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    return sure.unionByName(columns(once, *docs.columns)).unionByName(columns(several, *docs.columns)).unionByName(docs.where("doc_id is null"))

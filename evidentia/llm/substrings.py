@@ -206,5 +206,5 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
             arrays[c] = pa.array([o if s is None else s for o, s in zip(arrays[c].to_pylist(), size)], arrays[c].type)
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1]).filter(pa.array(stay))
 
-    changed = joined.select(*docs.columns, "__cuts").mapInArrow(tidy(run), docs.schema)
+    changed = columns(joined, *docs.columns, "__cuts").mapInArrow(tidy(run), docs.schema)
     return touched(docs, "doc_id", False).unionByName(changed)
