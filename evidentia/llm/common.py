@@ -164,7 +164,7 @@ FILTER_BITS = 1 << 25
 
 
 def id_filter(ids: DataFrame, column: str):
-    """A function (table, its id column, held) that gives the rows whose ids the filter holds, or else all others.
+    """A function (table, its id column, held) that gives the rows whose ids the filter holds, or else all others; two more arguments hand their batches to a function, and name its schema, within the same worker.
 
     A Bloom filter of FILTER_BITS bits, put together by an aggregation of at most FILTER_BITS / 64 rows and broadcast; it
     holds all ids of the table and few others. Rows that it turns away need not be shuffled for a join on the ids; with far
@@ -178,10 +178,10 @@ def id_filter(ids: DataFrame, column: str):
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(table)
 
-    def rows(df: DataFrame, id_column: str, held: bool) -> DataFrame:
+    def rows(df: DataFrame, id_column: str, held: bool, then=None, schema=None) -> DataFrame:
         width = len(df.columns)
 
-        def run(batches):
+        def chosen(batches):
             own = shared.value
             for batch in batches:
                 h, step = (batch.column(width + k).to_numpy() for k in (0, 1))
@@ -191,8 +191,9 @@ def id_filter(ids: DataFrame, column: str):
                     found &= (own[at >> 6] >> (at & 63)) & 1 == 1
                 yield batch.select(list(range(width))).filter(pa.array(found == held))
 
+        run = (lambda batches: then(chosen(batches))) if then else chosen
         one, two = hashes(F.col(id_column))
-        return df.select(*(F.col(f"`{c}`") for c in df.columns), one.alias("__one"), two.alias("__two")).mapInArrow(tidy(run), df.schema)
+        return df.select(*(F.col(f"`{c}`") for c in df.columns), one.alias("__one"), two.alias("__two")).mapInArrow(tidy(run), schema or df.schema)
 
     return rows
 

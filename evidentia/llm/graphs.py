@@ -47,14 +47,14 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 #: Leaders of a bucket in one round, at most; all others have their rounds.
-MOST_LEADERS, LEADERS_A_HOME = 512, 128
+MOST_LEADERS = 512
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame | None], labels: DataFrame | None = None, near: Callable[[DataFrame], Column] | None = None) -> DataFrame | None:
     """(id, label) of the components of all links within buckets; ids without a link may be missing, None: no link at all.
 
     members: (bucket, id, …), each once. verify gives the links (src, dst) among pairs (id, leader, home), or None; pairs of one
-    home share a bucket and up to LEADERS_A_HOME leaders, so that what they need may be brought together once. In a bucket,
+    home share a bucket, so that what they need may be brought together once. In a bucket,
     members are compared with leaders rather than with each other: at first the least id, then, only where a bucket still
     spans several components, more leaders each round, until all its members are in one component or have been compared. No
     bucket is gathered, no pair is compared twice, and none within a component. near: a condition on the rows of members
@@ -72,7 +72,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame | None],
         if labelled.isEmpty():
             return labels
         order = Window.partitionBy("bucket").orderBy("id")
-        chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), F.xxhash64("bucket", F.floor((F.col("nth") - 1) / LEADERS_A_HOME)).alias("home"), *(F.col(c).alias(f"leader_{c}") for c in more))
+        chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), F.hash("bucket").alias("home"), *(F.col(c).alias(f"leader_{c}") for c in more))
         both = labelled.join(chosen, "bucket").where((F.col("label") != F.col("leader_label")) & (F.col("id") > F.col("leader")))
         pairs = (both.where(near(both)) if near else both).groupBy("id", "leader").agg(F.min("home").alias("home"))
         if compared is not None:

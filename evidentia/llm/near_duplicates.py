@@ -3,8 +3,8 @@
 Each distinct 2-word shingle is hashed once under each permutation, and both the least and the greatest value are kept: 64
 evaluations give 128 signature values. Bands of four values (least and greatest under two permutations) propose links;
 every proposed link is confirmed on the full shingle sets. Before texts are fetched for that, a pair is refused if its sets'
-sizes are too far apart, or if fewer than 60 % of its signature values agree: the unbiased estimate of a similarity of 0.8
-falls so low with probability below exp(-128 * KL(0.6, 0.8)) < 2e-6. A pair at the threshold shares none of the 32 bands with
+sizes are too far apart, or if its signatures, of four bits a value, agree as if the similarity were below 0.6: the estimate
+of a similarity of 0.8 falls so low with probability below exp(-128 * KL(0.625, 0.8125)) < 5e-6. A pair at the threshold shares none of the 32 bands with
 probability below 1e-7. So in practice no link is lost.
 
 Documents with equal sets are one class from the start. In a band's bucket, members are compared with leaders rather than
@@ -25,7 +25,7 @@ from .graphs import components, linked
 PERMUTATIONS, BANDS = 64, 32
 _RNG = np.random.default_rng(97)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members compared with a home's leaders in one group, about; pairs of a group are four times as many.
+#: Members compared with a home's leaders in one group, about.
 MEMBERS_A_TASK = 400
 #: Estimated similarity, as a share of the one asked for, below which a pair is refused.
 REFUSED_BELOW = 0.75
@@ -84,7 +84,8 @@ def _sign(batches):
         for i, sets in shingle_sets(batch.column(1)):
             n = len(sets)
             values = signatures(sets)
-            keys, sketch = bands(values).reshape(-1), mix(values).astype(np.uint8)  # a byte of each value
+            keys, short = bands(values).reshape(-1), mix(values).astype(np.uint8) & np.uint8(15)
+            sketch = short[:, 0::2] | short[:, 1::2] << np.uint8(4)  # four bits of each value
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, n),
@@ -133,7 +134,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame
     A home's leaders and a part of its members, MEMBERS_A_TASK of them or so, meet in one task: each text is sent once for
     all pairs that it has there.
     """
-    sizes = pairs.groupBy("home").agg(F.ceil(F.count("*") / (4 * MEMBERS_A_TASK)).cast("int").alias("parts"))
+    sizes = pairs.groupBy("home").agg(F.ceil(F.countDistinct("id") / MEMBERS_A_TASK).cast("int").alias("parts"))
     placed = keep(pairs.join(sizes, "home").select(F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("g"), "id", "leader"), "placed")
     members = placed.groupBy("g", "id").agg(F.collect_list("leader").alias("leaders")).select("g", F.lit(1).alias("role"), "id", "leaders")
     heads = placed.select("g", F.col("leader").alias("id")).distinct().select("g", F.lit(0).alias("role"), "id", F.array().cast("array<bigint>").alias("leaders"))
@@ -145,15 +146,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame
 def _hopeful(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
     """Those of pairs (id, leader, home) whose estimated similarity isn't far below the one asked for; of an id with several sets, any."""
     least = REFUSED_BELOW * similarity / 100
+    least += (1 - least) / 16  # values that differ may have the same four bits
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, 2 * PERMUTATIONS) for k in (2, 3))
-            yield batch.select([0, 1, 4]).filter(pa.array(estimate(a, b) >= least))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, PERMUTATIONS) for k in (2, 3))
+            alike = (estimate(a & 15, b & 15) + estimate(a >> 4, b >> 4)) / 2
+            yield batch.select([0, 1, 4]).filter(pa.array(alike >= least))
 
     of = lambda name: sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
     both = pairs.join(of("id"), "id").join(of("leader"), "leader").select("id", "leader", "id_sketch", "leader_sketch", "home")
-    return both.mapInArrow(tidy(run), "id bigint, leader bigint, home bigint").distinct()
+    return both.mapInArrow(tidy(run), "id bigint, leader bigint, home int").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
@@ -177,7 +180,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     sketches = keep(named.select(F.col("doc_id").alias("id"), "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
     # Only rows that the filter lets through are shuffled with their texts.
     own = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    texts = keep(id_filter(wanted, "id")(own, "id", True).mapInArrow(tidy(_pack), "id bigint, packed binary").join(wanted, "id", "left_semi"), "texts")
+    texts = keep(id_filter(wanted, "id")(own, "id", True, _pack, "id bigint, packed binary").join(wanted, "id", "left_semi"), "texts")
     links = _class_links(signed)
     labels = keep(components(links), "labels") if links is not None else None
 
