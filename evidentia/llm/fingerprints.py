@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, keep, mix, packed, tidy
@@ -260,47 +260,110 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_next(docs).select("part", "tail", "doc_id", "packed").mapInArrow(tidy(run), f"doc_id {key}, {_COLUMNS}")
 
 
-#: Samples to a band, and bands at each scale.
-WIDTH, BANDS = 4, 8
+#: Classes of pairs by the larger number of samples that either text reaches at their common scale: least and most.
+REACHES = ((1, 4), (5, 9), (10, 14), (15, 19), (20, 24), (25, 31), (32, 39), (40, 49), (50, 64))
+_MARKS = np.random.default_rng(2017).integers(0, 1 << 63, (SAMPLES, 256), dtype=np.uint64)
+_HEX = 2 + 4 * SAMPLES
 
 
-def _banded(batches):
-    """(id, bucket) of the bands of fingerprints; those past the text's end are no evidence."""
+def most_unlike(reach: int, least: float) -> int:
+    """How many of so many samples may differ in a link."""
+    return max(m for m in range(reach + 1) if m == 0 or (reach - m) / reach >= least)
+
+
+def _values(prints: list[str]) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), _HEX // 2)
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """likeness() of each pair of fingerprints that aren't the same."""
+    x, y = _values(a), _values(b)
+    s, t = x[:, 0].astype(int), y[:, 0].astype(int)
+    common, places = np.maximum(s, t), np.arange(SAMPLES)
+    part = lambda v, own: np.take_along_axis(v, 1 + SAMPLES * np.minimum(common - own, 1)[:, None] + places, 1)
+    x, y = part(x, s), part(y, t)
+    reached = (x > 0) | (y > 0)
+    return np.where(np.abs(s - t) > 1, 0.0, ((x == y) & reached).sum(1) / np.maximum(1, reached.sum(1)))
+
+
+def _reaches(batches):
+    """(level, reach): the fewest samples that a text of each scale reaches at its own scale."""
     for batch in batches:
-        ids, prints = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        values = np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), 1 + 2 * SAMPLES)
-        level = values[:, :1].astype(np.uint64) + np.arange(2, dtype=np.uint64)
-        bands = values[:, 1:].reshape(len(prints), 2, SAMPLES // WIDTH, WIDTH)[:, :, :BANDS]
-        packed = np.ascontiguousarray(bands).view(np.uint32)[..., 0].astype(np.uint64)
-        keys = mix((level[:, :, None] << np.uint64(40)) + (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)) + packed)
-        filled = packed > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None, None], filled.shape)[filled]), pa.array(keys.view(np.int64)[filled])], names=["id", "bucket"])
+        values = _values(batch.column(0).to_pylist())
+        least = np.full(64, SAMPLES + 1)
+        np.minimum.at(least, values[:, 0], (values[:, 1 : 1 + SAMPLES] > 0).sum(1))
+        at = np.flatnonzero(least <= SAMPLES)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(least[at], pa.int32())], names=["level", "reach"])
+
+
+def _banded(least: float, lowest: dict[int, int]):
+    """(id, bucket, longer) of the bands of fingerprints; longer: the text may be the one of its pairs that reaches more. lowest: from _reaches()."""
+    unlike = np.array([most_unlike(r, least) for r in range(SAMPLES + 1)])
+    # A text that reaches r has links with those that reach up to upto[r]: what both agree on, the shorter one reaches.
+    upto = np.array([max(k for k in range(SAMPLES + 1) if k - unlike[k] <= r) for r in range(SAMPLES + 1)])
+    floor = np.array([lowest.get(s, SAMPLES + 1) for s in range(64)])
+
+    def run(batches):
+        for batch in batches:
+            ids, values = batch.column(0).to_numpy(), _values(batch.column(1).to_pylist())
+            out: list[list[np.ndarray]] = [[], [], []]
+            for other in (0, 1):
+                level = values[:, 0].astype(np.int64) + other
+                own = values[:, 1 + SAMPLES * other :][:, :SAMPLES]
+                reach, marks = (own > 0).sum(1), _MARKS[np.arange(SAMPLES), own]
+                # At the next scale a text meets only those whose own scale that is: pairs of one scale meet at it.
+                from_ = np.maximum(reach, floor[level]) if other else reach
+                for k, (low, high) in enumerate(REACHES):
+                    at = np.flatnonzero((reach > 0) & (from_ <= high) & (upto[reach] >= low))
+                    bands = min(high, 1 + int(unlike[low : high + 1].max()))
+                    longer = (reach[at] >= low) & (reach[at] <= high) & (other == 0)
+                    for band in range(bands):
+                        salt = ((level[at].astype(np.uint64) << np.uint64(16)) + np.uint64((k << 8) + band)) * np.uint64(0xD6E8FEB86659FD93)
+                        out[0].append(ids[at])
+                        out[1].append(mix(marks[at, band::bands].sum(1, dtype=np.uint64) + salt).view(np.int64))
+                        out[2].append(longer)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["id", "bucket", "longer"])
+
+    return run
+
+
+def buckets(own: DataFrame, least: float = 0.8) -> DataFrame:
+    """(bucket, id, longer) of the bands that fingerprints (print_id, fingerprint) share with others that they may have links with.
+
+    A pair whose texts reach at most r of the samples may differ in m = most_unlike(r) of them. Its class of r has m + 1
+    bands, so one of them at least has no such sample and is shared: no link is lost. A band's samples are spread over the
+    text with a stride, so that texts which share a beginning, an end or a passage alone don't share a band. A text is filed
+    in the classes that its reach allows; only a pair whose longer text has the bucket's scale and class is compared there.
+    """
+    lowest = own.select("fingerprint").mapInArrow(tidy(_reaches), "level int, reach int").groupBy("level").agg(F.min("reach").alias("reach")).collect()
+    banded = tidy(_banded(least, {r["level"]: r["reach"] for r in lowest}))
+    spread = own.select("print_id", "fingerprint").mapInArrow(banded, "id bigint, bucket bigint, longer boolean")
+    whole = Window.partitionBy("bucket")
+    several = spread.select("bucket", "id", "longer", F.count("*").over(whole).alias("n"), F.max("longer").over(whole).alias("any_longer"))
+    return several.where("n > 1 and any_longer").select("bucket", "id", "longer")
 
 
 def classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(print_id, fingerprint, label) of each distinct fingerprint: label is the least print_id of those that links join.
 
-    Links are between fingerprints that are alike by at least `least`. Bit-sampled bands, of WIDTH samples, BANDS of them at
-    either scale, propose them; each proposal is verified on the whole fingerprints, and every bucket compared to its end.
-    Two texts of one scale share no band with probability 2e-4 at the threshold, two of neighbouring scales with 0.015; tests
-    measure recall. print_id is a 64-bit hash. Null fingerprints are left out; an empty table gives no rows.
+    Links are between fingerprints that are alike by at least `least`, above 0. Bit-sampled bands propose them, all of them
+    (buckets()); each proposal is verified on the whole fingerprints, and every bucket compared to its end. print_id is a
+    64-bit hash. Null fingerprints are left out; an empty table gives no rows.
     """
     own = keep(prints.select("fingerprint").where("fingerprint is not null").groupBy(F.xxhash64("fingerprint").alias("print_id")).agg(F.min("fingerprint").alias("fingerprint")), "prints")
-    spread = own.select(F.col("print_id").alias("id"), "fingerprint").mapInArrow(tidy(_banded), "id bigint, bucket bigint")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = keep(spread.join(shared, "bucket").select("bucket", "id"), "buckets")
+    members = keep(buckets(own, least), "buckets")
 
-    def near(batches):
+    def alike(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yield batch.select([0, 1]).filter(pa.array([likeness(x, y) >= least for x, y in zip(a, b)], pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(likenesses(a, b) >= least, pa.bool_()))
 
     def verify(pairs):
         of = lambda name: own.select(F.col("print_id").alias(name), F.col("fingerprint").alias(f"{name}_print"))
         both = pairs.join(of("id"), "id").join(of("leader"), "leader").select(F.col("id").alias("src"), F.col("leader").alias("dst"), "id_print", "leader_print")
-        return keep(both.mapInArrow(tidy(near), "src bigint, dst bigint"), "links")
+        return keep(both.mapInArrow(tidy(alike), "src bigint, dst bigint"), "links")
 
-    labels = linked(members, verify)
+    labels = linked(members, verify, near=lambda _: F.col("longer") | F.col("leader_longer"))
     if labels is None:
         return own.withColumn("label", F.col("print_id"))
     return own.join(labels.withColumnRenamed("id", "print_id"), "print_id", "left").select("print_id", "fingerprint", F.coalesce("label", "print_id").alias("label"))

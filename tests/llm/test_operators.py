@@ -711,6 +711,41 @@ def test_op9_classes_against_brute_force(spark):
     assert exact / len(by) >= 0.97
 
 
+def test_op9_bands_lose_no_link_and_pass_over_shared_beginnings(spark):
+    """A pair that differs in as many samples as a link allows shares a bucket wherever these are; texts with a common beginning alone share none."""
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for pair in range(400):
+        reach, other = int(rng.integers(1, 65)), int(rng.integers(0, 2))
+        one = np.zeros((2, 64), np.uint8)
+        one[0, :reach] = rng.integers(1, 256, reach)
+        one[1, : reach // 2] = rng.integers(1, 256, reach // 2)
+        two = np.zeros((2, 64), np.uint8)
+        two[other] = one[0]  # the shorter text: at its next scale where other is 1
+        two[1 - other, : 64 if other else reach // 2] = rng.integers(1, 256, 64 if other else reach // 2)
+        unlike = rng.choice(reach, fingerprints.most_unlike(reach, 0.8), replace=False)
+        two[other, unlike] = two[other, unlike] % 255 + 1
+        ends = unlike[np.argsort(-unlike)]
+        for k in range(int(rng.integers(0, len(ends) + 1))):  # some of them past the shorter text's end
+            if ends[k] == reach - 1 - k:
+                two[other, ends[k]] = 0
+        a, b = f"{20:02x}" + one.tobytes().hex(), f"{20 - other:02x}" + two.tobytes().hex()
+        if a != b:
+            assert fingerprints.likeness(a, b) >= 0.8 and fingerprints.likenesses([a], [b])[0] == fingerprints.likeness(a, b)
+            rows += [(2 * pair, a), (2 * pair + 1, b)]
+            want.add(pair)
+    members = fingerprints.buckets(spark.createDataFrame(rows, "print_id long, fingerprint string")).collect()
+    filed = {}
+    for r in members:
+        filed.setdefault(r["bucket"], {})[r["id"]] = r["longer"]
+    assert {i // 2 for own in filed.values() for i in own if i ^ 1 in own and (own[i] or own[i ^ 1])} == want
+    text = "This text is made available under the terms of the licence below, without any warranty. " * 3
+    letters = random.Random(5)
+    texts = [text + "".join(letters.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)) for _ in range(300)]
+    prints = spark.createDataFrame([(k, p[0]) for k, p in enumerate(fingerprints.fingerprint(texts))], "print_id long, fingerprint string")
+    assert fingerprints.buckets(prints).count() < 30
+
+
 def test_fingerprints_of_hot_ids(spark):
     """A third of the rows without an id and a third of one id: each is followed by the next in order of (id, hash), and no part holds them all."""
     rng = random.Random(2)
