@@ -17,8 +17,8 @@ whatever words are frequent: a block names a pair once, and a hot pair is named
 
     pass 1       pairs of a block -> pair buckets: counts c(u, w); one block of those that name a pair owns it
     pass 2       owners: one table a pair -> word buckets: c(w), customers of the parent, tables of each context
-    pass 3, 4    owners: a sweep over the pairs' tables -> word buckets: the same, and a sweep over the parent's tables
-    pass 5       every text is scored with the states' averaged predictive probabilities
+    pass 3 to 6  owners: a sweep over the pairs' tables -> word buckets: the same, and a sweep over the parent's tables
+    pass 7       every text is scored with the states' averaged predictive probabilities
 
 A draw depends on the pair's hash, the sweep and the state alone, so that later passes, and repeated tasks, go through the
 same states without their being stored. Words are told apart by 62-bit hashes, pairs by 64-bit ones.
@@ -38,7 +38,8 @@ from .common import LOWER, blocks, columns, keep, mix, shared_dir, span_hashes,
 
 #: Discount of all restaurants (other values have no closed form), and strengths of context restaurants and of the parent.
 DISCOUNT, STRENGTH, PARENT_STRENGTH = 0.5, 1.0, 10.0
-SWEEPS, BURN_IN = 2, 0
+#: Sweeps, and those of them from the start on whose states still tell of it and aren't averaged.
+SWEEPS, BURN_IN = 4, 2
 #: Share of a conditional's sum below which its terms are left out.
 TAIL = 1e-9
 BLOCK_TEXT = 3 << 20

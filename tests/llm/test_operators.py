@@ -164,6 +164,15 @@ def test_language_model_against_brute_force(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9), i
 
 
+def test_language_model_is_past_its_start(spark, monkeypatch):
+    """Held-out texts' mean log10 probability of a token is that of a chain three times as long: two sweeps without a burn-in are 0.001 off."""
+    mean = lambda: next(r["s"] / r["n"] for r in queries.op2_language_model(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).collect())
+    own = mean()
+    monkeypatch.setattr(language_model, "SWEEPS", 12)
+    monkeypatch.setattr(language_model, "BURN_IN", 6)
+    assert abs(own - mean()) < 5e-4
+
+
 def test_language_model_odd_rows(spark):
     got = language_model.scores(odd(spark), F.col("doc_id").isNotNull()).collect()
     assert len(got) == 14 and all(math.isfinite(r["score"]) for r in got)
