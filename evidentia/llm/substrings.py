@@ -180,7 +180,8 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     found = keep(found, "cuts")
     # Only rows that may have cuts are shuffled with their texts.
     touched = id_filter(found, "__cut_id")
-    joined = touched(docs, "doc_id", True).join(found, (F.col("doc_id").cast("bigint") == F.col("__cut_id")) & (F.hash("text") == F.col("__cut_text")), "left")
+    # A broadcast would put the filter's and the cuts' Python workers into one task: two more processes an executor, for good.
+    joined = touched(docs, "doc_id", True).join(found.hint("shuffle_merge"), (F.col("doc_id").cast("bigint") == F.col("__cut_id")) & (F.hash("text") == F.col("__cut_text")), "left")
     place = docs.schema.names.index("text")
     counts = [k for k, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.simpleString() in ("bigint", "int")]
 

@@ -430,6 +430,14 @@ def test_repeats_are_cut_in_their_own_text_alone(spark):
     assert kept.count(other) == 2 and rows[0][1] in kept and rows[1][1] not in kept and len(kept) == 4
 
 
+def test_cutting_needs_one_python_worker_a_task(spark):
+    """The filter of rows and the cuts are in different stages, however few cuts there are."""
+    cut = substrings.without_repeats(documents(spark))
+    assert cut.count() > 0 and cut.collect()
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_passages_odd_rows(spark):
     assert {r["doc_id"] for r in substrings.passages(odd(spark)).collect()} == {1, 2, 3}
     kept = substrings.without_repeats(odd(spark))
