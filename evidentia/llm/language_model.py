@@ -16,12 +16,13 @@ gets back, in the same order and without the hashes, the corpus's counts. The sa
 whatever words are frequent: a block names a pair once, and a hot pair is named by each block at most once.
 
     pass 1       pairs of a block -> pair buckets: counts c(u, w); one block of those that name a pair owns it
-    pass 2       owners: one table a pair -> word buckets: c(w), customers of the parent, tables of each context
-    pass 3 to 6  owners: a sweep over the pairs' tables -> word buckets: the same, and a sweep over the parent's tables
-    pass 7       every text is scored with the states' averaged predictive probabilities
+    pass 2       a block's words and its own pairs are kept, those of one token, which always has one table, as sums
+    from these   owners: one table a pair -> word buckets: c(w), customers of the parent, tables of each context
+    and these    owners: a sweep over the pairs' tables -> word buckets: the same, and a sweep over the parent's tables
+    pass 3       every text is scored with the states' averaged predictive probabilities
 
-A draw depends on the pair's hash, the sweep and the state alone, so that later passes, and repeated tasks, go through the
-same states without their being stored. Words are told apart by 62-bit hashes, pairs by 64-bit ones.
+A draw depends on the pair's hash, the sweep and the state alone, so that later sweeps, the scoring and repeated tasks go
+through the same states without their being stored. Words are told apart by 62-bit hashes, pairs by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ DISCOUNT, STRENGTH, PARENT_STRENGTH = 0.5, 1.0, 10.0
 SWEEPS, BURN_IN = 4, 2
 #: Share of a conditional's sum below which its terms are left out.
 TAIL = 1e-9
+#: Dishes drawn at once: their figures stay in the processor's cache.
+STRETCH = 1 << 14
 BLOCK_TEXT = 3 << 20
 #: Bytes of text to a bucket; a bucket is gathered by one task.
 BUCKET_TEXT = 16 << 20
@@ -84,9 +87,12 @@ def sample_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, draw: np.nda
     """
     out = (c > 0).astype(np.int64)
     several = np.flatnonzero(c > 1)
-    for i in range(0, len(several), 1 << 14):  # stretches that stay in the processor's cache
-        at = several[i : i + (1 << 14)]
-        out[at] = _draw(c[at].astype(float), 4 * DISCOUNT * p[at], strength / DISCOUNT + others[at], draw[at])
+    n, q, a, u = c[several].astype(float), 4 * DISCOUNT * p[several], strength / DISCOUNT + others[several], draw[several]
+    mode, reach = _modes(n, q, a)
+    order = np.argsort(reach, kind="stable")
+    for i in range(0, len(several), STRETCH):
+        at = order[i : i + STRETCH]
+        out[several[at]] = _draw(n[at], q[at], a[at], u[at], mode[at])
     return out
 
 
@@ -94,46 +100,71 @@ def _ratio(t, n, q, a):
     return q * (a + t) * (n - t) / (t * (2 * n - 1 - t))
 
 
-def _draw(n: np.ndarray, q: np.ndarray, a: np.ndarray, u: np.ndarray) -> np.ndarray:
-    mode = np.ones(len(n))
-    high = np.flatnonzero(_ratio(mode, n, q, a) >= 1)
-    if len(high):
-        low, top, own = mode[high], n[high], (n[high], q[high], a[high])
-        while (low < top).any():
-            mid = np.floor((low + top) / 2)
-            up = (_ratio(mid, *own) >= 1) & (mid < own[0])
-            low, top = np.where(up, mid + 1, low), np.where(up, top, mid)
-        mode[high] = low
-    total, found, steps = np.ones(len(n)), mode.copy(), []
-    _walk(n, q, a, mode, 1, total, steps)
-    if len(high):
-        _walk(n, q, a, mode, -1, total, steps)
+def _modes(n: np.ndarray, q: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first t whose ratio is below 1, from the root of a quadratic, and about how many terms its dish has, to draw dishes with like numbers of them together."""
+    first = _ratio(1.0, n, q, a)
+    mode, reach = np.ones(len(n)), 30 / (1 - np.log2(np.clip(first, 1e-9, 1)))
+    high = np.flatnonzero(first >= 1)
+    m, b, g = n[high], q[high], a[high]
+    half = b * (m - g) - 2 * m + 1
+    t = np.clip(np.floor(2 * b * g * m / (np.sqrt(half * half - 4 * (1 - b) * b * g * m) - half)), 1, m)
+    off = np.arange(len(high))  # the root is rounded: steps to the first such t
+    while len(off):
+        off = off[(_ratio(t[off], m[off], b[off], g[off]) >= 1) & (t[off] < m[off])]
+        t[off] += 1
+    off = np.flatnonzero(t > 1)
+    while len(off):
+        off = off[_ratio(t[off] - 1, m[off], b[off], g[off]) < 1]
+        t[off] -= 1
+        off = off[t[off] > 1]
+    mode[high], reach[high] = t, 30 + 14 * np.sqrt(t)
+    return mode, np.minimum(np.minimum(reach, n), 65535).astype(np.uint16)
+
+
+def _draw(n: np.ndarray, q: np.ndarray, a: np.ndarray, u: np.ndarray, mode: np.ndarray) -> np.ndarray:
+    total, found = np.ones(len(n)), mode.copy()
+    ends = [_walk(n, q, a, mode, side, total) for side in (1, -1)]
     left = u * total - 1
-    for k, t, term in steps:
-        open_ = left[k] >= 0
-        if open_.any():
-            k, term = k[open_], term[open_]
-            found[k] = t[open_]
-            left[k] -= term
+    for side, end in zip((1, -1), ends):
+        _seek(n, q, a, mode, side, end, left, found)
     return found.astype(np.int64)
 
 
-def _walk(n, q, a, mode: np.ndarray, side: int, total: np.ndarray, steps: list) -> None:
-    """Add to total, and to steps as (places, t, terms), the terms, relative to the mode's, of all t above (side 1) or below (-1) it, until they are below TAIL of the sum."""
+def _next(side: int, t, term, n, q, a):
+    """The t after t on a side of the mode, and its term."""
+    if side > 0:
+        return t + 1, term * _ratio(t, n, q, a)
+    return t - 1, term / _ratio(t - 1, n, q, a)
+
+
+def _walk(n, q, a, mode: np.ndarray, side: int, total: np.ndarray) -> np.ndarray:
+    """Add to total the terms, relative to the mode's, of all t above (side 1) or below (-1) it, until they are below TAIL of the sum; where each ends."""
+    end = mode.copy()
     k = np.flatnonzero(mode < n if side > 0 else mode > 1)
-    t, term, n, q, a = mode[k], np.ones(len(k)), n[k], q[k], a[k]
+    t, term, n, q, a, own = mode[k], np.ones(len(k)), n[k], q[k], a[k], total[k]
     while len(k):
-        if side > 0:
-            term = term * _ratio(t, n, q, a)
-            t = t + 1
-        else:
-            t = t - 1
-            term = term / _ratio(t, n, q, a)
-        total[k] += term
-        steps.append((k, t, term))
-        go = (term > TAIL * total[k]) & (t < n if side > 0 else t > 1)
+        t, term = _next(side, t, term, n, q, a)
+        own += term
+        go = (term > TAIL * own) & (t < n if side > 0 else t > 1)
+        if not go.all():
+            stop, go = np.flatnonzero(~go), np.flatnonzero(go)
+            end[k[stop]], total[k[stop]] = t[stop], own[stop]
+            k, t, term, n, q, a, own = (x.take(go) for x in (k, t, term, n, q, a, own))
+    return end
+
+
+def _seek(n, q, a, mode: np.ndarray, side: int, end: np.ndarray, left: np.ndarray, found: np.ndarray) -> None:
+    """Take the same terms off what is left of the draws, whose last t at which something was left is found."""
+    k = np.flatnonzero((left >= 0) & (end != mode))
+    t, term, n, q, a, end, own = mode[k], np.ones(len(k)), n[k], q[k], a[k], end[k], left[k]
+    while len(k):
+        t, term = _next(side, t, term, n, q, a)
+        own -= term
+        go = (own >= 0) & (t != end)
         if not go.all():
-            k, t, term, n, q, a = k[go], t[go], term[go], n[go], q[go], a[go]
+            stop, go = np.flatnonzero(~go), np.flatnonzero(go)
+            found[k[stop]], left[k[stop]] = t[stop], own[stop]
+            k, t, term, n, q, a, end, own = (x.take(go) for x in (k, t, term, n, q, a, end, own))
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +185,10 @@ def uniform(keys: np.ndarray, sample: int) -> np.ndarray:
     return (mix(keys + np.uint64(0x9E37 + sample)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
 
+def pair_hashes(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(contexts * np.uint64(0xD6E8FEB86659FD93) + words)
+
+
 class Block:
     """Words of some whole texts, as numbers of the block's sorted distinct words and pairs."""
 
@@ -165,7 +200,7 @@ class Block:
         before[begins] = START
         self.words, _, number_of = distinct(np.append(words, START))
         self.word_of, self.start = number_of[:-1], int(number_of[-1])
-        self.pairs, first, self.pair_of = distinct(mix(before * np.uint64(0xD6E8FEB86659FD93) + words))
+        self.pairs, first, self.pair_of = distinct(pair_hashes(before, words))
         self.pair_word = self.word_of[first]
         context = np.concatenate([[self.start], self.word_of[:-1]])
         context[begins] = self.start
@@ -208,14 +243,15 @@ def _read(batches):
         yield Block(number, ids, np.concatenate(train), np.concatenate(parts), np.concatenate(begins))
 
 
+_OWNED = "pid int, block int, digest bigint, words binary, figures binary"
 _REQUEST = "pid int, block int, bucket int, digest bigint, keys binary, figures binary"
 _REPLY = "pid int, block int, bucket int, digest bigint, figures binary"
 
 
-def _requests(block: Block, pid: int, keys: np.ndarray, figures: list[np.ndarray], bits: int):
+def _requests(pid: int, number: int, digest: int, keys: np.ndarray, figures: list[np.ndarray], bits: int):
     cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
     bounds = [0, *cut.tolist(), len(keys)]
-    digest, out = block.digest(), {k: [] for k in ("bucket", "keys", "figures")}
+    out = {k: [] for k in ("bucket", "keys", "figures")}
     for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
         if j > i:
             out["bucket"].append(b)
@@ -223,7 +259,7 @@ def _requests(block: Block, pid: int, keys: np.ndarray, figures: list[np.ndarray
             out["figures"].append(b"".join(pack(f[i:j]) for f in figures))
     n = len(out["bucket"])
     return pa.RecordBatch.from_arrays(
-        [pa.array([pid] * n, pa.int32()), pa.array([block.number] * n, pa.int32()), pa.array(out["bucket"], pa.int32()), pa.array([digest] * n, pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["figures"], pa.binary())],
+        [pa.array([pid] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(out["bucket"], pa.int32()), pa.array([digest] * n, pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["figures"], pa.binary())],
         names=["pid", "block", "bucket", "digest", "keys", "figures"],
     )
 
@@ -286,14 +322,14 @@ def _word_bucket(vocabulary: int, tables_before: int, sweep: int):
     return run
 
 
-def _fetch(root: str, pid: int, block: Block, n: int) -> list[np.ndarray]:
+def _fetch(root: str, pid: int, number: int, digest: int, n: int) -> list[np.ndarray]:
     """A block's replies, in the order of its keys."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
-    table = ds.dataset(f"{place}/pid={pid}", filesystem=system, format="parquet").to_table(filter=ds.field("block") == block.number, columns=["bucket", "digest", "figures"], use_threads=False).sort_by("bucket")
-    if any(d != block.digest() for d in table["digest"].to_pylist()):
+    table = ds.dataset(f"{place}/pid={pid}", filesystem=system, format="parquet").to_table(filter=ds.field("block") == number, columns=["bucket", "digest", "figures"], use_threads=False).sort_by("bucket")
+    if any(d != digest for d in table["digest"].to_pylist()):
         raise ValueError("the texts of a task differ between passes: docs must be read alike each time")
     parts: list[list[np.ndarray]] = [[] for _ in range(n)]
     for raw in table["figures"].to_pylist():
@@ -334,9 +370,23 @@ def scores(docs: DataFrame, learn: Column, stable: bool = False) -> DataFrame:
     def name_pairs(batches):
         pid = TaskContext.get().partitionId()
         for b in _read(batches):
-            yield _requests(b, pid, b.pairs, [b.counts(b.pair_of, len(b.pairs))], bits)
+            yield _requests(pid, b.number, b.digest(), b.pairs, [b.counts(b.pair_of, len(b.pairs))], bits)
 
     pair_root, _ = _exchange(source.mapInArrow(tidy(name_pairs), _REQUEST), _pair_bucket, "pairs")
+
+    def own_pairs(batches):
+        pid = TaskContext.get().partitionId()
+        for b in _read(batches):
+            (reply,) = _fetch(pair_root, pid, b.number, b.digest(), 1)
+            c, n = np.where(reply & 1, reply >> 1, 0), len(b.words)
+            once, at = c == 1, np.flatnonzero(c > 1)
+            figures = [b.word_counts(), np.bincount(b.pair_word[once], minlength=n), np.bincount(b.pair_context[once], minlength=n), c[at], b.pair_word[at], b.pair_context[at]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([pid], pa.int32()), pa.array([b.number], pa.int32()), pa.array([b.digest()], pa.int64()), pa.array([pack_keys(b.words)], pa.binary()), pa.array([b"".join(map(pack, figures))], pa.binary())],
+                names=["pid", "block", "digest", "words", "figures"],
+            )
+
+    owned = keep(source.mapInArrow(tidy(own_pairs), _OWNED), "owned")
     #: Of each sweep so far: the folder of its replies, customers and tables of the parent.
     rounds: list[tuple[str, int, int]] = []
     train_tokens = vocabulary = 0
@@ -346,33 +396,32 @@ def scores(docs: DataFrame, learn: Column, stable: bool = False) -> DataFrame:
         customers, _, parent = state[k][:3]
         return (customers - DISCOUNT * parent + (PARENT_STRENGTH + DISCOUNT * rounds[k][2]) / (vocabulary + 1)) / (PARENT_STRENGTH + rounds[k][1])
 
-    def states(b: Block, pid: int, sweeps: int, owners: bool = False):
-        """(places of pairs, their counts, [their tables after each sweep], [figures of words after each sweep but the last asked for]); owners: only of the block's own pairs."""
-        (reply,) = _fetch(pair_root, pid, b, 1)
-        at = np.flatnonzero(reply & 1) if owners else slice(None)
-        c, pairs, word, context = reply[at] >> 1, b.pairs[at], b.pair_word[at], b.pair_context[at]
-        words = [_fetch(root, pid, b, 3 if k else 4) for k, (root, _, _) in enumerate(rounds)]
+    def states(pid: int, number: int, digest: int, c: np.ndarray, pairs: np.ndarray, word: np.ndarray, context: np.ndarray, sweeps: int):
+        """([tables of pairs after each sweep], [figures of a block's words after each sweep but the last asked for])."""
+        words = [_fetch(root, pid, number, digest, 3 if k else 4) for k, (root, _, _) in enumerate(rounds)]
         tables = [(c > 0).astype(np.int64)]
         for k in range(1, sweeps + 1):
             others = np.maximum(words[k - 1][1][context] - tables[-1], 0)
             tables.append(sample_tables(c, served(words, k - 1)[word], others, uniform(pairs, k), STRENGTH))
-        return at, c, tables, words
+        return tables, words
 
     def name_words(sweep: int):
         def run(batches):
-            pid = TaskContext.get().partitionId()
-            for b in _read(batches):
-                at, _, tables, words = states(b, pid, sweep, True)
-                n = len(b.words)
-                before = words[-1][2] if sweep else np.zeros(n, np.int64)
-                figures = [np.bincount(b.pair_word[at], tables[-1], n), np.bincount(b.pair_context[at], tables[-1], n), before]
-                yield _requests(b, pid, b.words, figures if sweep else [*figures, b.word_counts()], bits)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    pid, number, digest, keys = row["pid"], row["block"], row["digest"], unpack_keys(row["words"])
+                    count, once, once_of, c, word, context = (x.view(np.int64) for x in unpack(row["figures"], 6))
+                    tables, words = states(pid, number, digest, c, pair_hashes(keys[context], keys[word]), word, context, sweep)
+                    n = len(keys)
+                    before = words[-1][2] if sweep else np.zeros(n, np.int64)
+                    figures = [once + np.bincount(word, tables[-1], n).astype(np.int64), once_of + np.bincount(context, tables[-1], n).astype(np.int64), before]
+                    yield _requests(pid, number, digest, keys, figures if sweep else [*figures, count], bits)
 
         return run
 
     for sweep in range(SWEEPS + 1):
         bucket = _word_bucket(vocabulary, rounds[-1][2] if rounds else 0, sweep)
-        root, totals = _exchange(source.mapInArrow(tidy(name_words(sweep)), _REQUEST), bucket, f"words-{sweep}")
+        root, totals = _exchange(owned.mapInArrow(tidy(name_words(sweep)), _REQUEST), bucket, f"words-{sweep}")
         if not sweep:
             train_tokens, vocabulary = totals[2:] or (0, 0)
         rounds = [*rounds, (root, *(totals[:2] or (0, 0)))]
@@ -380,7 +429,9 @@ def scores(docs: DataFrame, learn: Column, stable: bool = False) -> DataFrame:
     def score(batches):
         pid = TaskContext.get().partitionId()
         for b in _read(batches):
-            _, c, tables, words = states(b, pid, SWEEPS)
+            (reply,) = _fetch(pair_root, pid, b.number, b.digest(), 1)
+            c = reply >> 1
+            tables, words = states(pid, b.number, b.digest(), c, b.pairs, b.pair_word, b.pair_context, SWEEPS)
             n = words[0][3]
             seen, mean = n[b.pair_context], np.zeros(len(b.pairs))
             for k in range(BURN_IN + 1, SWEEPS + 1):

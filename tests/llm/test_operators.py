@@ -173,6 +173,14 @@ def test_language_model_is_past_its_start(spark, monkeypatch):
     assert abs(own - mean()) < 5e-4
 
 
+def test_language_model_reads_texts_in_three_passes(spark, monkeypatch):
+    """Pairs, owned pairs and scores; sweeps, however many, go over what the second pass kept."""
+    docs, read, run = odd(spark), [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *x, **y: (read.append("text" in df.columns), run(df, *x, **y))[1])
+    assert language_model.scores(docs, F.lit(True)).count() == 14
+    assert sum(read) == 3 and len(read) == 3 + language_model.SWEEPS + 1
+
+
 def test_language_model_odd_rows(spark):
     got = language_model.scores(odd(spark), F.col("doc_id").isNotNull()).collect()
     assert len(got) == 14 and all(math.isfinite(r["score"]) for r in got)
@@ -213,6 +221,31 @@ def test_sampler_draws_from_the_exact_conditional(c, p, others, strength):
     assert np.abs(got - weights).sum() < 0.01 * (1 + (weights > 1e-6).sum() / 20)
 
 
+def test_sampler_draws_frequent_dishes_together(monkeypatch):
+    """A few frequent dishes among many rare ones don't make every stretch as long as theirs, and each dish is drawn as if alone."""
+    rng, calls, ratio = np.random.default_rng(4), [], language_model._ratio
+    c = rng.integers(2, 6, 200_000)
+    c[::5000] = 10**6
+    p, others, draw = np.where(c > 5, 0.2, 1e-4), rng.integers(0, 500, len(c)), rng.random(len(c))
+    alone = lambda at: language_model.sample_tables(c[at], p[at], others[at], draw[at], 1.0)
+    some = np.append(np.arange(0, len(c), 5000), np.arange(1, 60))
+    want = [alone(np.array([at]))[0] for at in some]
+    monkeypatch.setattr(language_model, "_ratio", lambda *x: (calls.append(len(np.atleast_1d(x[0]))), ratio(*x))[1])
+    alone(np.arange(0, len(c), 5000))
+    frequent = len(calls)
+    assert (alone(np.arange(len(c)))[some] == want).all()
+    assert len(calls) - frequent < 2 * frequent
+
+
+def test_sampler_starts_at_the_mode():
+    rng = np.random.default_rng(6)
+    n, q, a = np.exp(rng.uniform(0.7, 7, 3000)).astype(int).astype(float), 2 * np.append(10 ** rng.uniform(-6, 0, 2990), np.full(10, 0.5)), 2 + np.floor(np.exp(rng.uniform(0, 12, 3000)))
+    modes, _ = language_model._modes(n, q, a)
+    for mode, *own in zip(modes, n, q, a):
+        t = np.arange(1, own[0] + 1)
+        assert mode == t[language_model._ratio(t, *own) < 1][0]
+
+
 def test_byte_bpe_equals_library(spark):
     import tiktoken
 
