@@ -171,11 +171,10 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     docs = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     signed = keep(docs.mapInArrow(tidy(_sign), "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>, sketch binary"), "signatures")
     named = signed.where("doc_id is not null and set_id is not null")
-    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     # An id that several texts share has several sets: its size is a range.
-    spread = classes.select("id", F.explode("bands").alias("bucket"), "size").groupBy("id", "bucket").agg(F.min("size").alias("small"), F.max("size").alias("large"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = keep(spread.join(shared, "bucket"), "buckets")
+    sizes = named.groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"))
+    members = keep(_shared_buckets(classes).join(sizes, "id").select("bucket", "id", "small", "large"), "buckets")
     wanted = keep(members.select("id").distinct(), "wanted")
     sketches = keep(named.select(F.col("doc_id").alias("id"), "sketch").join(wanted, "id", "left_semi").distinct(), "sketches")
     # Only rows that the filter lets through are shuffled with their texts.
@@ -204,6 +203,16 @@ def near_duplicates(docs: DataFrame, similarity: int = 80) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(True)).alias("kept"))
 
 
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, id), each once, of the buckets that several ids of classes (id, bands) share.
+
+    Most buckets are one id's. All are shuffled once, as ids alone, for the count and for the join with it.
+    """
+    spread = classes.select(F.explode("bands").alias("bucket"), "id").repartition("bucket")
+    shared = spread.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+    return spread.join(shared, "bucket").distinct()
+
+
 def _class_links(signed: DataFrame) -> DataFrame | None:
     """Links between the classes of rows that share a doc_id; None where ids are unique, as they should be."""
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.count("*").alias("n")).where("n > 1 and a <> b").select("doc_id")

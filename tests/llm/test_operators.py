@@ -93,6 +93,20 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert got == want and len({c for _, c in want.values()}) > 150 and want[1000][1] == 989
 
 
+def test_near_duplicates_shared_buckets(spark):
+    """Buckets of several ids, of ids with several sets too, from one shuffle of all bands."""
+    rng = random.Random(4)
+    rows = [(k // 2, [rng.randrange(60) + 60 * b for b in range(4)]) for k in range(80)] + [(90, [7, 1000]), (91, [1001, 1000]), (92, [2000]), (92, [2000])]
+    df = near_duplicates._shared_buckets(spark.createDataFrame(rows, "id long, bands array<long>"))
+    ids = {}
+    for i, own in rows:
+        for b in own:
+            ids.setdefault(b, set()).add(i)
+    assert sorted(map(tuple, df.collect())) == sorted((b, i) for b, found in ids.items() if len(found) > 1 for i in found)
+    ran = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert ran.count("ShuffleQueryStage") == 2 and ran.count("ReusedExchange") == 1
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(1)
     errors = []
