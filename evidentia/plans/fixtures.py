@@ -108,10 +108,8 @@ def cases(spark, sf_dir) -> DataFrame:
 def pairs(spark, sf_dir) -> DataFrame:
     from ..sources.inputs import candidate_pairs
 
-    p = table(spark, sf_dir, "part")
-    c = candidate_pairs(p, "p_partkey", "p_name", "p_size")
-    a, b = (p.select(F.col("p_partkey").alias(f"{s}_id"), F.col("p_brand").alias(f"{s}_brand"), F.col("p_type").alias(f"{s}_type")) for s in ("left", "right"))
-    return c.join(a, "left_id").join(b, "right_id").select("subject_id", "left_id", "right_id", (F.col("left_brand") == F.col("right_brand")).cast("int").alias("shared"), (F.col("left_type") != F.col("right_type")).cast("int").alias("conflicting"))
+    c = candidate_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_size", carried=("p_brand", "p_type"))
+    return c.select("subject_id", "left_id", "right_id", (F.col("left_p_brand") == F.col("right_p_brand")).cast("int").alias("shared"), (F.col("left_p_type") != F.col("right_p_type")).cast("int").alias("conflicting"))
 
 
 def _following(spark, sf_dir, by: int) -> DataFrame:

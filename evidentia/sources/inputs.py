@@ -15,12 +15,32 @@ def row_inputs(rows: DataFrame, key: str, content: Column, version: Column, cont
     return d.select("subject_id", "content", identity_hash("semantic_content", F.col("content")).alias("content_hash"), "contract_hash", identity_hash("semantic_source", source).alias("source_hash"))
 
 
-def candidate_pairs(rows: DataFrame, key: str, *blocking: str) -> DataFrame:
-    """(subject_id, left_id, right_id) of rows that agree on the blocking columns, the lesser key first: an equi join."""
-    a = rows.select(F.col(key).alias("left_id"), *blocking)
-    b = rows.select(F.col(key).alias("right_id"), *blocking)
-    joined = a.join(b, list(blocking)).where("left_id < right_id")
-    return joined.select(F.concat_ws(":", F.col("left_id").cast("string"), F.col("right_id").cast("string")).alias("subject_id"), "left_id", "right_id")
+#: Rows of a block that are paired with as many others in one piece.
+CHUNK = 1000
+
+
+def candidate_pairs(rows: DataFrame, key: str, *blocking: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(subject_id, left_id, right_id, left_x and right_x of each carried column x) of rows that agree on the blocking columns, the lesser key first: an equi join.
+
+    A block of more than CHUNK rows is cut into chunks by hash, and each two chunks are joined apart, so that no task holds
+    more than a chunk and one block's pairs are spread over all tasks. What pairs are judged by is carried along: a pair,
+    of which there may be many more than rows, is shuffled by nobody.
+    """
+    large = rows.groupBy(*blocking).agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK)  # at most a row for every CHUNK
+    sized = rows.select(F.col(key).alias("_id"), *blocking, *carried).join(F.broadcast(large), list(blocking), "left")
+    chunks = F.coalesce(F.ceil(F.col("_n") / CHUNK), F.lit(1)).cast("int")
+    d = sized.withColumn("_chunks", chunks).withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
+    piece, columns = [*blocking, "_near", "_far"], ["_id", *carried]
+    sc = rows.sparkSession.sparkContext
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism)  # a number that stays: few bytes of rows are many pairs
+
+    def side(mark: str, near, far):
+        return d.select(*blocking, near.alias("_near"), far.alias("_far"), *(F.col(c).alias(mark + c) for c in columns)).repartition(parts, *piece)
+
+    every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    joined = side("left_", F.col("_chunk"), every).join(side("right_", every, F.col("_chunk")), piece).where("left__id < right__id")
+    pairs = joined.select(F.col("left__id").alias("left_id"), F.col("right__id").alias("right_id"), *(f"{s}_{c}" for s in ("left", "right") for c in carried))
+    return pairs.select(F.concat_ws(":", F.col("left_id").cast("string"), F.col("right_id").cast("string")).alias("subject_id"), *pairs.columns)
 
 
 def bounded(rows: DataFrame, cap: int) -> DataFrame:
