@@ -69,11 +69,12 @@ def reconcile(candidates: DataFrame, state: DataFrame) -> DataFrame:
     c = candidates.select("subject_id", F.col("content_hash").alias("now"))
     s = state.select("subject_id", F.col("content_hash").alias("was"), "stale_reason")
     joined = c.join(s, "subject_id", "full")
-    what = (
-        F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("was"), "changed")
-        .when(F.col("stale_reason").eqNullSafe("candidate_removed"), "restored").otherwise("unchanged")
-    )
-    return joined.select("subject_id", what.alias("transition"))
+    return joined.select("subject_id", transition(F.col("now"), F.col("was"), F.col("stale_reason")).alias("transition"))
+
+
+def transition(now: Column, was: Column, stale_reason: Column) -> Column:
+    """What became of a pair whose content's hash is now and was so, null where there is and was none."""
+    return F.when(was.isNull(), "added").when(now.isNull(), "removed").when(now != was, "changed").when(stale_reason.eqNullSafe("candidate_removed"), "restored").otherwise("unchanged")
 
 
 def mark_stale(state: DataFrame, changes: DataFrame, dependencies: DataFrame) -> DataFrame:
