@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import kept
@@ -41,7 +41,11 @@ def conflicts(must: DataFrame, cannot: DataFrame, most_must: int | None = None,
 def constraint_status(facts: DataFrame, current: DataFrame) -> DataFrame:
     """facts (pair_id, source_hash, contract_hash) against the pairs' present hashes."""
     c = current.select("pair_id", F.col("source_hash").alias("s"), F.col("contract_hash").alias("c"))
-    d = facts.join(c, "pair_id", "left")
-    source, contract = ~F.col("source_hash").eqNullSafe(F.col("s")), ~F.col("contract_hash").eqNullSafe(F.col("c"))
-    state = F.when(F.col("s").isNull() & F.col("c").isNull(), "task_inactive").when(source & contract, "reopened_source_and_contract").when(source, "reopened_source").when(contract, "reopened_contract").otherwise("active")
-    return d.select("pair_id", state.alias("state"))
+    state = constraint_state(F.col("source_hash"), F.col("contract_hash"), F.col("s"), F.col("c"))
+    return facts.join(c, "pair_id", "left").select("pair_id", state.alias("state"))
+
+
+def constraint_state(source_hash: Column, contract_hash: Column, source_now: Column, contract_now: Column) -> Column:
+    """What a fact's hashes are beside the pair's present ones, both null where the pair is none any more."""
+    source, contract = ~source_hash.eqNullSafe(source_now), ~contract_hash.eqNullSafe(contract_now)
+    return F.when(source_now.isNull() & contract_now.isNull(), "task_inactive").when(source & contract, "reopened_source_and_contract").when(source, "reopened_source").when(contract, "reopened_contract").otherwise("active")
