@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.inputs import spread
+
 
 def input_violations(inputs: DataFrame) -> DataFrame:
     """(subject_id, violation, n) of an input relation (subject_id, input): null subjects and inputs, duplicates, conflicting duplicates."""
-    per = inputs.groupBy("subject_id").agg(F.count("*").alias("n"), F.countDistinct("input").alias("kinds"), F.count_if(F.col("input").isNull()).alias("nulls"))
+    per = spread(inputs, "subject_id").groupBy("subject_id").agg(F.count("*").alias("n"), F.countDistinct("input").alias("kinds"), F.count_if(F.col("input").isNull()).alias("nulls"))
     kind = F.when(F.col("subject_id").isNull(), "null_subject").when(F.col("nulls") > 0, "null_input").when(F.col("kinds") > 1, "conflict").when(F.col("n") > 1, "duplicate")
     return per.withColumn("violation", kind).where("violation is not null").select("subject_id", "violation", "n")
 

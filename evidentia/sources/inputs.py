@@ -15,6 +15,19 @@ def row_inputs(rows: DataFrame, key: str, content: Column, version: Column, cont
     return d.select("subject_id", "content", identity_hash("semantic_content", F.col("content")).alias("content_hash"), "contract_hash", identity_hash("semantic_source", source).alias("source_hash"))
 
 
+#: Bytes of a table, as estimated, that one task of spread gets.
+TASK_BYTES = 2 << 20
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows shuffled by the keys to as many tasks as their bytes ask for, the session's number of partitions at least: what a task sorts or counts by these keys doesn't grow with the table."""
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = min(int(str(plan.stats().sizeInBytes())), sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())))  # after a join the plan's own estimate is a product
+    parts = -(-size // TASK_BYTES) if size < 1 << 50 else 0  # beyond that it isn't known
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
+
+
 #: Rows of a block that are paired with as many others in one piece.
 CHUNK = 1000
 
