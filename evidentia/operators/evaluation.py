@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.inputs import spread
+
 
 def rate(n: Column, of: Column) -> Column:
     """n / of as a double of 12 places; null when of is 0."""
@@ -31,13 +33,30 @@ def slices(cases: DataFrame, dimensions: list[str], minimum: int) -> DataFrame:
     )
 
 
+def _located(candidates: DataFrame, positives: DataFrame, cap: int) -> DataFrame:
+    """(source, query, rows, inside, found, places) of each query with positives: positives with each of their candidates, those within the cap, positives that are candidates at all, and the sum of normalised ranks. Both tables go through one shuffle, by query; nulls are nothing that matches."""
+    c = candidates.where("source is not null and query is not null").select("source", "query", "item", "rank", F.lit(0).cast("bigint").alias("wanted"))
+    p = positives.select("source", "query", "item", F.lit(None).cast("int").alias("rank"), F.lit(1).cast("bigint").alias("wanted"))
+    rank = F.when(F.col("item").isNotNull(), F.col("rank"))
+    items = spread(c.unionByName(p), "source", "query").groupBy("source", "query", "item").agg(
+        F.sum("wanted").alias("wanted"), F.count(rank).alias("times"), F.count_if(rank <= cap).alias("within"), F.sum(rank).alias("ranks"), F.max("rank").alias("last"),
+    )
+    w, times, n = F.col("wanted"), F.col("times"), F.max("last")
+    located = F.sum(F.when(times > 0, w * (F.col("ranks") - times)).otherwise(0))
+    return items.groupBy("source", "query").agg(
+        F.sum(w * F.greatest(times, F.lit(1))).alias("rows"), F.sum(w * F.col("within")).alias("inside"), F.sum(F.when(times > 0, w).otherwise(0)).alias("found"),
+        (F.sum(F.when(times == 0, w).otherwise(0)) + F.when(n > 1, located / (n - 1)).otherwise(0.0)).alias("places"),
+    ).where(F.col("rows") > 0)
+
+
+def _by_source(located: DataFrame) -> DataFrame:
+    n, inside = F.sum("rows"), F.sum("inside")
+    return located.groupBy("source").agg(n.alias("positives"), inside.alias("in_bounded"), rate(inside, n).alias("coverage"), F.round(F.sum("places") / n, 12).alias("mean_rank"), F.sum("found").alias("in_candidates"))
+
+
 def coverage(candidates: DataFrame, positives: DataFrame, cap: int) -> DataFrame:
     """By source: positives found within the first cap candidates, and their mean normalised rank; candidates (source, query, item, rank)."""
-    size = candidates.groupBy("source", "query").agg(F.max("rank").alias("n"))
-    found = positives.join(candidates, ["source", "query", "item"], "left").join(size, ["source", "query"], "left")
-    place = F.when(F.col("rank").isNull(), 1.0).when(F.col("n") <= 1, 0.0).otherwise((F.col("rank") - 1) / (F.col("n") - 1))
-    inside = F.coalesce((F.col("rank") <= cap).cast("int"), F.lit(0))
-    return found.groupBy("source").agg(F.count("*").alias("positives"), F.sum(inside).alias("in_bounded"), rate(F.sum(inside), F.count("*")).alias("coverage"), F.round(F.avg(place), 12).alias("mean_rank"))
+    return _by_source(_located(candidates, positives, cap)).drop("in_candidates")
 
 
 def ordering_bias(coverage_: DataFrame) -> DataFrame:
@@ -46,12 +65,11 @@ def ordering_bias(coverage_: DataFrame) -> DataFrame:
 
 def coverage_report(candidates: DataFrame, positives: DataFrame, cap: int) -> DataFrame:
     """One row of what the gates look at: positives, how many are candidates and how many within the cap, by-source extremes, bias, and whether ranks are 1 to n without gaps or ties."""
-    per = coverage(candidates, positives, cap)
-    shape = candidates.groupBy("source", "query").agg((F.countDistinct("rank") == F.count("*")).alias("apart"), (F.min("rank") == 1).alias("first"), (F.max("rank") == F.count("*")).alias("whole"))
+    per = _by_source(_located(candidates, positives, cap))
+    shape = spread(candidates.select("source", "query", "rank"), "source", "query").groupBy("source", "query").agg((F.countDistinct("rank") == F.count("*")).alias("apart"), (F.min("rank") == 1).alias("first"), (F.max("rank") == F.count("*")).alias("whole"))
     ranks = shape.agg(F.coalesce(F.bool_and(F.col("apart") & F.col("first") & F.col("whole")), F.lit(False)).alias("contiguous"))
-    found = positives.join(candidates.select("source", "query", "item").distinct(), ["source", "query", "item"], "left_semi").agg(F.count("*").alias("in_candidates"))
-    total = per.agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"), F.coalesce(F.sum("in_bounded"), F.lit(0)).alias("in_bounded"), F.min("positives").alias("least_support"), F.min("coverage").alias("least_coverage"), F.round(F.max("mean_rank") - F.min("mean_rank"), 12).alias("ordering_bias"))
-    d = total.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(found))  # one row each
+    total = per.agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"), F.coalesce(F.sum("in_bounded"), F.lit(0)).alias("in_bounded"), F.coalesce(F.sum("in_candidates"), F.lit(0)).alias("in_candidates"), F.min("positives").alias("least_support"), F.min("coverage").alias("least_coverage"), F.round(F.max("mean_rank") - F.min("mean_rank"), 12).alias("ordering_bias"))
+    d = total.crossJoin(F.broadcast(ranks))  # one row each
     return d.withColumn("coverage", rate(F.col("in_bounded"), F.col("positives"))).withColumn("cap_excluded", F.col("in_candidates") - F.col("in_bounded")).withColumn("missed", F.col("positives") - F.col("in_candidates"))
 
 
